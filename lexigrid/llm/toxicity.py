@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples (operator 9).
 
-Terms are words and the first letters of words whose association with the label is beyond chance (a
-likelihood-ratio test over a bounded, documented sample of labelled rows). Examples of that sample are
+Terms are words and the first letters of words that stand for the label: their association is beyond
+chance (a likelihood-ratio test over a bounded, documented sample of labelled rows, in which copies of a
+text count once) and most of their rows carry it. Examples of that sample are
 indexed by term in blocks with the largest weight of each block; a search visits blocks in order of
 their upper bound and stops when no block can enter the nearest K, so the exact cosine neighbours are
 found. Votes are weighted by distance, with the label's share as prior.
@@ -15,16 +16,21 @@ from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import fold, hash_order, map_chunks, text_function
+from lexigrid.llm.common import cut, fold, hash_order, map_chunks, text_function
 
 #: Labelled rows that the classifier is fitted on (expected number; fixed by a hash of the id).
 SAMPLE_ROWS = 20_000
 #: Most terms, and least rows that a term stands in.
 TERMS = 4_000
 LEAST_ROWS = 5
+#: Least share of a term's rows that carry the label.
+LEAST_SHARE = 0.8
+#: Words in the shingles by which copies in the sample are found, so that they count once.
+COPY_SHINGLE = 5
 #: Lengths of word starts that are terms besides the words.
 STARTS = (3, 4, 5)
 NEIGHBOURS = 15
@@ -80,6 +86,20 @@ def term_rows(rows: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
 
 
+def copy_key(text: str | None) -> int:
+    """The least hash of a text's shingles: near copies mostly share it, other texts don't."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    joined = [b" ".join(words[k : k + COPY_SHINGLE]) for k in range(max(1, len(words) - COPY_SHINGLE + 1))]
+    return min(map(xxhash.xxh64_intdigest, joined)) >> 1
+
+
+def without_copies(rows: DataFrame) -> DataFrame:
+    """Of the sampled rows (id, label, text) with the same key, the one with the smallest id."""
+    key = text_function("key long", lambda: lambda texts: (list(map(copy_key, texts)),))
+    keyed = rows.select(key(F.col("text"))["key"].alias("key"), F.struct("id", "label", "text").alias("x"))
+    return keyed.groupBy("key").agg(F.min("x").alias("x")).select("x.*")
+
+
 def likelihood_ratio(yes, no, all_yes, all_no):
     """The G-squared statistic of a term's two-by-two table, as a column."""
     total = all_yes + all_no
@@ -190,13 +210,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     total = marks.count()
     chosen = marks.where(hash_order("id") * total < sample_rows)  # about sample_rows rows, whatever the table
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    rows = cut(without_copies(rows.select("id", "label", "text")))
     n_yes, n_no = rows.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
     if not n_yes + n_no:
         return Index({}, [], 0.0)
     tested = term_rows(rows).where(F.col("yes") + F.col("no") >= min(LEAST_ROWS, 1 + (n_yes + n_no) // 100))
     tested = tested.withColumn("g", likelihood_ratio(F.col("yes"), F.col("no"), float(n_yes), float(n_no)))
     stats = tested.agg(F.count(F.lit(1)).alias("m"))
-    tested = tested.crossJoin(F.broadcast(stats)).where("g > 2 * ln(m) + 4")  # stats is one row
+    tested = tested.crossJoin(F.broadcast(stats)).where("g > 2 * ln(m) + 4").where(F.col("yes") >= LEAST_SHARE * (F.col("yes") + F.col("no")))  # stats is one row
     top = tested.orderBy(F.desc("g"), "term").limit(TERMS).select("term", F.col("yes") + F.col("no")).collect()
     idf = {t: math.log(1 + (n_yes + n_no) / n) for t, n in top}
     shared = docs.sparkSession.sparkContext.broadcast(idf)
