@@ -72,52 +72,67 @@ def count_entries(rows: DataFrame, lang_col: str, text_col: str) -> DataFrame:
 
 
 class Model:
-    """Log10 frequencies as one vector over the languages for each entry."""
+    """Log10 frequencies: one matrix row of all languages for each entry; row 0 is of what no language knows."""
 
     def __init__(self, rows: list[tuple[str, int, str, float]]) -> None:
         self.langs = sorted({r[0] for r in rows})
         at = {lang: k for k, lang in enumerate(self.langs)}
-        self.tables: list[dict[str, np.ndarray]] = [{} for _ in range(ORDER + 1)]
+        self.tables: list[dict[str, int]] = [{} for _ in range(ORDER + 1)]
         floor = math.log10(FLOOR)
+        scores = [[floor] * len(self.langs)]
         for lang, kind, entry, share in rows:
-            v = self.tables[kind].get(entry)
-            if v is None:
-                v = self.tables[kind][entry] = np.full(len(self.langs), floor)
-            v[at[lang]] = math.log10(share)
-        self.floor = np.full(len(self.langs), floor)
-        self.cache: dict[str, np.ndarray] = {}
-
-    def word(self, word: str) -> np.ndarray:
-        v = self.tables[0].get(word)
-        if v is not None:
-            return v
-        v = self.cache.get(word)
-        if v is None:
-            if len(self.cache) >= CACHE:
+            k = self.tables[kind].setdefault(entry, len(scores))
+            if k == len(scores):
+                scores.append([floor] * len(self.langs))
+            scores[k][at[lang]] = math.log10(share)
+        self.fixed = len(scores)
+        self.matrix = np.array(scores).reshape(self.fixed, len(self.langs))
+        self.cache: dict[str, int] = {}
+
+    def word(self, word: str) -> int:
+        """The matrix row of a word that the cache doesn't hold: its own, or a new one for an unseen word."""
+        k = self.tables[0].get(word)
+        if k is None:
+            if len(self.matrix) == self.fixed:
+                self.matrix = np.vstack((self.matrix, np.zeros((CACHE, len(self.langs)))))
+            if self.used == CACHE:
                 self.cache.clear()
-            v = self.cache[word] = self.unseen(word)
-        return v
+                self.used = 0
+            k = self.fixed + self.used
+            self.used += 1
+            self.matrix[k] = self.unseen(word)
+        self.cache[word] = k
+        return k
+
+    used = 0
 
     def unseen(self, word: str) -> np.ndarray:
         """Mean over the word's places of the longest known n-gram's score, with a step for each letter given up."""
-        padded, total, places = f" {word} ", np.zeros(len(self.langs)), 0
+        padded, rows, steps = f" {word} ", [], 0
         for k in range(max(1, len(padded) - ORDER + 1)):
             for n in range(min(ORDER, len(padded) - k), 0, -1):
-                v = self.tables[n].get(padded[k : k + n])
-                if v is not None:
-                    total += v + (ORDER - n) * math.log10(BACKOFF)
+                row = self.tables[n].get(padded[k : k + n])
+                if row is not None:
+                    steps += ORDER - n
                     break
-            else:
-                total += self.floor
-            places += 1
-        return total / places
+            rows.append(row or 0)
+        return (self.matrix[rows].sum(axis=0) + steps * math.log10(BACKOFF)) / len(rows)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and posterior (even priors); und if there is no letter or nothing was learned."""
         words = Counter(find_words(text.lower())) if text else None
         if not words or not self.langs:
             return "und", 0.0
-        score = np.array([self.word(w) for w in words]).T @ np.fromiter(words.values(), float, len(words)) * math.log(10)
+        known, names = self.cache, list(words)
+        total, counts = np.zeros(len(self.langs)), np.fromiter(words.values(), float, len(words))
+        for s in range(0, len(names), CACHE // 2):
+            part = names[s : s + CACHE // 2]
+            if self.used + len(part) > CACHE:
+                known.clear()
+                self.used = 0
+            rows = [known.get(w) or self.word(w) for w in part]
+            total += counts[s : s + CACHE // 2] @ self.matrix[rows]
+        score = total * math.log(10)
         p = np.exp(score - score.max())
         best = int(p.argmax())
         return self.langs[best], float(p[best] / p.sum())
