@@ -219,7 +219,7 @@ def finder(block: Items, chosen: dict[int, list[tuple[int, int]]], similarity: f
         best: dict = {}
         for part, starts in places.items():
             item, words = block.parts[part]
-            n, at = len(words), -1
+            n, at = len(words), -len(words) - 1
             slack = max(4, n // 4)
             for s in sorted(starts):
                 if s <= at:

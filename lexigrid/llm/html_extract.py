@@ -47,7 +47,9 @@ HINTS = {
 HINT = {w: g for g, words in HINTS.items() for w in words.split()}
 FEATURES = ["bias", *(f"t_{g}" for g in GROUPS), "t_other", *HINTS, "hidden", "text0", "text_short", "text_long", "links"]
 AT = {f: k for k, f in enumerate(FEATURES)}
-EDGES = 2  # kinds of child: block, inline
+EDGES = 4  # kinds of child: block, inline, what opens content, what closes it
+OPENS = frozenset(AT[f] for f in ("t_article", "h_main"))
+CLOSES_IT = frozenset(AT[f] for f in ("t_nav", "t_header", "t_footer", "t_aside", "t_form", "t_raw", "t_head", "hidden", *HINTS) if f != "h_main")
 
 
 class Node:
@@ -146,18 +148,24 @@ def features(node: Node) -> list[int]:
     return out
 
 
+def kind(node: Node, own: list[int]) -> int:
+    """The kind of child that a node with these features is."""
+    if not CLOSES_IT.isdisjoint(own):
+        return 3
+    return 2 if not OPENS.isdisjoint(own) else 1 if node.tag in INLINE else 0
+
+
 class Model:
     """Weights of content against other, (features,), and log potentials of pairs, (kinds, parent, child)."""
 
     def __init__(self) -> None:
         self.w, self.e = np.zeros(len(FEATURES)), np.zeros((EDGES, 2, 2))
 
-    def marginals(self, nodes: list[Node], unary: list[float]) -> tuple[list[float], list]:
+    def marginals(self, nodes: list[Node], unary: list[float], kinds: list[int]) -> tuple[list[float], list]:
         """Content marginals, and for each node but the root the 2x2 marginal of (parent, node)."""
         n = len(nodes)
         f = [[[float(x) for x in row] for row in np.exp(kind)] for kind in self.e]
         own = [(1.0, float(np.exp(min(30.0, max(-30.0, u))))) for u in unary]
-        kinds = [int(x.tag in INLINE) for x in nodes]
         below = [list(x) for x in own]  # node's potential times its children's messages
         up: list = [None] * n
         for k in range(n - 1, 0, -1):  # children come after their parents
@@ -183,7 +191,8 @@ class Model:
 
     def of_page(self, page: str) -> tuple[list[float], list[tuple[int, str | None]]]:
         nodes, parts = parse(page)
-        marginal, _ = self.marginals(nodes, [float(self.w[features(x)].sum()) for x in nodes])
+        rows = [features(x) for x in nodes]
+        marginal, _ = self.marginals(nodes, [float(self.w[r].sum()) for r in rows], [kind(x, r) for x, r in zip(nodes, rows, strict=True)])
         return marginal, parts
 
     def extract(self, page: str | None) -> str:
@@ -202,7 +211,7 @@ class Model:
         return "\n".join(blocks)
 
 
-def labelled_pages(n: int = 160, seed: int = 7) -> list[str]:
+def labelled_pages(n: int = 120, seed: int = 7) -> list[str]:
     """Training pages made by rule. Elements with the attribute data-y are content, with data-n they are not; others inherit."""
     r = random.Random(seed)
     say = lambda a, b: " ".join(r.choice("alder birch cedar dogwood elm fir gorse hazel ivy juniper larch maple oak pine rowan".split()) for _ in range(r.randint(a, b)))
@@ -215,10 +224,10 @@ def labelled_pages(n: int = 160, seed: int = 7) -> list[str]:
         return f"<p>{body}</p>" if r.random() < 0.8 else f"<p><b>{body}<br>"
 
     def inside() -> str:
-        out = [f"<h{r.randint(1, 2)}>{say(2, 8)}</h1>"] if r.random() < 0.9 else []
-        for _ in range(r.randint(1, 8)):
+        out = [f"<h{r.randint(1, 2)}>{say(2, 8)}</h1>"] if r.random() < 0.7 else []
+        for _ in range(r.choice([1, 1, 2, 3, 5, 8])):
             out.append(r.choice([paragraph] * 8 + [lambda: f"<ul><li>{say(2, 12)}<li>{say(2, 12)}</ul>", lambda: f"<blockquote>{say(4, 30)}</blockquote>", lambda: f"<pre>{say(4, 20)}</pre>", lambda: f"<h3>{say(1, 5)}</h3>", lambda: f"<table><tr><td>{say(1, 4)}<td>{say(1, 4)}</table>", lambda: f"<figure><img src=a><figcaption>{say(2, 6)}</figcaption></figure>", lambda: f"<div>{say(5, 40)}</div>", lambda: f"<section>{paragraph()}</section>"])())
-            if r.random() < 0.2:
+            if r.random() < 0.4:
                 out.append(other())
         return "".join(out)
 
@@ -234,14 +243,14 @@ def labelled_pages(n: int = 160, seed: int = 7) -> list[str]:
 
     pages = []
     for _ in range(n):
-        shell = r.choice(["<article data-y>%s</article>"] * 4 + ["<main data-y>%s</main>", "<main data-y><article>%s</article></main>", "<div data-y class=content>%s</div>", "<div data-y id='post-body'>%s</div>", "<div><div data-y class='entry'>%s</div></div>", "<div data-y>%s</div>"])
+        shell = r.choice(["<article data-y>%s</article>"] * 5 + ["<main data-y>%s</main>", "<main data-y><article>%s</article></main>", "<div data-y class=content>%s</div>", "<div data-y id='post-body'>%s</div>", "<div><div data-y class='entry'>%s</div></div>", "<div data-y>%s</div>"])
         body = "".join(other() for _ in range(r.randint(1, 4))) + shell % inside() + "".join(other() for _ in range(r.randint(1, 4)))
         pages.append(f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{say(2, 6)}</title><style>p{{}}</style></head><body data-n>{body}</body></html>")
     return pages
 
 
 @cache
-def train(pages: tuple[str, ...] | None = None, steps: int = 120, rate: float = 0.5, decay: float = 0.001) -> Model:
+def train(pages: tuple[str, ...] | None = None, steps: int = 300, rate: float = 0.7, decay: float = 0.0001) -> Model:
     """Weights that maximise the likelihood of labelled pages; by default of ``labelled_pages()``."""
     model = Model()
     data = []
@@ -255,13 +264,13 @@ def train(pages: tuple[str, ...] | None = None, steps: int = 120, rate: float =
         hot = np.zeros((len(nodes), len(FEATURES)))
         for k, row in enumerate(rows):
             hot[k, row] = 1
-        data.append((nodes, hot, np.array(y, float), np.array([int(x.tag in INLINE) for x in nodes])))
+        data.append((nodes, hot, np.array(y, float), [kind(x, r) for x, r in zip(nodes, rows, strict=True)]))
     total = sum(len(d[0]) for d in data)
     fw, fe = np.full(len(FEATURES), 1e-8), np.full((EDGES, 2, 2), 1e-8)
     for _ in range(steps):
         gw, ge = -decay * model.w * total, -decay * model.e * total
         for nodes, hot, y, kinds in data:
-            m, pairs = model.marginals(nodes, (hot @ model.w).tolist())
+            m, pairs = model.marginals(nodes, (hot @ model.w).tolist(), kinds)
             gw += hot.T @ (y - np.array(m))
             for k in range(1, len(nodes)):
                 ge[kinds[k]] -= pairs[k]

@@ -130,7 +130,7 @@ def build_rules() -> list[Rule]:
         rules.append(Rule(label, "spdx", rf"spdx license identifier {spdx}(?: [0-9]+)*(?: only| or later)?", 0, 1.0))
         for v in _split(versions):
             if v:
-                rules.append(Rule(f"{label}-{v.replace(' ', '.')}", keyword_of(name), rf"{name} (?:version |v )?{v}(?: only| or later)?", 1, 0.95))
+                rules.append(Rule(f"{label}-{v.replace(' ', '.')}", keyword_of(name), rf"{name} (?:version |v ?)?{v}(?: only| or later)?", 1, 0.95))
         rules.append(Rule(label, keyword_of(name), name, 3, 0.8))
         for x in alternatives:
             for form in (rf"(?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?{x}", rf"{x} licensed?"):

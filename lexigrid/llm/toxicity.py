@@ -28,9 +28,10 @@ SAMPLE_ROWS = 20_000
 TERMS = 4_000
 LEAST_ROWS = 5
 #: Least share of a term's rows that carry the label.
-LEAST_SHARE = 0.8
+LEAST_SHARE = 0.9
 #: Words in the shingles by which copies in the sample are found, so that they count once.
 COPY_SHINGLE = 5
+COPY_KEYS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 #: Lengths of word starts that are terms besides the words.
 STARTS = (3, 4, 5)
 NEIGHBOURS = 15
@@ -86,18 +87,22 @@ def term_rows(rows: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
 
 
-def copy_key(text: str | None) -> int:
-    """The least hash of a text's shingles: near copies mostly share it, other texts don't."""
+def copy_keys(text: str | None) -> list[int]:
+    """The least hash of a text's shingles in each of COPY_KEYS orders: near copies share one or more, other texts don't."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     joined = [b" ".join(words[k : k + COPY_SHINGLE]) for k in range(max(1, len(words) - COPY_SHINGLE + 1))]
-    return min(map(xxhash.xxh64_intdigest, joined)) >> 1
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, joined), np.uint64, len(joined))
+    return [int((hashes * np.uint64(odd)).min() >> np.uint64(1)) for odd in COPY_KEYS]
 
 
 def without_copies(rows: DataFrame) -> DataFrame:
-    """Of the sampled rows (id, label, text) with the same key, the one with the smallest id."""
-    key = text_function("key long", lambda: lambda texts: (list(map(copy_key, texts)),))
-    keyed = rows.select(key(F.col("text"))["key"].alias("key"), F.struct("id", "label", "text").alias("x"))
-    return keyed.groupBy("key").agg(F.min("x").alias("x")).select("x.*")
+    """The sampled rows (id, label, text) without those that share a key with a row of smaller id, key after key."""
+    names = [f"k{j}" for j in range(len(COPY_KEYS))]
+    keys = text_function(", ".join(f"{n} long" for n in names), lambda: lambda texts: list(zip(*map(copy_keys, texts), strict=True)) or [[]] * len(names))
+    left = rows.select("id", keys(F.col("text")).alias("x")).select("id", "x.*")
+    for n in names:
+        left = left.groupBy(n).agg(F.min(F.struct("id", *names)).alias("x")).select("x.*")
+    return rows.join(left.select("id"), "id", "left_semi")
 
 
 def likelihood_ratio(yes, no, all_yes, all_no):
