@@ -54,11 +54,13 @@ def corrected(tokens: DataFrame, lemma_mode: str = "strip") -> DataFrame:
     filled = F.coalesce(x, F.when(up == "CCONJ", "J").when(up == "PRON", "P").when((up == "AUX") & (lemma == "olema"), "V").when((up == "NOUN") | ((up == "SYM") & (lemma == "%")), "S").when(up == "PUNCT", "Z").when(up == "X", "N").otherwise(F.raise_error(F.concat(F.lit("no xpos for upos "), F.coalesce(up, F.lit("null"))))))
     ending = "(ma|nud|tud|dud)$"
     verb = {"strip": F.regexp_replace(lemma, ending, ""), "ma": F.regexp_replace(lemma, ending, "ma"), "keep": lemma}[lemma_mode]
-    out = tokens.withColumn("feats", feats).withColumn("lemma", F.when(x == "V", verb).otherwise(lemma)).withColumn("xpostag", filled)
-    f = lambda k: F.try_element_at("feats", F.lit(k))
-    ordinal = (F.col("xpostag") == "N") & (up == "ADJ") & (f("NumType") == "Ord") & (f("NumForm").isNull() | (f("NumForm") == "Digit"))
-    noun = (F.col("xpostag") == "V") & (up == "NOUN") & (tokens["lemma"] == "lihtsus")
-    return out.withColumn("__o", ordinal).withColumn("__n", noun).withColumn("xpostag", F.when(F.col("__o"), "O").when(F.col("__n"), "S").otherwise(F.col("xpostag"))).withColumn("upostag", F.when(F.col("__o"), "NUM").otherwise(up)).drop("__o", "__n")
+    f = lambda k: F.try_element_at(feats, F.lit(k))
+    ordinal = F.coalesce((filled == "N") & (up == "ADJ") & (f("NumType") == "Ord") & (f("NumForm").isNull() | (f("NumForm") == "Digit")), F.lit(False))
+    noun = F.coalesce((filled == "V") & (up == "NOUN") & (lemma == "lihtsus"), F.lit(False))
+    return tokens.withColumns({
+        "feats": feats, "lemma": F.when(x == "V", verb).otherwise(lemma), "upostag": F.when(ordinal, "NUM").otherwise(up),
+        "xpostag": F.when(ordinal, "O").when(noun, "S").otherwise(filled),
+    })
 
 
 def reduced_pos(upos: Column, xpos: Column, feats: Column) -> Column:

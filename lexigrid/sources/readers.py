@@ -55,7 +55,7 @@ def read_conllu(spark: SparkSession, path: str) -> DataFrame:
 
     Whole files are the unit, since a sentence is told by its place; a file must fit in memory.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("source"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("source"), "value")
     blocks = files.select("source", F.posexplode(F.filter(F.split("value", r"\r?\n[ \t]*\r?\n"), lambda b: F.trim(b).rlike(r"(?m)^\d"))).alias("sentence", "block"))
     lines = blocks.select("source", "sentence", F.posexplode(F.filter(F.split("block", r"\r?\n"), lambda x: x.rlike(r"^\d+\t"))).alias("position", "line"))
     names = ("id", "text", "lemma", "upostag", "xpostag", "feats", "head", "deprel", "deps", "misc")
@@ -100,7 +100,7 @@ def read_word_list(spark: SparkSession, path: str) -> DataFrame:
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """(id, label) of a JSON list. The file is what is returned, unlike a loader that regenerates it."""
-    return spark.read.option("wholetext", True).text(path).select(F.posexplode(F.from_json("value", "array<string>")).alias("id", "label"))
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<string>")).alias("id", "label"))
 
 
 def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -119,7 +119,7 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], RESULTS).drop("_corrupt_record")
-    whole = spark.read.option("wholetext", True).text(path).where(F.trim("value") != "")
+    whole = spark.read.text(path, wholetext=True).where(F.trim("value") != "")
     if whole.where(~F.trim("value").startswith("[")).head(1):
         raise ValueError(f"{path} is not a JSON list; it is left as it is")
     return spark.read.schema(RESULTS).option("mode", "FAILFAST").json(path, multiLine=True).drop("_corrupt_record")
