@@ -202,8 +202,11 @@ def test_lm_score_token_by_token():
             e = net.emb[cl.of[s[lo : k + 1]]].astype(float) + net.pos[: k + 1 - lo]
             a = np.exp((e @ net.q)[-1] @ (e @ net.k).T / math.sqrt(lm_score.WIDTH))
             h = e[-1] + (a / a.sum()) @ (e @ net.v) @ net.o
-            z = (h + np.maximum(h @ net.a, 0) @ net.b) @ net.out + net.bias
-            total += z[cl.of[s[k + 1]]] - math.log(np.exp(z).sum()) + cl.inside[s[k + 1]]
+            h = h + np.maximum(h @ net.a, 0) @ net.b
+            group, member = divmod(int(cl.of[s[k + 1]]), lm_score.MEMBERS)
+            for z, at in ((h @ net.top + net.top_bias, group), (h @ net.out[group] + net.bias[group], member)):
+                total += z[at] - math.log(np.exp(z).sum())
+            total += cl.inside[s[k + 1]]
         assert got == pytest.approx(total / math.log(10), rel=1e-4)
 
 
@@ -215,7 +218,8 @@ def test_lm_gradient_and_training():
 
     def loss(flat):
         n = lm_score.Attention(flat)
-        return -float(n.log_shares(n.last(x[:, :-1], ok), x[:, 1:][ok]).astype(float).mean())
+        rows = n.last(x[:, :-1], np.full(4, lm_score.WINDOW), np.zeros(4, int))[ok.ravel()]
+        return -float(n.log_shares(rows, x[:, 1:][ok]).astype(float).mean())
 
     g, d = net.gradient(x[:, :-1], x[:, 1:], ok), r.normal(0, 1, lm_score.Attention.SIZE).astype(np.float32)
     assert (loss(net.flat + 2e-3 * d) - loss(net.flat - 2e-3 * d)) / 4e-3 == pytest.approx(float(g @ d), rel=0.05, abs=0.02)
