@@ -1,14 +1,17 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment (operator 10).
 
-Every item gives its n-grams of SEED words. Their corpus frequencies are counted over all documents; in
-each stretch of STRETCH consecutive n-grams the rarest become seeds, so every part of an item keeps one,
-however common the item is. Seeds found in a document join it to items; Smith-Waterman over words scores
-the item against the part of the document around the seeds. Items are taken in blocks of bounded size,
-each broadcast, against all documents.
+Every item gives its n-grams of SEED words; their corpus frequencies are counted over all documents. An
+alignment that is similar enough leaves a known number of a passage's n-grams whole (see ``least_whole``),
+and whole ones occur in the corpus, so of those that occur the rarest are seeds, as many as make sure that
+one at least is whole in every such alignment. Seeds found in a document join it to passages; of these,
+passages with enough n-grams near one diagonal are scored by Smith-Waterman over words against the part of
+the document around them. No step loses an alignment. Items are taken in blocks of bounded size, each
+broadcast, against all documents.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -18,9 +21,8 @@ from pyspark.sql import functions as F
 
 from lexigrid.llm.common import map_chunks, text_function
 
-#: Words in a seed; consecutive n-grams of which one at least is a seed.
-SEED = 3
-STRETCH = 5
+#: Words in a seed: an alignment at SIMILARITY may leave no run of three words whole, but always one of two.
+SEED = 2
 #: Share of an item's words (or of MOST_WORDS, for longer items) that must be aligned, and matched words in the aligned part.
 SIMILARITY = 0.8
 #: Fixed values of the alignment: match, mismatch, gap.
@@ -115,19 +117,23 @@ class Items:
         return np.where(ok, code % (1 << 62), 0)
 
 
-def seeds_of(items: Items, frequency: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-    """Code of each seed, with its (passage, place): in every stretch of a passage's n-grams, the rarest."""
-    of_part: dict[int, dict[int, int]] = defaultdict(dict)
-    for gram, places in items.grams.items():
-        for part, k in places:
-            of_part[part][k] = items.code(gram)
-    chosen: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for part, codes in of_part.items():
-        keep = set()
-        for s in range(max(1, len(codes) - STRETCH + 1)):
-            keep.add(min(range(s, min(s + STRETCH, len(codes))), key=lambda k: (frequency.get(codes[k], 0), k)))
-        for k in sorted(keep):
-            chosen[codes[k]].append((part, k))
+def least_whole(n: int, similarity: float) -> int:
+    """The fewest n-grams of SEED = 2 words that an alignment with a passage of ``n`` words leaves whole.
+
+    m matched words in a part of L words of the document, with m >= similarity * n and m >= similarity * L,
+    stand in at most 1 + (n - m) + (L - m) runs, and a run of r words holds r - 1 n-grams. The bound is above
+    zero for any similarity of 0.8 or more; below that one n-gram is asked for.
+    """
+    return max(1, math.ceil(n * (3 * similarity - 2) - 1 - 1e-9))
+
+
+def seeds_of(items: Items, frequency: dict[int, int], similarity: float = SIMILARITY) -> dict[int, list[int]]:
+    """Code of each seed, with its passages: of a passage's n-grams that occur in documents the rarest, all but least_whole - 1."""
+    chosen: dict[int, list[int]] = defaultdict(list)
+    for part, (_, words) in enumerate(items.parts):
+        codes = sorted((c for c in items.codes(words, SEED).tolist() if c in frequency), key=lambda c: (frequency[c], c))
+        for c in dict.fromkeys(codes[: max(0, len(codes) - least_whole(len(words), similarity) + 1)]):
+            chosen[c].append(part)
     return dict(chosen)
 
 
@@ -144,7 +150,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ddl = f"`{id_col}` {id_type}, `{item_col}` {item_type}, similarity double, matched long, start_word long, end_word long"
     out = None
     for rows in item_blocks(benchmark, item_col, item_text_col):
-        shared, seeds = prepare(docs, Items(rows), text_col)
+        shared, seeds = prepare(docs, Items(rows), text_col, similarity)
 
         def setup(shared=shared, seeds=seeds):
             find = finder(shared.value, seeds.value, similarity)
@@ -169,7 +175,7 @@ def item_blocks(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iter
         yield [(r["item"], r["text"]) for r in part.toLocalIterator()]
 
 
-def prepare(docs: DataFrame, items: Items, text_col: str):
+def prepare(docs: DataFrame, items: Items, text_col: str, similarity: float):
     """A block's items and its seeds, both broadcast; the corpus frequencies come from all documents."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
@@ -196,30 +202,71 @@ def prepare(docs: DataFrame, items: Items, text_col: str):
 
     counted = map_chunks(docs, [F.col(text_col)], "code long, n long", count_setup).groupBy("code").agg(F.sum("n").alias("n"))
     frequency = {r["code"]: r["n"] for r in counted.toLocalIterator()}  # n-grams of one block: under BLOCK_ITEMS times its words
-    seeds = docs.sparkSession.sparkContext.broadcast(seeds_of(items, frequency))
+    seeds = docs.sparkSession.sparkContext.broadcast(seeds_of(items, frequency, similarity))
     return shared, seeds
 
 
-def finder(block: Items, chosen: dict[int, list[tuple[int, int]]], similarity: float):
+def finder(block: Items, chosen: dict[int, list[int]], similarity: float):
     """A function from a text to its held items: sorted (item, similarity, matched, start word, end word)."""
-    wide = np.array(sorted(c for g in block.grams if len(g) == SEED and (c := block.code(g)) in chosen), np.int64)
+    rare = np.array(sorted(chosen), np.int64)
     narrow = {w: np.array(sorted(block.code(g) for g in block.whole if len(g) == w), np.int64) for w in {len(g) for g in block.whole}}
+    whole = {block.code(g): block.grams[g] for g in block.whole}
+    own = [block.codes(words, SEED) for _, words in block.parts]
+    least = np.array([least_whole(len(words), similarity) for _, words in block.parts], np.int64)
+    # all n-grams of the passages in the order of their codes: code, passage, place
+    codes = np.concatenate([*own, np.zeros(0, np.int64)])
+    part_of = np.repeat(np.arange(len(own)), [len(c) for c in own])
+    place_of = np.concatenate([*(np.arange(len(c)) for c in own), np.zeros(0, np.int64)])
+    order = np.argsort(codes, kind="stable")
+    codes, part_of, place_of = codes[order], part_of[order], place_of[order]
+
+    def near_seeds(ids: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """(passage, sorted starts) of the passages that can be held: with a seed, and enough n-grams near one diagonal."""
+        got = block.codes(ids, SEED)
+        if not len(got) or not len(rare):
+            return
+        at = np.minimum(np.searchsorted(rare, got), len(rare) - 1)
+        seeds = np.unique(got[rare[at] == got]).tolist()
+        if not seeds:
+            return
+        seeded = np.zeros(len(own), bool)
+        for c in seeds:
+            seeded[chosen[c]] = True
+        lo, hi = np.searchsorted(codes, got), np.searchsorted(codes, got, "right")
+        hits = np.flatnonzero(hi > lo)
+        n = (hi - lo)[hits]
+        entry = np.repeat(lo[hits] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        part, start = part_of[entry], np.repeat(hits, n) - place_of[entry]
+        enough = seeded & (np.bincount(part, minlength=len(own)) >= least)
+        keep = enough[part]
+        part, start = part[keep], start[keep]
+        by = np.lexsort((start, part))
+        part, start = part[by], start[by]
+        bounds = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if a == b:
+                continue
+            p, starts = int(part[a]), start[a:b]
+            k, width = int(least[p]) - 1, len(block.parts[p][1]) // 2 + 1  # gaps that an alignment can have, and one more
+            first = np.flatnonzero(starts[k:] - starts[: len(starts) - k] <= width)
+            if len(first):
+                inside = np.zeros(len(starts) + 1, np.int64)
+                np.add.at(inside, first, 1)
+                np.add.at(inside, first + k + 1, -1)
+                yield p, np.unique(starts[np.cumsum(inside)[:-1] > 0]).tolist()
 
     def of_text(text: str | None) -> list[tuple]:
         ids = block.of_text(text)
-        places: dict[int, list[int]] = defaultdict(list)
-        for width, codes in ((SEED, wide), *narrow.items()):
+        places: dict[int, list[int]] = dict(near_seeds(ids))
+        for width, short in narrow.items():
             got = block.codes(ids, width)
-            if not len(got) or not len(codes):
-                continue
-            at = np.minimum(np.searchsorted(codes, got), len(codes) - 1)
-            for p in np.flatnonzero(codes[at] == got).tolist():
-                for part, k in chosen.get(int(got[p]), ()):
-                    places[part].append(p - k)
+            for p in np.flatnonzero(np.isin(got, short)).tolist():
+                for part, k in whole[int(got[p])]:
+                    places.setdefault(part, []).append(p - k)
         best: dict = {}
         for part, starts in places.items():
             item, words = block.parts[part]
-            n, at = len(words), -len(words) - 1
+            n, at = len(words), -len(words) * 2 - 9
             slack = max(4, n // 4)
             for s in sorted(starts):
                 if s <= at:
@@ -238,7 +285,7 @@ def finder(block: Items, chosen: dict[int, list[tuple[int, int]]], similarity: f
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, all columns, whose own text holds no benchmark item; nothing is shuffled."""
     for rows in item_blocks(benchmark, item_col, item_text_col):
-        shared, seeds = prepare(docs, Items(rows), text_col)
+        shared, seeds = prepare(docs, Items(rows), text_col, similarity)
 
         def setup(shared=shared, seeds=seeds):
             find = finder(shared.value, seeds.value, similarity)

@@ -499,6 +499,44 @@ def test_decontamination_in_blocks(spark, sf, docs, monkeypatch):
                 assert any(x[0] == r["doc_id"] and x[1] == i for x in whole)
 
 
+def edited_copy(rng, words, edits, kinds):
+    """The words with about ``edits`` spread substitutions, deletions or insertions."""
+    out = list(words)
+    for at in sorted(rng.choice(np.arange(1, len(words) - 1), min(edits, len(words) - 2), replace=False).tolist(), reverse=True):
+        kind = kinds[int(rng.integers(len(kinds)))]
+        out[at : at + (kind != "in")] = [] if kind == "out" else [f"new{rng.integers(1000)}"]
+    return out
+
+
+def test_decontamination_finds_all_that_alignment_finds(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"v{k}" for k in range(400)]
+    items = {k: [vocabulary[w] for w in rng.integers(400, size=n)] for k, n in enumerate([15] * 8 + [5, 6, 20, 31, 50])}
+    noise = lambda n: [vocabulary[w] for w in rng.integers(400, size=n)]
+    texts = []
+    for words in items.values():
+        texts.append(noise(20) + words + noise(20))  # an exact copy makes the edited copies' n-grams look common
+        for edits in (1, 2, 3, len(words) // 5):
+            texts += [noise(20) + edited_copy(rng, words, edits, kinds) + noise(20) for kinds in (["sub"], ["out"], ["in"], ["sub", "out", "in"])]
+    texts.append([w for k, w in enumerate(items[8]) if k != 2])
+    items[99] = [f"u{k}" for k in range(15)]  # deletions and insertions in turn leave no three words together
+    texts.append([x for k, w in enumerate(items[99]) for x in ([] if k in (2, 7, 12) else ["in", w] if k in (5, 10) else [w])])
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in items.items()], "item_id long, text string")
+    ids: dict = {}
+    number = lambda words: np.array([ids.setdefault(w, len(ids)) for w in words])
+    want = set()
+    for d, t in enumerate(texts):
+        for i, words in items.items():
+            _, matched, _, b, e = decontaminate.align(number(words), number(t))
+            if matched >= 0.8 * len(words) and matched >= 0.8 * (e - b):
+                want.add((d, i))
+    assert len(want) > 150
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench).collect()}
+    assert want <= got and len(got) <= len(want) + 2
+    assert {r[0] for r in decontaminate.drop_contaminated(df, bench).select("doc_id").collect()} == set(range(len(texts))) - {d for d, _ in got}
+
+
 # pipeline
 
 
