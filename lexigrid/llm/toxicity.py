@@ -1,9 +1,8 @@
 """Toxicity by nearest labelled examples (operator 9).
 
-Terms are words and the first letters of words that stand for the label: their association is beyond
-chance (a likelihood-ratio test over a bounded, documented sample of labelled rows, in which copies of a
-text count once) and most of their rows carry it. Examples of that sample are
-indexed by term in blocks with the largest weight of each block; a search visits blocks in order of
+Terms are words and the first letters of words that are associated with the label, for or against it
+(a likelihood-ratio test at the 5 % level over a bounded, documented sample of labelled rows, in which
+copies of a text count once). Examples of that sample are indexed by term in blocks with the largest weight of each block; a search visits blocks in order of
 their upper bound and stops when no block can enter the nearest K, so the exact cosine neighbours are
 found. Votes are weighted by distance, with the label's share as prior.
 """
@@ -12,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable
 
@@ -25,10 +25,10 @@ from lexigrid.llm.common import cut, fold, hash_order, map_chunks, text_function
 #: Labelled rows that the classifier is fitted on (expected number; fixed by a hash of the id).
 SAMPLE_ROWS = 20_000
 #: Most terms, and least rows that a term stands in.
-TERMS = 4_000
+TERMS = 20_000
 LEAST_ROWS = 5
-#: Least share of a term's rows that carry the label.
-LEAST_SHARE = 0.9
+#: Least likelihood ratio of a term: the 5 % level of chi-squared with one degree of freedom.
+LEAST_RATIO = 3.84
 #: Words in the shingles by which copies in the sample are found, so that they count once.
 COPY_SHINGLE = 5
 COPY_KEYS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -36,6 +36,8 @@ COPY_KEYS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8F
 STARTS = (3, 4, 5)
 NEIGHBOURS = 15
 BLOCK = 64
+#: Blocks of the largest upper bounds that a search reads first.
+FIRST_BLOCKS = 8
 #: Weight of the prior in the vote, and what is added to a distance before its inverse is taken.
 PRIOR_WEIGHT = 1.0
 SOFTEN = 0.1
@@ -114,30 +116,37 @@ def likelihood_ratio(yes, no, all_yes, all_no):
 
 
 class Index:
-    """Block-max inverted index of examples: (id, label, {term: count})."""
+    """Block-max inverted index of examples, in their order: (id, label, {term: count})."""
 
     def __init__(self, idf: dict[str, float], examples: Iterable[tuple], prior: float) -> None:
         self.idf, self.prior = idf, prior
         self.ids, self.labels = [], []
-        lists: dict[str, list[tuple[int, float]]] = {}
+        lists: dict[str, tuple[array, array]] = {}  # of each term: examples, weights
         self.blank = [0, 0]
-        for doc, label, counts in sorted(examples, key=lambda x: (x[0] is None, x[0], x[1])):
+        for doc, label, counts in examples:
             vector = self.vector(counts)
             if not vector:
                 self.blank[label] += 1
                 continue
             for t, w in vector.items():
-                lists.setdefault(t, []).append((len(self.ids), w))
+                if t not in lists:
+                    lists[t] = array("i"), array("d")
+                lists[t][0].append(len(self.ids))
+                lists[t][1].append(w)
             self.ids.append(doc)
             self.labels.append(label)
-        blocks = -(-len(self.ids) // BLOCK)
-        self.blocks = blocks
-        self.postings = {}
-        for t, entries in lists.items():
-            at, w = np.array([e[0] for e in entries]), np.array([e[1] for e in entries])
-            most = np.zeros(blocks)
-            np.maximum.at(most, at // BLOCK, w)
-            self.postings[t] = (at, w, np.searchsorted(at, np.arange(blocks + 1) * BLOCK), most)
+        blocks = self.blocks = -(-len(self.ids) // BLOCK)
+        self.row = {t: k for k, t in enumerate(sorted(lists))}
+        self.at = np.concatenate([np.zeros(0, np.int32), *(np.array(lists[t][0], np.int32) for t in self.row)])
+        self.weight = np.concatenate([np.zeros(0), *(np.array(lists[t][1]) for t in self.row)])
+        self.starts = np.zeros((len(lists), blocks + 1), np.int32)  # of each term's list, where each block begins
+        self.most = np.zeros((len(lists), blocks))
+        begin = 0
+        for k, t in enumerate(self.row):
+            at = self.at[begin : begin + len(lists[t][0])]
+            self.starts[k] = begin + np.searchsorted(at, np.arange(blocks + 1) * BLOCK)
+            np.maximum.at(self.most[k], at // BLOCK, self.weight[begin : begin + len(at)])
+            begin += len(at)
         self.cache: dict = {}
         self.words: dict[str, tuple] = {}
 
@@ -148,28 +157,35 @@ class Index:
 
     def nearest(self, query: dict[str, float], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """The k examples with the largest cosine above zero, as (cosine, example); ties go to the first example."""
-        lists = [(w, *self.postings[t]) for t, w in sorted(query.items()) if t in self.postings]
-        if not lists:
+        terms = [(self.row[t], w) for t, w in sorted(query.items()) if t in self.row]
+        if not terms:
             return []
-        bound = sum(w * most for w, _, _, _, most in lists)
-        order = np.lexsort((np.arange(self.blocks), -bound))
-        best: list[tuple[float, int]] = []
-        for b in order.tolist():
-            if bound[b] <= 0:
-                break
-            if len(best) == k:
-                worst = best[-1]
-                if bound[b] < -worst[0] - 1e-9:
-                    break
-                if bound[b] <= -worst[0] + 1e-9 and b * BLOCK > worst[1]:
-                    continue
-            scores = np.zeros(BLOCK)
-            for w, at, weight, starts, _ in lists:
-                lo, hi = starts[b], starts[b + 1]
-                scores[at[lo:hi] - b * BLOCK] += w * weight[lo:hi]
-            best = sorted(best + [(-round(s, 12), b * BLOCK + j) for j, s in enumerate(scores.tolist()) if s > 0])[:k]
+        rows, weights = np.array([t for t, _ in terms]), np.array([w for _, w in terms])
+        bound = weights @ self.most[rows]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        best = self.of_blocks(rows, weights, np.sort(order[:FIRST_BLOCKS]), k)
+        rest = order[FIRST_BLOCKS:]
+        if len(best) == k:  # a block that can't reach the worst of the best is left out
+            rest = rest[bound[rest] >= -best[-1][0] - 1e-9]
+        if len(rest):
+            best = sorted(best + self.of_blocks(rows, weights, np.sort(rest), k))[:k]
         return [(-s, j) for s, j in best]
 
+    def of_blocks(self, rows: np.ndarray, weights: np.ndarray, blocks: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The k best (minus cosine, example) of some blocks."""
+        # neighbouring blocks are read as one run of postings
+        edge = np.flatnonzero(np.diff(blocks) != 1) + 1
+        first, last = blocks[np.concatenate(([0], edge))], blocks[np.concatenate((edge - 1, [len(blocks) - 1]))] + 1
+        lo = self.starts[rows[:, None], first].ravel().astype(np.int64)
+        n = self.starts[rows[:, None], last].ravel() - lo
+        entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        scores = np.bincount(self.at[entry], self.weight[entry] * np.repeat(np.repeat(weights, len(first)), n), minlength=len(self.ids))
+        found = np.flatnonzero(scores > 0)
+        if len(found) > k:  # ties of the k-th stay in until they are put in order
+            found = found[scores[found] >= np.partition(scores[found], len(found) - k)[len(found) - k] - 1e-11]
+        return sorted((-round(s, 12), j) for s, j in zip(scores[found].tolist(), found.tolist(), strict=True))[:k]
+
     def selected(self, text: str | None) -> dict[str, int]:
         """Counts of the indexed terms of a text."""
         out: dict[str, int] = {}
@@ -221,26 +237,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Index({}, [], 0.0)
     tested = term_rows(rows).where(F.col("yes") + F.col("no") >= min(LEAST_ROWS, 1 + (n_yes + n_no) // 100))
     tested = tested.withColumn("g", likelihood_ratio(F.col("yes"), F.col("no"), float(n_yes), float(n_no)))
-    stats = tested.agg(F.count(F.lit(1)).alias("m"))
-    tested = tested.crossJoin(F.broadcast(stats)).where("g > 2 * ln(m) + 4").where(F.col("yes") >= LEAST_SHARE * (F.col("yes") + F.col("no")))  # stats is one row
+    tested = tested.where(F.col("g") > LEAST_RATIO)
     top = tested.orderBy(F.desc("g"), "term").limit(TERMS).select("term", F.col("yes") + F.col("no")).collect()
+    names = [t for t, _ in top]
     idf = {t: math.log(1 + (n_yes + n_no) / n) for t, n in top}
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def setup():
-        known = shared.value
+        known = {t: k for k, t in enumerate(shared.value)}
 
         def f(ids: list | None = None, labels: list | None = None, texts: list | None = None):
             if ids is None:
                 return
-            found = [{t: k for t, k in counts_of(x).items() if t in known} for x in texts]
+            found = [{known[t]: k for t, k in counts_of(x).items() if t in known} for x in texts]
             yield ids, labels, [list(c) for c in found], [list(c.values()) for c in found]
 
         return f
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    vectors = map_chunks(rows, [F.col("id"), F.col("label"), F.col("text")], f"id {id_type}, label int, terms array<string>, counts array<int>", setup)
-    return Index(idf, [(r[0], r[1], dict(zip(r[2], r[3], strict=True))) for r in vectors.toLocalIterator()], n_yes / (n_yes + n_no))
+    vectors = map_chunks(rows, [F.col("id"), F.col("label"), F.col("text")], f"id {id_type}, label int, terms array<int>, counts array<int>", setup)
+    found = [(r[0], r[1], array("i", r[2]), array("i", r[3])) for r in vectors.toLocalIterator()]
+    found.sort(key=lambda x: (x[0] is None, x[0], x[1]))
+    return Index(idf, ((i, label, {names[t]: k for t, k in zip(terms, counts, strict=True)}) for i, label, terms, counts in found), n_yes / (n_yes + n_no))
 
 
 def score_function(docs: DataFrame, index: Index, id_type: str):

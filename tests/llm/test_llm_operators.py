@@ -450,6 +450,16 @@ def test_toxicity(spark, edge):
     assert toxicity.drop_toxic(edge, index).columns == edge.columns
 
 
+def test_toxicity_scores_texts_by_neighbours(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    index = toxicity.fit(docs, labels)
+    seen = [set(toxicity.counts_of(r["text"])) for r in docs.collect() if toxic.get(r["doc_id"]) == 0]
+    assert any(sum(t in s for s in seen) > len(seen) // 4 for t in index.idf)  # terms that speak against the label, too
+    got = [r["evidence"] for r in toxicity.score(docs, index).collect()]
+    assert sum(bool(e) for e in got) > 0.8 * len(got)
+
+
 # 10
 
 
