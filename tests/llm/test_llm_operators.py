@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexigrid.llm import bpe, decontaminate, exact_dedup, html_extract, lang_id, license_scan, lm_score, queries, simhash, toxicity, url_filter
+from lexigrid.llm import bpe, decontaminate, exact_dedup, html_extract, lang_id, license_scan, lm_score, near_dedup, queries, simhash, toxicity, url_filter
 from lexigrid.llm.common import connected_components, table
 
 CLASHING = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, fingerprint string, x string, fp string, id string, label string, score string, digest string, key string, uid string, item_id string, held_out string"
@@ -550,6 +550,46 @@ def test_decontamination_finds_all_that_alignment_finds(spark):
 # pipeline
 
 
+@pytest.mark.parametrize("counted", [0, 20_000])
+def test_near_dedup_stage_drops_all_similar_texts(spark, edge, docs, sf, counted, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SAMPLE_ROWS", counted)
+    rng = np.random.default_rng(3)
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    for k, edits in enumerate([1, 2, 3, 4, 5, 6, 7, 8] * 6):
+        words = [f"n{w}" for w in rng.integers(500, size=200)]
+        rows += [(10**6 + 2 * k, " ".join(words)), (10**6 + 2 * k + 1, " ".join(edited_copy(rng, words, edits, ["sub", "out", "in"])))]
+    rows.append((rows[0][0], "another text of a repeated id that nothing else is like"))
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    holders: dict = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    group = list(range(len(rows)))
+
+    def root(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    for k, s in enumerate(sets):
+        for j, n in Counter(j for x in s for j in holders[x] if j < k).items():
+            if n / (len(s) + len(sets[j]) - n) >= 0.8:
+                a, b = root(k), root(j)
+                group[max(a, b)] = min(a, b)
+    least: dict = {}
+    for k, (i, _) in enumerate(rows):
+        least[root(k)] = min(i, least.get(root(k), i))
+    want = sorted(r for k, r in enumerate(rows) if r[0] == least[root(k)])
+    assert 20 < len(rows) - len(want)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, corpus_pipeline.near_dedup_stage(spark, df, sf).collect())) == want
+    assert near_dedup.drop_near_duplicates(edge).columns == edge.columns
+    assert near_dedup.drop_near_duplicates(edge.limit(0)).count() == 0
+
+
 def test_pipeline_stages(spark, sf, docs, edge):
     before = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
