@@ -226,6 +226,25 @@ def test_lm_gradient_and_training():
     assert loss(net.train(x, ok, 60, 0.02, 1).flat) < loss(net.flat)
 
 
+def test_lm_training_reads_every_window_in_every_round(spark, monkeypatch):
+    seen: list = []
+    monkeypatch.setattr(lm_score.Attention, "gradient", lambda self, x, y, ok: seen.extend(x[:, 0].tolist()) or np.zeros_like(self.flat))
+    count = 3 * lm_score.STEP_WINDOWS - 5
+    windows = np.repeat(np.arange(count)[:, None], lm_score.WINDOW + 1, axis=1)
+    lm_score.Attention(np.zeros(lm_score.Attention.SIZE, np.float32)).train(windows, np.ones((count, lm_score.WINDOW), bool), 3, 0.01, 1)
+    assert set(seen) == set(range(count))
+    monkeypatch.undo()
+
+    def no_part(*_):
+        raise AssertionError("a round must not take a part of the windows")
+
+    monkeypatch.setattr(lm_score, "TASK_WINDOWS", 2)
+    monkeypatch.setattr(lm_score.F, "pmod", no_part)
+    classes = lm_score.Classes.from_counts(np.arange(2000.0))
+    rows = spark.createDataFrame([(k, bytearray(np.arange(20, dtype="<u2").tobytes())) for k in range(9)], "key long, ids binary")
+    assert np.isfinite(lm_score.train_attention(rows, classes)).all()
+
+
 def test_lm_base_score(edge):
     got = lm_score.score_corpus(edge, f"{queries.TOKENIZERS}/byte_bpe_multi_50k.tiktoken").collect()
     rows = [(r["doc_id"], r["text"]) for r in edge.select("doc_id", "text").collect()]
