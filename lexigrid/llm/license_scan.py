@@ -90,7 +90,8 @@ SENTENCES = (
     ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification"),
     ("bsd", "neither the name", "neither the name of .{1,80}? nor the names of its contributors"),
     ("apache", "licensed under the apache", "licensed under the apache license version 2 0 the license you may not use this file"),
-    ("gpl", "free software foundation", "(?:redistribute it and or modify it|either version \\d) .{0,60}?(?:published by the free software foundation|any later version)"),
+    ("gpl", "free software foundation", "(?:redistribute it and or modify it|either version \\d) .{0,60}?published by the free software foundation"),
+    ("gpl", "any later version", "(?:redistribute it and or modify it|either version \\d) .{0,60}?any later version"),
     ("zlib", "provided as is without any express", "provided as is without any express or implied warranty in no event"),
     ("unlicense", "released into the public domain", "free and unencumbered software released into the public domain"),
     ("public-domain", "public domain", "(?:in|into|to|is) the public domain"),

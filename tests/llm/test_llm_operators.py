@@ -180,6 +180,14 @@ def test_license_rules():
     assert s.scan("nothing here")[4:7] == ("", "", 0.0)
 
 
+def test_license_sentences_hold_their_keyword(spark):
+    for _, keyword, pattern in license_scan.SENTENCES:
+        assert keyword in re.sub(r"\(\?:[^()]*\)\??", "\0", re.sub(r"\((?:\?:)[^()]*\)\?", "\0", pattern)), pattern
+    text = "under the terms of either version 3 of the license, or (at your option) any later version."
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert any("gpl" in str(x) for x in license_scan.scan_licenses(df).first())
+
+
 # 4
 
 
