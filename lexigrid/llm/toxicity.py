@@ -1,10 +1,12 @@
 """Toxicity by nearest labelled examples (operator 9).
 
-Terms are words and the first letters of words that are associated with the label, for or against it
-(a likelihood-ratio test at the 5 % level over a bounded, documented sample of labelled rows, in which
-copies of a text count once). Examples of that sample are indexed by term in blocks with the largest weight of each block; a search visits blocks in order of
-their upper bound and stops when no block can enter the nearest K, so the exact cosine neighbours are
-found. Votes are weighted by distance, with the label's share as prior.
+Examples are a bounded, documented sample of labelled rows, in which copies of a text count once. Two block-max
+inverted indexes hold them under TF-IDF. The first has marks: words and starts of words that are associated with
+the label, for or against it, by a likelihood-ratio test at the 5 % level. The second has all words, whatever
+the label, of the examples without a mark. A text with a mark has its neighbours in the first index, any other
+text in the second. A search visits blocks in order of their upper bound and stops when no block can enter the
+nearest K, so the exact cosine neighbours are found.
+Votes are weighted by distance, with the label's share among an index's examples as prior.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import math
 import re
 from array import array
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import xxhash
@@ -24,20 +26,23 @@ from lexigrid.llm.common import cut, fold, hash_order, map_chunks, text_function
 
 #: Labelled rows that the classifier is fitted on (expected number; fixed by a hash of the id).
 SAMPLE_ROWS = 20_000
-#: Most terms, and least rows that a term stands in.
-TERMS = 20_000
+#: Least examples that a term stands in.
 LEAST_ROWS = 5
-#: Least likelihood ratio of a term: the 5 % level of chi-squared with one degree of freedom.
+#: A mark's likelihood ratio is above this: the 5 % level of chi-squared with one degree of freedom.
 LEAST_RATIO = 3.84
 #: Words in the shingles by which copies in the sample are found, so that they count once.
 COPY_SHINGLE = 5
 COPY_KEYS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
-#: Lengths of word starts that are terms besides the words.
+#: Lengths of word starts that are tested besides the words.
 STARTS = (3, 4, 5)
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 256
 #: Blocks of the largest upper bounds that a search reads first.
 FIRST_BLOCKS = 8
+#: Terms in more than this share of an index's examples are held as rows over all examples, not as lists.
+COMMON_SHARE = 1 / 16
+#: Scores are added up in single precision; all that may be among the nearest by this margin are scored again in double.
+MARGIN = 1e-4
 #: Weight of the prior in the vote, and what is added to a distance before its inverse is taken.
 PRIOR_WEIGHT = 1.0
 SOFTEN = 0.1
@@ -115,111 +120,194 @@ def likelihood_ratio(yes, no, all_yes, all_no):
     return 2 * (part(yes, all_yes * share) + part(no, all_no * share) + part(all_yes - yes, all_yes * (1 - share)) + part(all_no - no, all_no * (1 - share)))
 
 
-class Index:
-    """Block-max inverted index of examples, in their order: (id, label, {term: count})."""
+class BlockMax:
+    """Block-max inverted index of unit vectors, given as (term numbers, weights) and in the order of their ids.
 
-    def __init__(self, idf: dict[str, float], examples: Iterable[tuple], prior: float) -> None:
-        self.idf, self.prior = idf, prior
-        self.ids, self.labels = [], []
-        lists: dict[str, tuple[array, array]] = {}  # of each term: examples, weights
-        self.blank = [0, 0]
-        for doc, label, counts in examples:
-            vector = self.vector(counts)
-            if not vector:
-                self.blank[label] += 1
-                continue
-            for t, w in vector.items():
-                if t not in lists:
-                    lists[t] = array("i"), array("d")
-                lists[t][0].append(len(self.ids))
-                lists[t][1].append(w)
-            self.ids.append(doc)
-            self.labels.append(label)
-        blocks = self.blocks = -(-len(self.ids) // BLOCK)
-        self.row = {t: k for k, t in enumerate(sorted(lists))}
-        self.at = np.concatenate([np.zeros(0, np.int32), *(np.array(lists[t][0], np.int32) for t in self.row)])
-        self.weight = np.concatenate([np.zeros(0), *(np.array(lists[t][1]) for t in self.row)])
-        self.starts = np.zeros((len(lists), blocks + 1), np.int32)  # of each term's list, where each block begins
-        self.most = np.zeros((len(lists), blocks))
-        begin = 0
-        for k, t in enumerate(self.row):
-            at = self.at[begin : begin + len(lists[t][0])]
-            self.starts[k] = begin + np.searchsorted(at, np.arange(blocks + 1) * BLOCK)
-            np.maximum.at(self.most[k], at // BLOCK, self.weight[begin : begin + len(at)])
-            begin += len(at)
-        self.cache: dict = {}
-        self.words: dict[str, tuple] = {}
-
-    def vector(self, counts: dict) -> dict[str, float]:
-        v = {t: (1 + math.log(k)) * self.idf[t] for t, k in counts.items() if t in self.idf}
-        norm = math.sqrt(sum(w * w for w in v.values()))
-        return {t: w / norm for t, w in v.items()} if norm else {}
-
-    def nearest(self, query: dict[str, float], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-        """The k examples with the largest cosine above zero, as (cosine, example); ties go to the first example."""
-        terms = [(self.row[t], w) for t, w in sorted(query.items()) if t in self.row]
-        if not terms:
-            return []
-        rows, weights = np.array([t for t, _ in terms]), np.array([w for _, w in terms])
-        bound = weights @ self.most[rows]
+    Vectors are held in the order of their heaviest common term, so that a block's vectors are alike.
+    """
+
+    def __init__(self, vectors: Sequence[tuple[np.ndarray, np.ndarray]], n_terms: int) -> None:
+        n = self.n = len(vectors)
+        sizes = np.array([len(t) for t, _ in vectors], np.int64)
+        terms = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in vectors)])
+        weights = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
+        count = np.bincount(terms, minlength=n_terms)
+        common = np.flatnonzero(count > n * COMMON_SHARE)
+        self.common_of = np.full(n_terms, -1, np.int32)
+        self.common_of[common] = np.arange(len(common))
+        owner = np.repeat(np.arange(n), sizes)
+        heavy = np.zeros(n, np.int64)
+        among = np.flatnonzero(self.common_of[terms] >= 0)
+        among = among[np.argsort(weights[among], kind="stable")]
+        heavy[owner[among]] = terms[among]  # the last, heaviest one stays
+        self.name = np.lexsort((np.arange(n), heavy))  # of each place the vector's number
+        place = np.empty(n, np.int64)
+        place[self.name] = np.arange(n)
+        at = place[owner]
+        by = np.lexsort((terms, at))
+        self.own_terms, self.own_weights, self.own_starts = terms[by], weights[by], np.concatenate(([0], np.cumsum(sizes[self.name])))
+        is_common = self.common_of[terms] >= 0
+        self.dense = np.zeros((len(common), n), np.float32)
+        self.dense[self.common_of[terms[is_common]], at[is_common]] = weights[is_common]
+        terms, at, weights = terms[~is_common], at[~is_common], weights[~is_common]
+        by = np.lexsort((at, terms))
+        terms, self.at, self.weight = terms[by], at[by].astype(np.int32), weights[by].astype(np.float32)
+        blocks = self.blocks = -(-n // BLOCK)
+        rows = np.unique(terms)
+        self.row_of = np.full(n_terms, -1, np.int32)
+        self.row_of[rows] = np.arange(len(rows))
+        cell = self.row_of[terms].astype(np.int64) * blocks + self.at // BLOCK
+        # of each term's list, where each block begins, and its largest weight there
+        self.starts = np.searchsorted(cell, np.arange(len(rows) * blocks + 1)).astype(np.int32)
+        self.most = np.zeros(len(rows) * blocks, np.float32)
+        np.maximum.at(self.most, cell, self.weight)
+        self.most = self.most.reshape(len(rows), blocks)
+        self.edges = np.arange(0, n, BLOCK)
+        self.query = np.zeros(n_terms)
+
+    def nearest(self, queries: Sequence[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[list[tuple[float, int]]]:
+        """Of each query the k vectors with the largest cosine above zero, as (cosine, number); ties go to the first number."""
+        if not self.n:
+            return [[] for _ in queries]
+        wide = np.zeros((len(queries), len(self.dense)), np.float32)
+        for row, (terms, weights) in zip(wide, queries, strict=True):
+            at = self.common_of[terms]
+            row[at[at >= 0]] = weights[at >= 0]
+        base = wide @ self.dense
+        return [self._nearest(own, terms, weights, k) for own, (terms, weights) in zip(base, queries, strict=True)]
+
+    def _nearest(self, scores: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """``scores`` has what common terms give to each place, and gets what the others give."""
+        rows = self.row_of[terms]
+        rare = rows >= 0
+        rows, light = rows[rare].astype(np.int64), weights[rare].astype(np.float32)
+        bound = np.maximum.reduceat(scores, self.edges)
+        if len(rows):
+            bound += light @ self.most[rows]
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        best = self.of_blocks(rows, weights, np.sort(order[:FIRST_BLOCKS]), k)
-        rest = order[FIRST_BLOCKS:]
-        if len(best) == k:  # a block that can't reach the worst of the best is left out
-            rest = rest[bound[rest] >= -best[-1][0] - 1e-9]
+        if not len(order):
+            return []
+        first, rest = order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]
+        found = self._read(scores, rows, light, np.sort(first), k, 0.0)
+        if len(found) >= k:  # a block that can't reach the worst of the best is left out
+            least = np.partition(scores[found], len(found) - k)[len(found) - k] - MARGIN
+            rest = rest[bound[rest] >= least]
+        else:
+            least = 0.0
         if len(rest):
-            best = sorted(best + self.of_blocks(rows, weights, np.sort(rest), k))[:k]
-        return [(-s, j) for s, j in best]
-
-    def of_blocks(self, rows: np.ndarray, weights: np.ndarray, blocks: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The k best (minus cosine, example) of some blocks."""
-        # neighbouring blocks are read as one run of postings
+            found = np.concatenate((found, self._read(scores, rows, light, np.sort(rest), k, least)))
+        if len(found) > k:
+            found = found[scores[found] >= np.partition(scores[found], len(found) - k)[len(found) - k] - MARGIN]
+        self.query[terms] = weights
+        lo = self.own_starts[found]
+        n = self.own_starts[found + 1] - lo
+        ends = np.cumsum(n)
+        entry = np.repeat(lo - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+        exact = np.round(np.add.reduceat(self.query[self.own_terms[entry]] * self.own_weights[entry], ends - n), 12) if len(found) else np.zeros(0)
+        self.query[terms] = 0
+        number = self.name[found]
+        best = np.lexsort((number, -exact))[:k]
+        return [(s, j) for s, j in zip(exact[best].tolist(), number[best].tolist(), strict=True) if s > 0]
+
+    def _read(self, scores: np.ndarray, rows: np.ndarray, light: np.ndarray, blocks: np.ndarray, k: int, least: float) -> np.ndarray:
+        """Adds what lists give in some blocks; their places that may be among the k best. Neighbouring blocks are read as one run."""
         edge = np.flatnonzero(np.diff(blocks) != 1) + 1
-        first, last = blocks[np.concatenate(([0], edge))], blocks[np.concatenate((edge - 1, [len(blocks) - 1]))] + 1
-        lo = self.starts[rows[:, None], first].ravel().astype(np.int64)
-        n = self.starts[rows[:, None], last].ravel() - lo
-        entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        scores = np.bincount(self.at[entry], self.weight[entry] * np.repeat(np.repeat(weights, len(first)), n), minlength=len(self.ids))
-        found = np.flatnonzero(scores > 0)
-        if len(found) > k:  # ties of the k-th stay in until they are put in order
-            found = found[scores[found] >= np.partition(scores[found], len(found) - k)[len(found) - k] - 1e-11]
-        return sorted((-round(s, 12), j) for s, j in zip(scores[found].tolist(), found.tolist(), strict=True))[:k]
-
-    def selected(self, text: str | None) -> dict[str, int]:
-        """Counts of the indexed terms of a text."""
-        out: dict[str, int] = {}
-        known = self.words
-        for w, k in Counter(find_words((text or "").lower())).items():
-            own = known.get(w)
-            if own is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                own = known[w] = tuple(t for t in terms_of(w) if t in self.idf)
-            for t in own:
-                out[t] = out.get(t, 0) + k
+        first, last = blocks[np.concatenate(([0], edge))], blocks[np.concatenate((edge - 1, [len(blocks) - 1]))]
+        lo = self.starts[rows[:, None] * self.blocks + first].ravel().astype(np.int64)
+        n = self.starts[rows[:, None] * self.blocks + last + 1].ravel() - lo
+        if total := int(n.sum()):
+            entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(total)
+            scores += np.bincount(self.at[entry], self.weight[entry] * np.repeat(np.repeat(light, len(first)), n), minlength=self.n)
+        places = np.concatenate([np.arange(a * BLOCK, min((b + 1) * BLOCK, self.n)) for a, b in zip(first.tolist(), last.tolist(), strict=True)])
+        found = places[scores[places] > max(least, 0.0)]
+        if len(found) > k:
+            found = found[scores[found] >= np.partition(scores[found], len(found) - k)[len(found) - k] - MARGIN]
+        return found
+
+
+class Index:
+    """Examples (id, label, {term: count}) under marks and under words, each with the rows that a term stands in."""
+
+    def __init__(self, marks: dict[str, int], words: dict[str, int], total: int, examples: Iterable[tuple]) -> None:
+        self.marks, self.words = ({t: k for k, t in enumerate(x)} for x in (marks, words))
+        self.idf = [np.array([math.log(1 + total / n) for n in x.values()]) for x in (marks, words)]
+        self.ids, self.labels, vectors, self.blank = ([], []), ([], []), ([], []), [0, 0]
+        for doc, label, counts in examples:
+            part, vector = self.place(counts)
+            if vector is None:
+                self.blank[label] += 1
+                continue
+            self.ids[part].append(doc)
+            self.labels[part].append(label)
+            vectors[part].append(vector)
+        self.parts = [BlockMax(v, len(i)) for v, i in zip(vectors, self.idf, strict=True)]
+        seen, yes = len(self.labels[0]) + len(self.labels[1]) + sum(self.blank), sum(map(sum, self.labels)) + self.blank[1]
+        self.prior = yes / seen if seen else 0.0
+        plain = (sum(self.labels[1]) + self.blank[1], len(self.labels[1]) + sum(self.blank))  # of the examples without a mark
+        self.priors = self.prior, (plain[0] + PRIOR_WEIGHT * self.prior) / (plain[1] + PRIOR_WEIGHT)
+        self.starts = [(n, {t[1:]: k for t, k in self.marks.items() if len(t) == n + 1 and t[0] == "^"}) for n in STARTS]
+        self.voted: dict[tuple, tuple] = {}
+
+    def vector(self, part: int, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        terms = np.fromiter(counts, np.int32, len(counts))
+        weights = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.idf[part][terms]
+        return terms, weights / math.sqrt(weights @ weights)
+
+    def place(self, counts: dict[str, int]) -> tuple[int, tuple | None]:
+        """The index that counts of terms belong in, and their unit vector there, or None if no term is known."""
+        for part, of in enumerate((self.marks, self.words)):
+            if own := {of[t]: k for t, k in counts.items() if t in of}:
+                return part, self.vector(part, own)
+        return 1, None
+
+    def of_text(self, text: str | None) -> tuple[int, tuple | None]:
+        """The same for a text."""
+        found: dict[int, int] = {}
+        words = Counter(find_words((text or "").lower()))
+        whole = self.marks.get
+        for w, k in words.items():
+            if (t := whole(w)) is not None:
+                found[t] = k
+            for n, of in self.starts:
+                if len(w) <= n:
+                    break
+                if (t := of.get(w[:n])) is not None:
+                    found[t] = found.get(t, 0) + k
+        if found:
+            return 0, self.vector(0, found)
+        found = {self.words[w]: k for w, k in words.items() if w in self.words}
+        return 1, self.vector(1, found) if found else None
+
+    def scores(self, texts: Sequence[str | None]) -> list[tuple[float, list]]:
+        """Of each text the score in [0, 1] and the ids of the neighbours that voted, nearest first."""
+        out: list = [(self.priors[1], [])] * len(texts)
+        placed: dict[tuple, list[int]] = {}
+        for k, text in enumerate(texts):
+            part, vector = self.of_text(text)
+            if vector is None:
+                continue
+            key = part, *(x.tobytes() for x in vector)
+            if (got := self.voted.get(key)) is not None:
+                out[k] = got
+            else:
+                placed.setdefault(key, []).append(k)
+        for part, index in enumerate(self.parts):
+            asked = [key for key in placed if key[0] == part]
+            for key, near in zip(asked, index.nearest([(np.frombuffer(t, np.int32), np.frombuffer(w)) for _, t, w in asked]), strict=True):
+                votes = [(1 / (SOFTEN + 1 - s), j) for s, j in near]
+                weight, yes = sum(w for w, _ in votes), sum(w for w, j in votes if self.labels[part][j])
+                got = (yes + PRIOR_WEIGHT * self.priors[part]) / (weight + PRIOR_WEIGHT), [self.ids[part][j] for _, j in near]
+                for k in placed[key]:
+                    out[k] = got
+                if not part:  # few terms, so the same vectors come again
+                    if len(self.voted) >= CACHE // 10:
+                        self.voted.clear()
+                    self.voted[key] = got
         return out
 
     def score(self, text: str | None) -> tuple[float, list]:
-        """Score in [0, 1] and the ids of the neighbours that voted, nearest first."""
-        counts = self.selected(text)
-        if not counts:
-            return self.blank_score(), []
-        key = tuple(sorted(counts.items()))
-        got = self.cache.get(key)
-        if got is None:
-            if len(self.cache) >= CACHE // 10:
-                self.cache.clear()
-            near = self.nearest(self.vector(counts))
-            votes = [(1 / (SOFTEN + 1 - s), j) for s, j in near]
-            weight = sum(w for w, _ in votes)
-            yes = sum(w for w, j in votes if self.labels[j])
-            got = self.cache[key] = ((yes + PRIOR_WEIGHT * self.prior) / (weight + PRIOR_WEIGHT), [self.ids[j] for _, j in near])
-        return got
-
-    def blank_score(self) -> float:
-        """Of texts without any term: the share of label 1 among such examples, drawn to the prior."""
-        return (self.blank[1] + PRIOR_WEIGHT * self.prior) / (sum(self.blank) + PRIOR_WEIGHT)
+        return self.scores([text])[0]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Index:
@@ -234,41 +322,49 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = cut(without_copies(rows.select("id", "label", "text")))
     n_yes, n_no = rows.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
     if not n_yes + n_no:
-        return Index({}, [], 0.0)
-    tested = term_rows(rows).where(F.col("yes") + F.col("no") >= min(LEAST_ROWS, 1 + (n_yes + n_no) // 100))
-    tested = tested.withColumn("g", likelihood_ratio(F.col("yes"), F.col("no"), float(n_yes), float(n_no)))
-    tested = tested.where(F.col("g") > LEAST_RATIO)
-    top = tested.orderBy(F.desc("g"), "term").limit(TERMS).select("term", F.col("yes") + F.col("no")).collect()
-    names = [t for t, _ in top]
-    idf = {t: math.log(1 + (n_yes + n_no) / n) for t, n in top}
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
+        return Index({}, {}, 0, [])
+    tested = term_rows(rows).withColumn("n", F.col("yes") + F.col("no")).where(F.col("n") >= LEAST_ROWS)
+    tested = cut(tested.withColumn("g", likelihood_ratio(F.col("yes"), F.col("no"), float(n_yes), float(n_no))))
+    # the terms of a bounded sample
+    found = [{r["term"]: r["n"] for r in part.select("term", "n").orderBy("term").toLocalIterator()} for part in (
+        tested.where(F.col("g") > LEAST_RATIO), tested.where(~F.col("term").startswith("^")))]
+    shared = docs.sparkSession.sparkContext.broadcast([{t: k for k, t in enumerate(x)} for x in found])
 
     def setup():
-        known = {t: k for k, t in enumerate(shared.value)}
+        of_marks, of_words = shared.value
 
         def f(ids: list | None = None, labels: list | None = None, texts: list | None = None):
             if ids is None:
                 return
-            found = [{known[t]: k for t, k in counts_of(x).items() if t in known} for x in texts]
-            yield ids, labels, [list(c) for c in found], [list(c.values()) for c in found]
+            both = []
+            for text in texts:
+                counts = Counter(find_words((text or "").lower()))
+                marked: Counter = Counter()
+                for w, k in counts.items():
+                    for t in terms_of(w):
+                        if t in of_marks:
+                            marked[of_marks[t]] += k
+                both.append((0, marked) if marked else (1, {of_words[w]: k for w, k in counts.items() if w in of_words}))
+            yield ids, labels, [p for p, _ in both], [list(c) for _, c in both], [list(c.values()) for _, c in both]
 
         return f
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    vectors = map_chunks(rows, [F.col("id"), F.col("label"), F.col("text")], f"id {id_type}, label int, terms array<int>, counts array<int>", setup)
-    found = [(r[0], r[1], array("i", r[2]), array("i", r[3])) for r in vectors.toLocalIterator()]
-    found.sort(key=lambda x: (x[0] is None, x[0], x[1]))
-    return Index(idf, ((i, label, {names[t]: k for t, k in zip(terms, counts, strict=True)}) for i, label, terms, counts in found), n_yes / (n_yes + n_no))
+    vectors = map_chunks(rows, [F.col("id"), F.col("label"), F.col("text")], f"id {id_type}, label int, part int, terms array<int>, counts array<int>", setup)
+    kept = [(r[0], r[1], r[2], array("i", r[3]), array("i", r[4])) for r in vectors.toLocalIterator()]
+    kept.sort(key=lambda x: (x[0] is None, x[0], *x[1:]))
+    names = [list(x) for x in found]
+    return Index(*found, n_yes + n_no, ((i, label, {names[part][t]: k for t, k in zip(terms, counts, strict=True)}) for i, label, part, terms, counts in kept))
 
 
 def score_function(docs: DataFrame, index: Index, id_type: str):
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def setup():
-        score = shared.value.score
+        scores = shared.value.scores
 
         def f(texts: list) -> tuple:
-            got = [score(t) for t in texts]
+            got = scores(texts)
             return [g[0] for g in got], [int(g[0] >= REJECT) for g in got], [g[1] for g in got]
 
         return f
@@ -280,15 +376,19 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
     """(id, score, predicted, evidence) of every row, from its whole text alone.
 
     evidence lists the ids of the neighbours, nearest first. Null and empty texts, and texts without any
-    term, get the label's share among such examples and no evidence; with no labelled rows every score
-    is 0. Repeated rows stay; other columns are ignored.
+    word of the sample, get the label's share among the examples without a mark and no evidence; with no
+    labelled rows every score is 0. Repeated rows stay; other columns are ignored.
     """
     f = score_function(docs, index, docs.schema[id_col].dataType.simpleString())
     return docs.select(F.col(id_col), f(F.col(text_col)).alias("x")).select(id_col, "x.*")
 
 
 def drop_toxic(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that score below REJECT."""
+    """The rows of ``docs``, all columns, that score below REJECT.
+
+    Each row is judged by its own text, so repeated rows and null ids go or stay by it; null and empty texts
+    score as in ``score``. An empty table stays empty, and columns of any name are kept.
+    """
     f = score_function(docs, index, docs.schema[id_col].dataType.simpleString())
     return docs.where(f(F.col(text_col))["predicted"] == 0)
 
