@@ -20,6 +20,11 @@ def type_from_name(name: Column, given: Column | None = None, prefixes: tuple[tu
 TREEBANK_TYPES = (("aja", "periodicals"), ("ilu", "fiction"), ("arborest", "fiction"), ("tea", "science"))
 
 
+def treebank_type(name: Column) -> Column:
+    """The type of a treebank file by the start of its name, else unknown."""
+    return type_from_name(name, prefixes=TREEBANK_TYPES)
+
+
 def clean_marks(token: Column) -> Column:
     """The subword mark becomes a blank; blanks at the ends go."""
     return F.trim(F.translate(token, MARK, " "))

@@ -83,20 +83,27 @@ def nominal_form(feats: Column) -> Column:
 
 
 def verb_form(upos: Column, xpos: Column, lemma: Column, feats: Column, start: Column) -> Column:
-    """U4: only for xpos V; a verb with number and case that is no verb form by VerbForm is an error there."""
+    """U4: only for xpos V, else ``start``; of several rules that fit the last one stands.
+
+    A verb with number and case is an error. Rules that ask for the same features are one look-up by their values.
+    """
     f = lambda k: F.try_element_at(feats, F.lit(k))
     negative = F.coalesce(f("Polarity") == "Neg", F.lit(False)) | F.coalesce(f("Connegative") == "Yes", F.lit(False))
-    rules = []
-    for polarity, conditions, form in VERB_FORMS:
-        cond = {"neg": negative, "aff": ~negative, "": F.lit(True)}[polarity]
-        for c in conditions.split():
-            if c == "negaux":
-                cond &= (upos == "AUX") & lemma.isin("ära", "ei")
-                continue
-            k, v = c.split("=")
-            cond &= f(k).isNull() if v == "-" else F.coalesce(f(k) == v, F.lit(False))
-        rules.append((cond, F.lit(form)))
-    return F.when(xpos == "V", _last(rules, start)).otherwise(start)
+    negaux = (upos == "AUX") & lemma.isin("ära", "ei")
+    tables: dict[tuple, dict[str, tuple[int, str]]] = {}
+    for place, (polarity, conditions, form) in enumerate(VERB_FORMS):
+        wanted = dict(c.split("=") for c in conditions.split() if "=" in c)
+        tables.setdefault((polarity, "negaux" in conditions, *sorted(wanted)), {})["|".join(wanted[k] for k in sorted(wanted))] = place, form
+    found = []
+    for (polarity, aux, *names), table in tables.items():
+        fits = {"neg": negative, "aff": ~negative, "": F.lit(True)}[polarity]
+        key = F.concat_ws("|", *[F.coalesce(f(k), F.lit("-")) for k in names]) if names else F.lit("")
+        pairs = [x for k, (place, form) in table.items() for x in (F.lit(k), F.struct(F.lit(place).alias("place"), F.lit(form).alias("form")))]
+        found.append(F.when(fits & negaux if aux else fits, F.try_element_at(F.create_map(*pairs), key)))
+    form = F.coalesce(F.greatest(*found)["form"], start)
+    odd = f("Number").isNotNull() & f("Case").isNotNull()
+    error = F.raise_error(F.concat(F.lit("a verb with number and case: "), F.coalesce(lemma, F.lit("null")))).cast("string")
+    return F.when((xpos == "V") & odd, F.when(start.isNotNull(), error)).when(xpos == "V", form).otherwise(start)
 
 
 def reduced(tokens: DataFrame) -> DataFrame:

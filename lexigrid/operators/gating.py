@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrid.functions.labels import is_placeholder, normalise_placeholder
 from lexigrid.operators.corpus import in_list
+from lexigrid.operators.metrics import report
 
 
 def density(rows: DataFrame, words: DataFrame) -> DataFrame:
@@ -73,22 +73,41 @@ def score_with(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.Dat
 
 
 def centroid_stand_in(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
-    """M2, T4: a stand-in scorer, not a model of the reference: softmax of dot products with the label means; (id, label, probability)."""
-    means = vectors.select(F.col(label).alias("label"), F.posexplode(vector).alias("k", "x")).groupBy("label", "k").agg(F.avg("x").alias("x"))
-    table = means.toPandas().pivot(index="label", columns="k", values="x").sort_index()  # labels times dimensions
-    names, matrix = [str(x) for x in table.index], table.to_numpy()
+    """M2, T4: a stand-in scorer, not a model of the reference: softmax of dot products with the label means; (id, label, probability).
 
-    def load():
-        def f(frame: pd.DataFrame) -> pd.DataFrame:
-            z = np.stack(frame[vector].to_numpy()) @ matrix.T if len(frame) else np.zeros((0, len(names)))
-            p = np.exp(z - z.max(axis=1, keepdims=True)) if len(frame) else z
-            p /= p.sum(axis=1, keepdims=True)
-            ids = np.repeat(frame[id_col].to_numpy(), len(names))
-            return pd.DataFrame({id_col: ids, "label": names * len(frame), "probability": p.ravel()})
+    The means are one row, as many arrays as there are labels, which the plan joins to every vector.
+    """
+    means = vectors.select(F.col(label).cast("string").alias("label"), F.posexplode(vector).alias("k", "x")).groupBy("label", "k").agg(F.avg("x").alias("x"))
+    one = means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda e: e["x"]).alias("mean"))
+    table = one.agg(F.sort_array(F.collect_list(F.struct("label", "mean"))).alias("means"))  # one row
+    dot = lambda m: F.aggregate(F.zip_with(F.col(vector), m["mean"], lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+    z = vectors.select(id_col, vector).crossJoin(F.broadcast(table)).select(id_col, F.transform("means", lambda m: F.struct(m["label"].alias("label"), dot(m).alias("z"))).alias("zs"))
+    z = z.withColumn("most", F.array_max(F.transform("zs", lambda x: x["z"])))
+    e = z.select(id_col, F.transform("zs", lambda x: F.struct(x["label"].alias("label"), F.exp(x["z"] - F.col("most")).alias("e"))).alias("es"))
+    e = e.withColumn("sum", F.aggregate("es", F.lit(0.0), lambda s, x: s + x["e"]))
+    return e.select(id_col, "sum", F.explode("es").alias("x")).select(id_col, "x.label", (F.col("x.e") / F.col("sum")).alias("probability"))
 
-        return f
 
-    return score_with(vectors.select(id_col, vector), load, f"{id_col} long, label string, probability double")
+def within_sequence(pred: DataFrame, rows: DataFrame, keys: list[str], placeholders: tuple[str, ...] = ("-", "NONE")) -> DataFrame:
+    """M2: a prediction for every row; words that stand beyond the scored sequence have the placeholder and probability 0."""
+    out = rows.join(pred.select(*keys, "label", "probability"), keys, "left")
+    return out.withColumns({"pred_label": F.coalesce("label", F.lit(min(placeholders))), "probability": F.coalesce("probability", F.lit(0.0))}).drop("label")
+
+
+def evaluate(rows: DataFrame, pred: DataFrame, keys: list[str], true: str = "true_label", group: str | None = None) -> DataFrame:
+    """M4: predictions, then the metrics, over rows with a real true label."""
+    scored = within_sequence(pred, rows.where(~is_placeholder(F.col(true))), keys)
+    return report(scored, true, "pred_label", group)
+
+
+def gated_evaluate(rows: DataFrame, base: DataFrame, expert: DataFrame, words: DataFrame, threshold: float, keys: list[str], true: str = "true_label", group: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """M5: (metrics, shares of the scorers) of gated predictions over word rows with a real true label."""
+    gate = gate_words(rows, words, threshold, true)
+    real = gate.where(F.col("answers") != "placeholder")
+    pred = gated_labels(base, expert, real, keys)
+    scored = real.select(*keys, true, *([group] if group and group not in keys else [])).join(pred, keys)
+    shares = gate.groupBy("answers").agg(F.count(F.lit(1)).alias("n"))
+    return report(scored, true, "pred_label", group), shares
 
 
 def top_labels(scores: DataFrame, id_col: str, n: int = 1) -> DataFrame:
@@ -128,3 +147,12 @@ def batch_results(manifest: DataFrame, responses: DataFrame, schema: str) -> Dat
     """Every manifest row with its parsed response, null where there is none."""
     r = responses.select("custom_id", F.from_json("response", schema).alias("parsed"))
     return manifest.join(r, "custom_id", "left")
+
+
+#: The states in which a batch job is over.
+TERMINAL = ("completed", "failed", "expired", "cancelled")
+
+
+def finished(jobs: DataFrame, status: str = "status") -> DataFrame:
+    """Jobs that are over, whatever came of them."""
+    return jobs.where(F.lower(status).isin(*TERMINAL))

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrid.functions.labels import is_placeholder
+from lexigrid.functions.text import pick_file
+from lexigrid.operators.corpus import dense_ids
+from lexigrid.session import cut
 
 
 def hashed(seed: int, *keys: str) -> Column:
@@ -20,26 +23,67 @@ def block_shuffle(df: DataFrame, seed: int, source: str = "source") -> DataFrame
     return df.withColumn("block", hashed(seed, source))
 
 
-def ranked(df: DataFrame, seed: int, strata: list[str], key: str) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*strata).orderBy(hashed(seed, key), key)))
+#: Leading digits of the hash that rows are counted by before any is ranked.
+DIGITS = 3
+
+
+def first_by_hash(df: DataFrame, strata: list[str], key: str, seed: int, quota: Column, name: str = "picked") -> DataFrame:
+    """Adds ``name``: true for the first ``quota`` rows of each stratum in hash order (then key); quota may use n, the stratum's rows.
+
+    Rows are counted by the hash's leading digits first. What lies before the digits in which the quota ends is
+    in, what lies behind is out, and only rows with just these digits, about one in 16**DIGITS, are ranked. So no
+    task holds a stratum.
+    """
+    h = hashed(seed, key)
+    rows = df.withColumns({"__h": h, "__b": F.conv(F.substring(h, 1, DIGITS), 16, 10).cast("int")})
+    keys = [F.col(c).alias(f"__s{k}") for k, c in enumerate(strata)]
+    names = [f"__s{k}" for k in range(len(strata))]
+    counts = rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(*names)
+    counts = counts.withColumns({"n": F.sum("c").over(w), "before": F.sum("c").over(w.orderBy("__b")) - F.col("c")}).withColumn("__q", quota.cast("long"))
+    edge = F.max_by(F.struct(F.col("__b").alias("b"), (F.col("__q") - F.col("before")).alias("left")), F.when(F.col("before") < F.col("__q"), F.col("__b")))
+    limits = counts.groupBy(*names).agg(edge.alias("__e"))
+    cond = F.lit(True)
+    for k, c in enumerate(strata):
+        cond &= F.col(c).eqNullSafe(F.col(f"__s{k}"))
+    joined = rows.join(limits, cond) if strata else rows.crossJoin(F.broadcast(limits))  # one row without strata
+    at = F.coalesce(F.col("__e.b"), F.lit(-1))
+    apart = joined.where(F.col("__b") != at).withColumn(name, F.col("__b") < at)
+    rank = F.row_number().over(Window.partitionBy(*names).orderBy("__h", key))
+    close = joined.where(F.col("__b") == at).withColumn(name, rank <= F.col("__e.left"))
+    return apart.select(*df.columns, name).unionByName(close.select(*df.columns, name))
 
 
 def n_per_group(df: DataFrame, n: int, groups: list[str], key: str, seed: int = 1) -> DataFrame:
-    """Q13, Q15: n rows of each group."""
-    return ranked(df, seed, groups, key).where(F.col("rank") <= n).drop("rank")
+    """Q15: n rows of each group."""
+    return first_by_hash(df, groups, key, seed, F.lit(n), "__in").where("__in").drop("__in")
+
+
+def random_subset(df: DataFrame, n: int, key: str, group: str | None = None, seed: int = 1) -> DataFrame:
+    """Q13: n rows by hash; with ``group`` the same number of each, or n of all if some group has too few. Sort by key to show them."""
+    if group:
+        sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.min("n")).first()
+        if sizes[0] and n % sizes[0] == 0 and sizes[1] >= n // sizes[0]:
+            return n_per_group(df, n // sizes[0], [group], key, seed)
+    return take_hashed(df, n, key, seed)
+
+
+def next_pick(names: DataFrame, name: str = "name") -> DataFrame:
+    """Q11: (inflection_type, next_pick) from the pick files' names: one more than the last pick."""
+    x = names.select(pick_file(F.col(name)).alias("x")).where("x is not null")
+    return x.groupBy("x.inflection_type").agg((F.max("x.pick") + 1).alias("next_pick"))
 
 
 def take_hashed(df: DataFrame, n: int, key: str, seed: int = 1) -> DataFrame:
-    """Q13, Q14: n rows in hash order."""
+    """Q14: n rows in hash order."""
     return df.orderBy(hashed(seed, key), key).limit(n)
 
 
 def split_sources(sizes: DataFrame, ratio: float, seed: int, source: str = "source", stratum: str | None = None) -> DataFrame:
     """Q7, Q8: (source, split): in each stratum the first share by hash is test; sources stay whole."""
-    s = sizes.withColumn("__s", F.col(stratum) if stratum else F.lit(0))
-    r = ranked(s, seed, ["__s"], source).withColumn("__n", F.count("*").over(Window.partitionBy("__s")))
-    test = F.bround(F.col("__n") * ratio)
-    return r.select(source, *([stratum] if stratum else []), F.when(F.col("rank") <= test, "test").otherwise("train").alias("split"))
+    strata = [stratum] if stratum else []
+    out = first_by_hash(sizes, strata, source, seed, F.bround(F.col("n") * ratio), "__test")
+    return out.select(source, *strata, F.when(F.col("__test"), "test").otherwise("train").alias("split"))
 
 
 def sentence_stratum(rows: DataFrame, label: str, infl: str) -> DataFrame:
@@ -55,10 +99,9 @@ def stratified_split(sents: DataFrame, strata: list[str], key: str, ratio: float
         raise ValueError("ratio must be at least 0 and below 1")
     if ratio == 0:
         return sents.withColumn("split", F.lit("train"))
-    n = F.count("*").over(Window.partitionBy(*strata))
-    test = F.when(F.col("__n") < 2, 0).otherwise(F.least(F.greatest(F.bround(F.col("__n") * ratio), F.lit(1)), F.col("__n") - 1))
-    out = ranked(sents, seed, strata, key).withColumn("__n", n)
-    return out.withColumn("split", F.when(F.col("rank") <= test, "test").otherwise("train")).drop("rank", "__n")
+    quota = F.when(F.col("n") < 2, 0).otherwise(F.least(F.greatest(F.bround(F.col("n") * ratio), F.lit(1)), F.col("n") - 1))
+    out = first_by_hash(sents, strata, key, seed, quota, "__test")
+    return out.withColumn("split", F.when(F.col("__test"), "test").otherwise("train")).drop("__test")
 
 
 def gather_n_per_type(sizes: DataFrame, n: int, type_col: str = "first_type", source: str = "source") -> DataFrame:
@@ -67,71 +110,126 @@ def gather_n_per_type(sizes: DataFrame, n: int, type_col: str = "first_type", so
     return sizes.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < n)
 
 
-def greedy_pack(items: Iterable[tuple[str, int]], target: int) -> tuple[list[tuple[str, int]], int, int]:
-    """Q3: items until their sizes reach the target: (picked, total, rounds).
+class SizePool:
+    """Numbers of items by size, from which items are taken until it is empty; then it is full again.
 
-    Each step takes an item of exactly the rest; else the largest that fits, the last of equal ones; else
-    the smallest. When the pool is used up it is filled again, still sorted, and a round is counted. No
-    items give no picks.
+    A step takes an item of exactly the size that is wanted, the first of them; else one of the largest size
+    below, the last of them; else the first of the smallest size. Sizes that are used up are skipped by links
+    to the next smaller one, shortened as they are followed.
     """
-    pool_of = sorted((x for x in items if x[1] > 0), key=lambda x: x[1])
-    picked, total, rounds, pool = [], 0, 0, list(pool_of)
-    while total < target and pool_of:
-        if not pool:
-            pool, rounds = list(pool_of), rounds + 1
-        rest, sizes = target - total, [x[1] for x in pool]
-        k = bisect.bisect_left(sizes, rest)
-        if k == len(sizes) or sizes[k] != rest:
-            k = max(bisect.bisect_right(sizes, rest) - 1, 0)
-        item = pool.pop(k)
-        picked.append(item)
-        total += item[1]
-    return picked, total, rounds
+
+    def __init__(self, counts: dict[int, int]) -> None:
+        self.sizes = sorted(k for k, n in counts.items() if k > 0 and n > 0)
+        self.full = [counts[k] for k in self.sizes]
+        self.rounds = -1
+        self.fill()
+
+    def fill(self) -> None:
+        self.rounds += 1
+        self.first, self.last = [0] * len(self.sizes), [0] * len(self.sizes)  # taken from either end of each size
+        self.below, self.least, self.left = list(range(len(self.sizes))), 0, sum(self.full)
+
+    def rest(self, k: int) -> int:
+        return self.full[k] - self.first[k] - self.last[k]
+
+    def down(self, k: int) -> int:
+        """The largest place up to k that has items, or -1."""
+        path = []
+        while k >= 0 and not self.rest(k):
+            path.append(k)
+            k = self.below[k] if self.below[k] != k else k - 1
+        for x in path:
+            self.below[x] = k
+        return k
+
+    def take(self, wanted: int) -> tuple[int, int]:
+        """(size, number) of the item taken; the number counts within its size."""
+        if not self.left:
+            self.fill()
+        at = bisect.bisect_right(self.sizes, wanted) - 1
+        k = self.down(at)
+        self.left -= 1
+        if k >= 0 and self.sizes[k] < wanted:
+            self.last[k] += 1
+            return self.sizes[k], self.full[k] - self.last[k]
+        if k < 0:
+            while not self.rest(self.least):
+                self.least += 1
+            k = self.least
+        self.first[k] += 1
+        return self.sizes[k], self.first[k] - 1
+
+    def ranges(self) -> list[tuple[int, int, int]]:
+        """(size, first, last) of each size: so many items from either end are taken; all of them once the pool was filled again."""
+        if self.rounds:
+            return [(size, n, 0) for size, n in zip(self.sizes, self.full, strict=True)]
+        return [(size, a, z) for size, a, z in zip(self.sizes, self.first, self.last, strict=True) if a or z]
+
+
+def greedy_pack(items: Iterable[tuple[str, int]], target: int) -> tuple[list[tuple[str, int]], int, int]:
+    """Q3: items until their sizes reach the target: (picked, total, rounds of refilling). No items give no picks."""
+    of_size: dict[int, list] = {}
+    for item in items:
+        of_size.setdefault(item[1], []).append(item)
+    pool, picked, total = SizePool({size: len(x) for size, x in of_size.items()}), [], 0
+    while total < target and pool.sizes:
+        size, k = pool.take(target - total)
+        picked.append(of_size[size][k])
+        total += size
+    return picked, total, pool.rounds
 
 
 def stratified_sources(sizes: Iterable[tuple[str, str, int]], target: int) -> list[str]:
-    """Q2: (source, type, words) in order of first appearance: quotas of target // k, one more for the first target % k types.
+    """Q2: (source, type, words) in order of first appearance: the target in equal quotas, one more for the first types if it doesn't divide.
 
-    Each type is packed to its quota without refilling; if the sum falls short, left sources follow,
-    largest first.
+    Each type is packed to its quota without refilling; if the sum falls short, the other sources follow,
+    largest first, then by name.
     """
-    of_type: dict[str, list[tuple[str, int]]] = {}
-    for source, kind, words in sizes:
-        of_type.setdefault(kind, []).append((source, words))
-    chosen: list[str] = []
-    total = 0
-    for k, items in enumerate(of_type.values()):
-        quota = target // len(of_type) + (k < target % len(of_type))
-        picked, got, _ = greedy_pack(items, min(quota, sum(w for _, w in items)))
-        chosen += [s for s, _ in picked]
-        total += got
-    left = sorted((x for items in of_type.values() for x in items if x[0] not in set(chosen)), key=lambda x: (-x[1], x[0]))
-    for source, words in left:
-        if total >= target:
+    items = list(sizes)
+    kinds = list(dict.fromkeys(kind for _, kind, _ in items))
+    chosen: dict[str, int] = {}
+    for k, kind in enumerate(kinds):
+        own = [(s, n) for s, x, n in items if x == kind]
+        share, odd = divmod(target, len(kinds))
+        chosen |= dict(greedy_pack(own, min(share + int(k < odd), sum(n for _, n in own)))[0])
+    for source, _, n in sorted((x for x in items if x[0] not in chosen), key=lambda x: (-x[2], x[0])):
+        if sum(chosen.values()) >= target:
             break
-        chosen.append(source)
-        total += words
-    return chosen
+        chosen[source] = n
+    return list(chosen)
 
 
 def sample_corpus(rows: DataFrame, target: int, mode: str = "source", stratified: bool = False) -> tuple[DataFrame, dict[str, int]]:
     """Word rows of the picked sources or sentences, and what was asked for and reached.
 
-    The size table, one row an item, is the only thing that the driver sees. Repeated picks count once in rows.
+    The driver sees how many items there are of each size, and for a stratified pick one row a source. Items of
+    one size are taken in order of their keys; repeated picks count once in rows.
     """
     if mode not in ("source", "sentence"):
         raise ValueError(mode)
     keys = ["source"] if mode == "source" else ["source", "sentence_id"]
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("words"), F.min("type").alias("type")).orderBy(*keys).collect()
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("words"), F.min("type").alias("type"))
     if stratified and mode == "source":
-        chosen = [(s,) for s in stratified_sources([(r["source"], r["type"], r["words"]) for r in sizes], target)]
-        got, rounds = sum(r["words"] for r in sizes if (r["source"],) in set(chosen)), 0
+        known = [(r["source"], r["type"], r["words"]) for r in sizes.orderBy(*keys).collect()]
+        chosen = stratified_sources(known, target)
+        got, report = sum(n for s, _, n in known if s in set(chosen)), {"rounds": 0, "items": len(chosen)}
+        picks = rows.sparkSession.createDataFrame([(s,) for s in sorted(chosen)], f"source {rows.schema['source'].dataType.simpleString()}")
     else:
-        picked, got, rounds = greedy_pack([(tuple(r[k] for k in keys), r["words"]) for r in sizes], target)
-        chosen = [k for k, _ in picked]
-    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    picks = rows.sparkSession.createDataFrame(sorted(set(chosen)), schema)
-    return rows.join(picks, keys, "left_semi"), {"requested": target, "achieved": got, "rounds": rounds, "items": len(chosen)}
+        sizes = cut(sizes.select(*keys, "words"))
+        counts = {r["words"]: r["count"] for r in sizes.groupBy("words").count().collect()}
+        pool, got, items = SizePool(counts), 0, 0
+        while got < target and pool.sizes:
+            got, items = got + pool.take(target - got)[0], items + 1
+        report, before, bounds = {"rounds": pool.rounds, "items": items}, 0, []
+        taken = {size: (a, z) for size, a, z in pool.ranges()}
+        for size in pool.sizes:
+            if size in taken:
+                bounds.append((size, before + taken[size][0], before + counts[size] - taken[size][1]))
+            before += counts[size]
+        limits = rows.sparkSession.createDataFrame(bounds, "words long, upto long, since long")
+        numbered = dense_ids(sizes, ["words", *keys], "__id").join(F.broadcast(limits), "words")
+        picks = numbered.where("__id < upto or __id >= since").select(*keys)
+    return rows.join(picks, keys, "left_semi"), {"requested": target, "achieved": got, **report}
 
 
 def mix_corpora(corpora: dict[str, DataFrame], target: int, shares: dict[str, float] | None = None, mode: str = "source", stratified: tuple[str, ...] = ()) -> tuple[DataFrame, dict]:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 ENDS = ".!?"
 
@@ -67,28 +71,41 @@ def word_spans(rows: DataFrame) -> DataFrame:
     return rows.withColumn("start", before).withColumn("end", F.col("start") + F.length("word"))
 
 
+#: Width of the bins, in characters, by which intervals of one document meet.
+BIN = 512
+
+
+def binned(df: DataFrame, lo: str, hi: str, name: str) -> DataFrame:
+    """One row for each bin that the closed interval touches, with ``name`` its bin and __{name} the first one."""
+    first, last = F.floor(F.col(lo) / BIN), F.floor(F.greatest(F.col(lo), F.col(hi)) / BIN)
+    return df.withColumn(f"__{name}", first).withColumn(name, F.explode(F.sequence(first, last)))
+
+
 def overlaps(words: DataFrame, tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     """Pairs of a word and a token of the same document by the mapping rule; (key, w_*, b_*).
 
-    The document is an equality key, so this is a hash or merge join with the interval test as residual.
+    Both meet by document and bin, so a long document is many small joins; a pair counts in the bin where
+    the later of the two begins.
     """
-    w, b = words.select(key, F.col("start").alias("w_start"), F.col("end").alias("w_end")), tokens.select(key, F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+    w = binned(words.select(key, F.col("start").alias("w_start"), F.col("end").alias("w_end")), "w_start", "w_end", "bw")
+    b = binned(tokens.select(key, F.col("start").alias("b_start"), F.col("end").alias("b_end")), "b_start", "b_end", "bb")
     inside = (F.col("b_start") < F.col("w_end")) & (F.col("w_end") < F.col("b_end"))
     closes = (F.col("b_start") <= F.col("w_end")) & (F.col("w_start") < F.col("b_end")) & (F.col("b_end") <= F.col("w_end"))
-    return w.join(b, key).where(inside | closes)
+    both = w.withColumnRenamed("bw", "__bin").join(b.withColumnRenamed("bb", "__bin"), [key, "__bin"])
+    return both.where((inside | closes) & (F.col("__bin") == F.greatest("__bw", "__bb"))).drop("__bin", "__bw", "__bb")
 
 
 def token_at(tokens: DataFrame, points: DataFrame, key: str = "doc_id", point: str = "x") -> DataFrame:
-    """The first token that covers the point, null if none does."""
-    t = tokens.select(key, "start", "end")
-    hit = points.join(t, key).where((F.col("start") <= F.col(point)) & (F.col(point) < F.col("end")))
+    """The first token that covers the point, null if none does. Both meet by document and bin."""
+    t = binned(tokens.select(key, "start", "end"), "start", "end", "__bin").drop("____bin")
+    hit = points.withColumn("__bin", F.floor(F.col(point) / BIN)).join(t, [key, "__bin"]).where((F.col("start") <= F.col(point)) & (F.col(point) < F.col("end")))
     first = hit.groupBy(key, point).agg(F.min(F.struct("start", "end")).alias("token"))
     return points.join(first, [key, point], "left").select(*points.columns, "token.start", "token.end")
 
 
-def context(rows: DataFrame, hit: Column, width: int = 8, by: tuple[str, ...] = ("source", "sentence_id"), word: str = "word") -> DataFrame:
+def context(rows: DataFrame, hit: Column, width: int = 8, by: tuple[str, ...] = ("source", "sentence_id"), word: str = "word", order: str = "pos") -> DataFrame:
     """Rows where ``hit`` holds, with the words up to ``width`` places before and after."""
-    w = Window.partitionBy(*by).orderBy("pos").rowsBetween(-width, width)
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(-width, width)
     return rows.withColumn("context", F.array_join(F.collect_list(word).over(w), " ")).where(hit)
 
 
@@ -175,25 +192,58 @@ def align_annotations(old: list[dict], new: list[dict]) -> list[tuple[str, dict
 def align_layers(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """X5 over tables (keys, ann map<string,string>): (keys, status, a, b), spans matched by a full join; a span holds a few annotations."""
     pack = lambda df, n: df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.to_json("ann"))).alias(n))
-    j = pack(old, "old").join(pack(new, "new"), keys, "full")
-
-    @F.udf("array<struct<status:string,a:map<string,string>,b:map<string,string>>>")
-    def align(a, b):
-        import json
+    j = pack(old, "old").join(pack(new, "new"), keys, "full").select(F.struct(*keys).alias("k"), "old", "new")
+    ddl = f"k {j.schema['k'].dataType.simpleString()}, status string, a map<string,string>, b map<string,string>"
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
 
-        return align_annotations([json.loads(x) for x in a or []], [json.loads(x) for x in b or []])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = [], []
+            for n, (a, b) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                pairs = align_annotations([json.loads(x) for x in a or []], [json.loads(x) for x in b or []])
+                rows += [n] * len(pairs)
+                found += [(status, x and list(x.items()), y and list(y.items())) for status, x, y in pairs]
+            columns = list(zip(*found, strict=True)) or [()] * 3
+            values = [pa.array(list(c), f.type) for c, f in zip(columns, list(schema)[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())).cast(schema[0].type), *values], schema=schema)
 
-    return j.select(*keys, F.inline(align("old", "new")))
+    return j.mapInArrow(run, ddl).select("k.*", "status", "a", "b")
 
 
 def diff_summary(diff: DataFrame, category: str) -> DataFrame:
     """Counts of each status by category, and a TOTAL row if there are several categories."""
     n = lambda s: F.count_if(F.col("status") == s).alias(f"{s.lower()}_spans")
-    r = diff.rollup(category).agg(F.grouping(category).alias("g"), *map(n, ("COMMON", "MODIFIED", "MISSING", "EXTRA")), F.count("*").alias("spans"), F.countDistinct(category).alias("k"))
-    return r.where("g = 0 or k > 1").select(F.when(F.col("g") == 1, "TOTAL").otherwise(F.col(category).cast("string")).alias("category"), "common_spans", "modified_spans", "missing_spans", "extra_spans", "spans")
+    r = diff.rollup(category).agg(F.grouping(category).alias("__all"), *map(n, ("COMMON", "MODIFIED", "MISSING", "EXTRA")), F.count("*").alias("spans"), F.countDistinct(category).alias("__kinds"))
+    name = F.when(F.col("__all") == 1, "TOTAL").otherwise(F.col(category).cast("string")).alias("category")
+    return r.where("__all = 0 or __kinds > 1").select(name, "common_spans", "modified_spans", "missing_spans", "extra_spans", "spans")
 
 
 def render_diff(diff: DataFrame, keys: list[str]) -> DataFrame:
     """One line for each span that differs."""
     at = F.concat_ws(" ", *keys)
     return diff.where("status <> 'COMMON'").select(F.concat(at, F.lit(": "), "status", F.lit(" "), F.coalesce(F.to_json("a"), F.lit("-")), F.lit(" -> "), F.coalesce(F.to_json("b"), F.lit("-"))).alias("value"))
+
+
+def render_context(diff: DataFrame, words: DataFrame, by: list[str], order: str = "pos", width: int = 8, word: str = "word") -> DataFrame:
+    """A line for each differing place (by, order, status, a, b): the words around it, the place's own in brackets, and both sides."""
+    marked = words.join(diff.where("status <> 'COMMON'").select(*by, order, "status", "a", "b"), [*by, order], "left")
+    shown = marked.withColumn("__w", F.when(F.col("status").isNull(), F.col(word)).otherwise(F.concat(F.lit("["), word, F.lit("]"))))
+    shown = context(shown, F.col("status").isNotNull(), width, tuple(by), "__w", order)
+    at = F.concat_ws(" ", *by, F.col(order).cast("string"))
+    side = lambda c: F.coalesce(F.to_json(c), F.lit("-"))
+    return shown.select(*by, order, F.concat(at, F.lit(": "), "context", F.lit(" | "), "status", F.lit(" "), side("a"), F.lit(" -> "), side("b")).alias("value"))
+
+
+def diff_report(old: DataFrame, new: DataFrame, keys: list[str], attributes: list[str], category: str, words: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The whole comparison of two layers: spans, aligned annotations, counts by category, concise lines and, given words, lines with context.
+
+    Layers are cut to ``attributes`` first; neither is changed. The last of ``keys`` is the place in its
+    sentence or document.
+    """
+    a, b = (df.select(*keys, *attributes) for df in (old, new))
+    packed = [df.select(*keys, F.create_map(*[x for c in attributes for x in (F.lit(c), F.col(c).cast("string"))]).alias("ann")) for df in (a, b)]
+    spans = layer_diff(a, b, keys, attributes)
+    out = {"spans": spans, "annotations": align_layers(*packed, keys), "summary": diff_summary(spans, category), "lines": render_diff(spans, keys)}
+    if words is not None:
+        out["context"] = render_context(spans, words, keys[:-1], keys[-1])
+    return out

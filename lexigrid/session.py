@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,9 +17,28 @@ def build_session(app: str = "lexigrid", cores: int | str = "*", shuffle_partiti
     return SparkSession.builder.master(f"local[{cores}]").appName(app).config(map=conf).getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder that the session names; in a temporary one only if it names none."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session gets a temporary folder; on a cluster it is an error.
+    """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="lexigrid-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexigrid-"))
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}-{name}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

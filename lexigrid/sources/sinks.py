@@ -61,8 +61,38 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumn("__rank", rank).where("__rank = 1").drop("__new", "__rank")
 
 
+def replace_file(spark: SparkSession, source: str, target: str) -> None:
+    """Renames one file over another in one step of the file system, so that the target is never missing."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    old, new = hadoop.Path(source), hadoop.Path(target)
+    kind = getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename")
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    files = hadoop.FileContext.getFileContext(new.toUri(), spark._jsc.hadoopConfiguration())
+    files.rename(old, new, options)
+
+
+def write_cost(spark: SparkSession, path: str, cost: float) -> None:
+    """The running cost, one number in a file that is replaced in one step."""
+    tmp = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    fs = tmp.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(tmp)
+    out.write(bytearray(repr(float(cost)).encode()))
+    out.hsync()
+    out.close()
+    replace_file(spark, f"{tmp}", path)
+
+
+def read_cost(spark: SparkSession, path: str) -> float:
+    """The running cost, 0 if none was written."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return 0.0
+    return float(spark.read.text(path).first()[0])
+
+
 def upsert_results(spark: SparkSession, path: str, new: DataFrame, keys: tuple[str, ...] = ("model_name", "set_name")) -> None:
-    """K7: the JSON array at ``path`` with new records put in; written beside it, then renamed over it."""
+    """K7: the JSON array at ``path`` with new records put in; written beside it, then renamed over it in one step."""
     rows = upsert(read_results(spark, path), new, list(keys)).orderBy(*keys)
     text = rows.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*rows.columns)))).alias("value"))  # a registry of models, not data
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
@@ -72,9 +102,7 @@ def upsert_results(spark: SparkSession, path: str, new: DataFrame, keys: tuple[s
     out.write(bytearray(text.first()["value"].encode()))
     out.hsync()
     out.close()
-    fs.delete(target, False)
-    if not fs.rename(tmp, target):
-        raise OSError(f"could not rename to {path}")
+    replace_file(spark, f"{tmp}", path)
 
 
 def sampling_report(rows: DataFrame, parameters: dict[str, str]) -> DataFrame:

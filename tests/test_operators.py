@@ -12,6 +12,7 @@ from lexigrid.operators import corpus as C
 from lexigrid.operators import gating as G
 from lexigrid.operators import metrics as M
 from lexigrid.operators import sampling as S
+from lexigrid.operators import sequences as Q
 from lexigrid.operators import spans as P
 from lexigrid.sources import readers as R
 from lexigrid.sources import sinks as K
@@ -205,3 +206,126 @@ def test_readers_and_sinks(spark, tmp_path):
     tasks, view = K.label_tasks(spark.createDataFrame([("ab cd", "CD", 3, 5)], "text string, word string, start int, end int"), ["sg n"])
     assert json.loads(tasks.first()["value"])["data"]["start"] == 3
     assert "sg n" in view
+
+
+def plain_pack(items, target):
+    """The packing rule on a plain list that is searched at every step."""
+    everything = sorted((x for x in items if x[1] > 0), key=lambda x: x[1])
+    pool, picked, rounds = list(everything), [], 0
+    while sum(n for _, n in picked) < target and everything:
+        if not pool:
+            pool, rounds = list(everything), rounds + 1
+        rest = target - sum(n for _, n in picked)
+        exact = [x for x in pool if x[1] == rest]
+        below = [x for x in pool if x[1] < rest]
+        item = exact[0] if exact else below[-1] if below else pool[0]
+        pool.remove(item)
+        picked.append(item)
+    return picked, sum(n for _, n in picked), rounds
+
+
+def test_pack_like_the_plain_rule():
+    import random
+
+    r = random.Random(5)
+    for _ in range(300):
+        items = [(f"s{k}", r.randint(0, 9)) for k in range(r.randint(0, 12))]
+        for target in (0, 1, 7, 30, 150):
+            assert S.greedy_pack(items, target) == plain_pack(items, target)
+
+
+def test_sentence_picks_are_those_of_the_plain_rule(spark):
+    sizes = {(s, k): 1 + (3 * k + len(s)) % 6 for s in ("a", "bb") for k in range(12)}
+    rows = spark.createDataFrame([(s, k, p, "t") for (s, k), n in sizes.items() for p in range(n)], "source string, sentence_id long, pos int, type string")
+    for target in (1, 9, 40, 200):
+        got, report = S.sample_corpus(rows, target, "sentence")
+        picked, total, rounds = plain_pack(sorted(sizes.items()), target)
+        assert {(r["source"], r["sentence_id"]) for r in got.collect()} == {k for k, _ in picked}
+        assert (report["achieved"], report["rounds"], report["items"]) == (total, rounds, len(picked))
+
+
+def test_first_by_hash_with_null_strata_and_bounds(spark):
+    df = spark.range(400).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"))
+    for quota in (0, 1, 50, 1000):
+        got = S.first_by_hash(df, ["g"], "id", 3, F.least(F.lit(quota), F.col("n"))).where("picked").groupBy("g").count().collect()
+        sizes = {None: 134, 1: 133, 2: 133}
+        assert {r["g"]: r["count"] for r in got} == ({g: min(quota, n) for g, n in sizes.items()} if quota else {})
+    first = [r["id"] for r in df.orderBy(S.hashed(3, "id"), "id").limit(7).collect()]
+    assert {r["id"] for r in S.first_by_hash(df, [], "id", 3, F.lit(7)).where("picked").collect()} == set(first)
+
+
+def test_overlaps_across_bins(spark):
+    import random
+
+    r = random.Random(2)
+    spans = lambda n: [(r.randint(0, 1), a := r.randint(0, 3000), a + r.choice([0, 1, 5, 700])) for _ in range(n)]
+    w, b = sorted(set(spans(80))), sorted(set(spans(80)))
+    want = sorted((k, a, z, x, y) for k, a, z in w for q, x, y in b if k == q and ((x < z < y) or (x <= z and a < y and y <= z)))
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id int, start int, end int")
+    assert sorted(map(tuple, P.overlaps(frame(w), frame(b)).collect())) == want
+    points = spark.createDataFrame([(k, x) for k in (0, 1) for x in range(0, 3000, 37)], "doc_id int, x int")
+    for p in P.token_at(frame(b), points).collect():
+        hit = [(x, y) for q, x, y in b if q == p["doc_id"] and x <= p["x"] < y]
+        assert (p["start"], p["end"]) == (min(hit) if hit else (None, None))
+
+
+def test_verb_forms_last_rule_stands(spark):
+    import itertools
+
+    names = {"VerbForm": ("Inf", None), "Mood": ("Ind", "Cnd", None), "Tense": ("Pres", "Past"), "Voice": ("Act", "Pass"), "Person": ("1", "3", None), "Number": ("Sing", None), "Polarity": ("Neg", None)}
+    rows, want = [], []
+    for values in itertools.product(*names.values()):
+        feats = {k: v for k, v in zip(names, values, strict=True) if v}
+        form = "start"
+        for polarity, conditions, x in V.VERB_FORMS:
+            ok = {"neg": "Polarity" in feats, "aff": "Polarity" not in feats, "": True}[polarity]
+            for c in conditions.split():
+                ok = ok and c != "negaux" and (feats.get(c.split("=")[0], "-") == c.split("=")[1])
+            form = x if ok else form
+        rows.append((len(want), feats))
+        want.append(form)
+    df = spark.createDataFrame(rows, "k int, feats map<string,string>")
+    got = df.select("k", V.verb_form(F.lit("VERB"), F.lit("V"), F.lit("x"), F.col("feats"), F.lit("start")).alias("f")).orderBy("k").collect()
+    assert [r["f"] for r in got] == want
+    with pytest.raises(Exception, match="number and case"):
+        one(spark, V.verb_form(F.lit("VERB"), F.lit("V"), F.lit("x"), F.create_map(F.lit("Case"), F.lit("Nom"), F.lit("Number"), F.lit("Sing")), F.lit("")))
+
+
+def test_offsets_by_word():
+    pieces = lambda w: ["▁" + w[:2], *([w[2:]] if w[2:] else [])]
+    text = "ab  cdef x"
+    assert Q.offsets_by_word(text, ["▁ab", "▁cd", "ef", "▁x"], pieces) == [(0, 2), (4, 6), (6, 8), (9, 10)]
+    assert Q.offsets_by_word("ab", ["zz"], lambda w: ["zz"]) == [(0, 2)]
+    with pytest.raises(ValueError):
+        Q.offsets_by_word(text, ["▁ab", "▁cd", "▁x"], pieces)
+    with pytest.raises(ValueError):
+        Q.offsets_by_word("ab", ["▁ab", "y"], pieces)
+
+
+def test_sequences_are_cut_and_padded(spark):
+    rows = spark.createDataFrame([(1, 0, "abcdef", "A"), (1, 1, "", "B"), (1, 2, "xy", "C"), (2, 0, None, None)], "s int, pos int, word string, label string")
+    ids = spark.createDataFrame([("A", 0), ("B", 1)], "label string, id int")
+    load = lambda: lambda w: [w[k : k + 2] for k in range(0, len(w), 2)]
+    got = {r["s"]: (r["pieces"], r["label_ids"]) for r in Q.encode_words(rows, load, ids, ["s"], 6).collect()}
+    assert got[1] == (["[CLS]", "ab", "cd", "ef", "[UNK]", "[SEP]"], [-100, 0, -100, -100, 1, -100])
+    assert got[2] == (["[CLS]", "[UNK]", "[SEP]"], [-100, -100, -100])
+    assert one(spark, Q.padded(F.array(F.lit("a")), 3, "p")) == ["a", "p", "p"]
+
+
+def test_random_analyses_can_be_repeated(spark):
+    words = spark.createDataFrame([(1, 0, 2), (1, 3, 4)], "d int, start int, end int")
+    layer = spark.createDataFrame([(1, 0, 2, k, f"L{k}") for k in range(9)] + [(1, 3, 5, 0, "x")], "d int, start int, end int, ann int, label string")
+    pick = lambda seed: [tuple(r) for r in Q.annotate_rows(words, layer, ["d"], pick="random", seed=seed).select("start", "pred_label", "analyses", "ambiguous").orderBy("start").collect()]
+    assert pick(1) == pick(1) and len({tuple(pick(k)) for k in range(6)}) > 1
+    assert pick(1)[1] == (3, None, 0, False) and pick(1)[0][2:] == (9, True)
+
+
+def test_results_are_replaced_in_one_step(spark, tmp_path):
+    path = str(tmp_path / "r.json")
+    rows = spark.createDataFrame([("a", "x", 0.5), ("b", "x", 0.25)], "model_name string, set_name string, accuracy double")
+    K.upsert_results(spark, path, rows)
+    K.upsert_results(spark, path, rows.limit(1).withColumn("accuracy", F.lit(1.0)))
+    assert {(r["model_name"], r["accuracy"]) for r in R.read_results(spark, path).collect()} == {("a", 1.0), ("b", 0.25)}
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["r.json"]
+    K.write_cost(spark, str(tmp_path / "c"), 1.5)
+    assert K.read_cost(spark, str(tmp_path / "c")) == 1.5 and K.read_cost(spark, str(tmp_path / "none")) == 0
