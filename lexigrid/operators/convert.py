@@ -112,6 +112,16 @@ def reduced(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("pos", reduced_pos(F.col("upostag"), F.col("xpostag"), feats)).withColumn("form", verb_form(F.col("upostag"), F.col("xpostag"), F.col("lemma"), feats, nominal_form(feats)))
 
 
+def reduced_layer(layer: DataFrame, annotations: str = "annotations") -> DataFrame:
+    """A layer's spans with the form and pos of every annotation in their array (structs of upostag, xpostag, lemma, feats map)."""
+
+    def of(a: Column) -> Column:
+        up, x, lemma, feats = (a[c] for c in ("upostag", "xpostag", "lemma", "feats"))
+        return F.struct(verb_form(up, x, lemma, feats, nominal_form(feats)).alias("form"), reduced_pos(up, x, feats).alias("pos"), lemma.alias("lemma"))
+
+    return layer.withColumn(annotations, F.transform(annotations, of))
+
+
 def document_names(docs: DataFrame, file: str, tid: str) -> DataFrame:
     """U6."""
     return docs.withColumn("document", F.format_string("%s_%03d.json", F.col(file), F.col(tid)))

@@ -135,6 +135,45 @@ def listed_files(s, sf):
     return R.list_files(s, path, "*.csv").groupBy(F.split_part("name", F.lit("-"), F.lit(1)).alias("stem")).agg(F.countDistinct("batch").alias("files"))
 
 
+@query("SELECT 'w' || item_id AS text, 'l=' || item_id AS lemma, CASE WHEN item_id % 2 = 0 THEN 'S' END AS xpostag, 'Case=Nom' AS feats, cast(NULL AS VARCHAR) AS misc, item_id % 2 = 1 AS missing FROM benchmark")
+def treebank_files(s, sf):
+    path = scratch(s, "bank")
+    i = F.col("item_id").cast("string")
+    line = F.concat(F.lit("# text\n1\tw"), i, F.lit("\tl="), i, F.lit("\tNOUN\t"), F.when(F.col("item_id") % 2 == 0, "S").otherwise("_"), F.lit("\tCase=Nom\t0\troot\t_\t_\n"))
+    K.write_text(t(s, sf, "benchmark").select(line.alias("value")), path)
+    rows = R.read_conllu(s, path).select("text", "lemma", "xpostag", "feats", "misc")
+    gaps = R.find_missing_xpos(s, path).select(F.split("value", "\t")[1].alias("text"), F.lit(True).alias("missing"))
+    return rows.join(gaps, "text", "left").withColumn("missing", F.coalesce("missing", F.lit(False)))
+
+
+@query("SELECT n_name AS lemma, cast(n_nationkey % 30 AS VARCHAR) AS inflect_type, 'S' AS pos, '' AS \"case\", 'sg n' AS form FROM nation")
+def lexicon_file(s, sf):
+    path = scratch(s, "lexicon.csv")
+    kind = (F.col("n_nationkey") % 30).cast("string")
+    K.write_csv(t(s, sf, "nation").select(F.col("n_name").alias("lemma"), F.concat(kind, F.lit("|2")).alias("inflect_type"), F.lit("S").alias("pos"), F.lit("").alias("case"), F.lit("sg n").alias("form")), path)
+    return R.read_lexicon(s, path)
+
+
+@query("SELECT text, k AS span_id, item_id * 10 + k AS start, item_id * 10 + k + 1 AS \"end\", 'a' || k AS label FROM benchmark, (VALUES (0), (1)) x(k)")
+def annotated_files(s, sf):
+    path, i = scratch(s, "annotated"), F.col("item_id").cast("int")
+    span = lambda k: F.struct((i * 10 + k).alias("start"), (i * 10 + k + 1).alias("end"), F.array(F.create_map(F.lit("label"), F.lit(f"a{k}"))).alias("annotations"))
+    layers = F.array(F.struct(F.lit("other").alias("name"), F.array(span(0)).alias("spans")), F.struct(F.lit("words").alias("name"), F.array(span(0), span(1)).alias("spans")))
+    t(s, sf, "benchmark").select("text", F.create_map(F.lit("k"), F.lit("v")).alias("meta"), layers.alias("layers")).write.option("maxRecordsPerFile", 1).json(path)
+    out = R.read_annotated(s, path, "words")
+    return out.select("text", F.col("span_id").cast("int").alias("span_id"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("annotations")[0]["label"].alias("label"))
+
+
+@query("SELECT item_id, 'sg n' AS label FROM benchmark WHERE item_id % 2 = 0 UNION ALL SELECT item_id, NULL FROM benchmark WHERE item_id % 2 = 1")
+def labelled_tasks(s, sf):
+    path = scratch(s, "tasks")
+    value = F.struct(F.lit(0).alias("start"), F.lit(1).alias("end"), F.array(F.lit("sg n"), F.lit("sg g")).alias("labels"))
+    notes = F.when(F.col("item_id") % 2 == 0, F.array(F.struct(F.array(F.struct(value.alias("value"))).alias("result"))))
+    data = F.struct("text", F.lit("w").alias("word"), F.lit(0).alias("start"), F.lit(1).alias("end"), F.col("item_id").cast("string").alias("source"))
+    t(s, sf, "benchmark").select(data.alias("data"), F.coalesce(notes, F.array()).alias("annotations")).write.option("maxRecordsPerFile", 1).json(path)
+    return R.read_tasks(s, path).select(F.col("source").cast("long").alias("item_id"), "label")
+
+
 # scalar functions
 
 
@@ -394,6 +433,16 @@ def corrected_tokens(s, sf):
     return V.corrected(rows).select("event_id", "xpostag", "upostag", "lemma")
 
 
+@query("SELECT event_id, 'sg n' AS first_form, CASE WHEN event_id % 2 = 0 THEN 'b' ELSE 'vad' END AS second_form, 'H' AS first_pos, 'V' AS second_pos FROM events")
+def reduced_layers(s, sf):
+    noun = F.struct(F.lit("PROPN").alias("upostag"), F.lit("S").alias("xpostag"), F.lit("x").alias("lemma"), F.create_map(F.lit("Case"), F.lit("Nom"), F.lit("Number"), F.lit("Sing")).alias("feats"))
+    number = F.when(F.col("event_id") % 2 == 0, "Sing").otherwise("Plur")
+    verb = F.struct(F.lit("VERB").alias("upostag"), F.lit("V").alias("xpostag"), F.lit("x").alias("lemma"), F.create_map(*[F.lit(x) for x in ("Mood", "Ind", "Tense", "Pres", "Person", "3", "Number")], number).alias("feats"))
+    out = V.reduced_layer(t(s, sf, "events").select("event_id", F.array(noun, verb).alias("annotations")))
+    a = F.col("annotations")
+    return out.select("event_id", a[0]["form"].alias("first_form"), a[1]["form"].alias("second_form"), a[0]["pos"].alias("first_pos"), a[1]["pos"].alias("second_pos"))
+
+
 # layers and sequences
 
 CHUNKS = r"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),

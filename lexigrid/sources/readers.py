@@ -82,10 +82,10 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
-    """Sentences with their target span and first label; labels outside the type's set are an error."""
+    """Sentences with their target span and first label, null if there is none; labels outside the type's set are an error."""
     raw = spark.read.schema(TASKS).json(path, multiLine=True).withColumn("file", F.col("_metadata.file_path"))
     kind = F.regexp_extract("file", r"(?:^|/)[^/_]*_[^/_]*_(\d+)[^/]*$", 1).try_cast("int")
-    value = F.try_element_at(F.col("annotations.result")[0], F.lit(1))["value"]
+    value = F.try_element_at(F.try_element_at(F.col("annotations.result"), F.lit(1)), F.lit(1))["value"]
     label = F.coalesce(F.try_element_at(value["labels"], F.lit(1)), F.try_element_at(value["choices"], F.lit(1)))
     out = raw.select("file", kind.alias("inflection_type"), "data.*", label.alias("label"))
     allowed = F.create_map(*[x for k, v in TYPE_LABELS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
