@@ -9,6 +9,7 @@ one of higher priority overlaps it. Base phrases are counted at every place and
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import ahocorasick
@@ -100,6 +101,50 @@ SENTENCES = (
     ("proprietary", "unauthorized copying", "unauthorized copying of this (?:file|document|work)"),
     ("proprietary", "may not be reproduced", "may not be reproduced .{0,60}?without (?:the )?(?:prior )?(?:written )?permission"),
     ("copyright", "copyright", "copyright (?:c )?(?:19|20)\\d\\d"),
+    ("mit", "and this permission notice", "the above copyright notice and this permission notice (?:shall|must) be included in all copies"),
+    ("mit", "without warranty of any kind", "the software is provided as is without warranty of any kind express or implied"),
+    ("bsd", "redistributions of source code", "redistributions of source code must retain the (?:above )?copyright notice"),
+    ("bsd", "redistributions in binary form", "redistributions in binary form must reproduce the (?:above )?copyright notice"),
+    ("bsd", "by the copyright holders and contributors", "this software is provided by the copyright holders and contributors as is"),
+    ("bsd", "all advertising materials", "all advertising materials mentioning features or use of this software"),
+    ("apache", "unless required by applicable law", "unless required by applicable law or agreed to in writing software distributed under the license"),
+    ("apache", "grant of copyright license", "grant of copyright license subject to the terms and conditions"),
+    ("gpl", "without even the implied warranty", "without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("gpl", "you should have received a copy", "you should have received a copy of the gnu (?:lesser |library |affero )?general public license"),
+    ("lgpl", "lesser general public license as published", "gnu lesser general public license as published by"),
+    ("agpl", "affero general public license as published", "gnu affero general public license as published by"),
+    ("gfdl", "under the terms of the gnu free documentation", "modify this document under the terms of the gnu free documentation license"),
+    ("mpl", "subject to the terms of the mozilla", "source code form is subject to the terms of the mozilla public license"),
+    ("epl", "under the terms of the eclipse", "made available under the terms of the eclipse public license"),
+    ("cddl", "subject to the terms of the common development", "subject to the terms of the common development and distribution license"),
+    ("zlib", "altered source versions", "altered source versions must be plainly marked as such"),
+    ("zlib", "the origin of this software", "the origin of this software must not be misrepresented"),
+    ("bsl", "under the boost software license", "distributed under the boost software license"),
+    ("bsl", "machine executable object code", "machine executable object code generated by a source language processor"),
+    ("unlicense", "anyone is free to copy", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("wtfpl", "you just do what the", "you just do what the fuck you want to"),
+    ("ofl", "reserved font name", "with reserved font names?"),
+    ("ofl", "under the sil open font license", "licensed under the sil open font license"),
+    ("cc-by-sa", "creative commons attribution share", "creative commons attribution share ?alike"),
+    ("cc-by-nc", "creative commons attribution non", "creative commons attribution non ?commercial"),
+    ("cc-by-nd", "creative commons attribution no", "creative commons attribution no ?deriv(?:s|atives)"),
+    ("cc0", "dedicated the work to the public domain", "has dedicated the work to the public domain"),
+    ("odbl", "under the open database license", "made available under the open database license"),
+    ("openssl", "for use in the openssl toolkit", "software developed by the openssl project for use in the openssl toolkit"),
+    ("php", "this product includes php", "this product includes php software"),
+    ("x11", "except as contained in this notice", "except as contained in this notice the names? of"),
+    ("ms-pl", "under the microsoft public license", "licensed under the microsoft public license"),
+    ("noncommercial", "non commercial use only", "for (?:personal )?non commercial use only"),
+    ("noncommercial", "personal and non commercial use", "for (?:your )?personal and non commercial use"),
+    ("proprietary", "for internal use only", "for internal use only"),
+    ("proprietary", "no part of this", "no part of this (?:publication|book|document|work|website) may be (?:reproduced|copied|used|distributed)"),
+    ("proprietary", "licensed not sold", "(?:is|are) licensed not sold"),
+    ("proprietary", "not reverse engineer", "(?:may|shall|must) not reverse engineer"),
+    ("proprietary", "trade secrets", "contains? (?:confidential |proprietary |valuable ){0,2}trade secrets"),
+    ("copyright", "copyrighted material", "(?:contains|is|uses) copyrighted material"),
+    ("copyright", "used with permission", "used with permission(?: of)?"),
+    ("noai", "text and data mining", "text and data mining .{0,60}?(?:reserved|prohibited|permitted)"),
+    ("noai", "to train machine learning", "to train machine learning (?:models|systems|algorithms)"),
     ("noai", "not be used to train", "(?:may|must|shall) not be used to train"),
 )
 
@@ -172,9 +217,11 @@ class Scanner:
     def base_places(self, line: bytes) -> tuple[list[int], set[str]]:
         places, labels = [], set()
         for phrase, label in self.base:
-            at = line.find(phrase)
+            at, word, seen = line.find(phrase), 0, 0
             while at >= 0:
-                places.append(line.count(b" ", 0, at))
+                word += line.count(b" ", seen, at)
+                seen = at
+                places.append(word)
                 labels.add(label)
                 at = line.find(phrase, at + 1)
         return places, labels
@@ -182,15 +229,23 @@ class Scanner:
     def detections(self, line: str) -> list[tuple[int, int, str, float]]:
         """Standing detections (start, end, label, weight) of the ordered rules, in order of start."""
         run = sorted({k for _, at in self.automaton.iter(line) for k in at})
-        found = []
+        levels: dict[int, list[tuple]] = {}
         for k in run:
             r, pattern = self.rules[k]
-            found += [(r.priority, m.start() - m.end(), m.start(), m.end(), r.label, r.weight) for m in pattern.finditer(line)]
+            levels.setdefault(r.priority, []).extend((m.start(), -m.end(), r.label, r.weight) for m in pattern.finditer(line))
         standing: list[tuple] = []
-        for x in sorted(found):
-            if not any((y[2] <= x[2] and x[3] <= y[3]) or (y[0] < x[0] and x[2] < y[3] and y[2] < x[3]) for y in standing):
-                standing.append(x)
-        return sorted(x[2:] for x in standing)
+        taken: tuple[list[int], list[int]] = [], []  # starts and ends of the parts that earlier levels took, in order
+        for priority in sorted(levels):
+            kept, reach = [], -1
+            for start, end, label, weight in sorted(levels[priority]):  # a detection that holds another comes before it
+                end = -end
+                k = bisect_left(taken[1], start + 1)
+                if (k == len(taken[0]) or taken[0][k] >= end) and end > reach:
+                    kept.append((start, end, label, weight))
+                    reach = end
+            standing += kept
+            taken = merged([*zip(*taken, strict=True), *(x[:2] for x in kept)])
+        return sorted(standing)
 
     def scan(self, text: str | None) -> tuple:
         line = self.words(text)
@@ -202,11 +257,25 @@ class Scanner:
         miss = 0.5 if base else 1.0
         for *_, weight in found:
             miss *= 1 - weight
-        spans = [{"label": x[2], "start": shown.count(" ", 0, x[0]) - 1, "end": shown.count(" ", 0, x[1]), "weight": x[3]} for x in found]
+        blanks = [m.start() for m in BLANK.finditer(shown)] if found else []
+        spans = [{"label": x[2], "start": bisect_left(blanks, x[0]) - 1, "end": bisect_left(blanks, x[1]), "weight": x[3]} for x in found]
         first, last = (min(places), max(places)) if places else (None, None)
         return n_words, len(places), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 - miss, spans
 
 
+def merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the parts that spans cover, in order; spans that only touch stay apart."""
+    starts, ends = [], []
+    for start, end in sorted(spans):
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
+BLANK = re.compile(" ")
 #: Bytes of words stay, A-Z in lower case; the others separate words.
 WORD_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
