@@ -29,8 +29,9 @@ SIMILARITY = 0.8
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Longer items are taken as overlapping passages of this many words, each scored by itself.
 PASSAGE = 50
-#: Items in a block; each block is broadcast on its own (under PASSAGE words for each passage).
+#: Items, and bytes of their texts, in a block on average; each block is broadcast on its own.
 BLOCK_ITEMS = 5_000
+BLOCK_BYTES = 8 << 20
 FLUSH = 200_000
 
 
@@ -167,9 +168,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[list[tuple]]:
-    """The items in blocks of about BLOCK_ITEMS rows, chosen by hash; one empty block if there are none."""
-    items = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
-    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+    """The distinct items in blocks of about BLOCK_ITEMS rows and BLOCK_BYTES, chosen by hash; one empty block if there are none."""
+    items = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).distinct()
+    rows, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-rows // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
         yield [(r["item"], r["text"]) for r in part.toLocalIterator()]
@@ -283,7 +285,11 @@ def finder(block: Items, chosen: dict[int, list[int]], similarity: float):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, all columns, whose own text holds no benchmark item; nothing is shuffled."""
+    """The rows of ``docs``, all columns, whose own text holds no benchmark item; nothing is shuffled.
+
+    Null and empty texts hold nothing and stay, repeated rows go or stay together, and all rows stay if there
+    are no items. An empty table stays empty.
+    """
     for rows in item_blocks(benchmark, item_col, item_text_col):
         shared, seeds = prepare(docs, Items(rows), text_col, similarity)
 
