@@ -66,10 +66,14 @@ def read_conllu(spark: SparkSession, path: str) -> DataFrame:
 
 def read_json_lines(spark: SparkSession, path: str, schema: str = CANDIDATES) -> DataFrame:
     """One object a line; blank lines are passed over. sentence_no counts the others from 0 in each file."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
-    lines = lines.where(F.trim("value") != "")
-    number = F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1
-    return lines.select("file", number.alias("sentence_no"), F.from_json("value", schema).alias("x")).select("file", "sentence_no", "x.*")
+    file, block = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    lines = spark.read.text(path).select("value", file, block).where(F.trim("value") != "").withColumn("at", F.monotonically_increasing_id())
+    # rows of a block are numbered one after another; a block begins where those before it in its file end
+    sizes = lines.groupBy("file", "block").agg(F.min("at").alias("least"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = sizes.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("least")).alias("shift"))
+    numbered = lines.join(shifts, ["file", "block"])
+    return numbered.select("file", (F.col("at") + F.col("shift")).alias("sentence_no"), F.from_json("value", schema).alias("x")).select("file", "sentence_no", "x.*")
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:

@@ -329,3 +329,15 @@ def test_results_are_replaced_in_one_step(spark, tmp_path):
     assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["r.json"]
     K.write_cost(spark, str(tmp_path / "c"), 1.5)
     assert K.read_cost(spark, str(tmp_path / "c")) == 1.5 and K.read_cost(spark, str(tmp_path / "none")) == 0
+
+
+def test_json_lines_are_numbered_across_blocks(spark, tmp_path):
+    for name, n in (("a.jl", 400), ("b.jl", 3)):
+        (tmp_path / name).write_text("".join(f'{{"text": "t{k}"}}\n' + "\n" * (k % 3) for k in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        got = R.read_json_lines(spark, str(tmp_path)).select(F.regexp_extract("file", "[^/]+$", 0).alias("f"), "sentence_no", "text").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(map(tuple, got)) == sorted([("a.jl", k, f"t{k}") for k in range(400)] + [("b.jl", k, f"t{k}") for k in range(3)])
