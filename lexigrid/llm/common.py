@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lexigrid.session import cut, shared_folder  # noqa: F401  shared by the operators
+
 #: Rows handed to Python code at once: bounds a worker's memory, whatever the Arrow batch.
 CHUNK_ROWS = 256
 
@@ -20,17 +21,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so lost executors cost no recompute.
+#: Rows of at most two longs and a digest that are broadcast at most: under 16 MB.
+BROADCAST_ROWS = 200_000
+#: A key with more than 1/HEAVY of a side's rows is joined by broadcast; there are under HEAVY of them.
+HEAVY = 1024
+
+
+def without(df: DataFrame, gone: DataFrame, id_col: str, mark: Column) -> DataFrame:
+    """The rows of ``df`` whose (id, mark) does not stand in ``gone`` (columns id, mark); null ids are equal.
+
+    ``gone`` is broadcast if it has at most BROADCAST_ROWS rows, so that no text is shuffled, and the mark is
+    computed only where the id is found; above that rows are dealt by id and mark.
+    """
+    gone = cut(gone.select(F.col("id").alias("__gone"), F.col("mark").alias("__mark")).distinct())
+    same = df[id_col].eqNullSafe(gone["__gone"])
+    if gone.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(gone), same & F.coalesce(mark == gone["__mark"], F.lit(False)), "left_anti")
+    return df.join(gone, same & (mark == gone["__mark"]), "left_anti")
+
+
+def join_by_key(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` joined with ``facts``, one row a key, where column ``count`` of ``facts`` is the number of its rows.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (local tests)
-    a temporary folder is chosen.
+    Keys that hold more than 1/HEAVY of all rows are joined by broadcast, the others by a shuffle.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexigrid-"))
-    return df.checkpoint(eager=True)
+    total = facts.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    heavy = cut(facts.where(F.col(count) * HEAVY > total))
+    light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(facts, key)
+    return rows.join(F.broadcast(heavy), key).unionByName(light).drop(count)
 
 
 def fold(id_col: str, modulus: int) -> Column:
@@ -72,15 +90,16 @@ def text_function(ddl: str, setup: Callable[[], Callable[[list], Sequence[list]]
 def map_chunks(df: DataFrame, columns: Sequence[str | Column], ddl: str, setup: Callable[[], Callable[..., Iterator]], chunk: int = CHUNK_ROWS) -> DataFrame:
     """Rows to rows: ``setup()`` once a task, its function once a chunk of rows.
 
-    The function gets one list a column and yields tuples of lists (one list a field of ``ddl``); called
-    with no argument after the last chunk, it may yield what it has kept.
+    The function gets one list a column and yields tuples of lists or Arrow arrays (one a field of ``ddl``);
+    called with no argument after the last chunk, it may yield what it has kept.
     """
     schema = struct_type(ddl)
     fields = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = setup()
-        wrap = lambda out: pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(out, fields, strict=True)], schema=fields)
+        column = lambda c, kind: c.cast(kind) if isinstance(c, pa.Array) else pa.array(c, kind)
+        wrap = lambda out: pa.RecordBatch.from_arrays([column(c, x.type) for c, x in zip(out, fields, strict=True)], schema=fields)
         for batch in batches:
             for at in range(0, batch.num_rows, chunk):
                 part = batch.slice(at, chunk)
@@ -97,7 +116,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
 
     Alternating large-star and small-star rounds on the edge table: every round is two aggregations and
     two joins, cut by a checkpoint; a hub is split by adaptive skew handling and never gathered. Nodes
-    that have no edge are not returned. Self-loops and nulls are ignored, repeated edges collapse.
+    that have no edge are not returned. Self-loops and nulls are ignored, repeated edges collapse. A graph that
+    is not finished after ``most_rounds`` is an error; rounds grow with the logarithm of a component's size.
     """
     cur = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     before = None
@@ -113,5 +133,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components are not finished after {most_rounds} rounds")
     stars = cur.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return stars.union(cur.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import cut
+from lexigrid.llm.common import cut, without
 
 #: Groups of more than 1/HEAVY of all rows are heavy; at most HEAVY winners are broadcast.
 HEAVY = 4096
@@ -34,19 +34,27 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     has keep_id null and stays. Rows that repeat a group's smallest id are one document given twice and
     all stay. Other columns are ignored, so their names cannot clash. An empty table gives no rows.
     """
-    digest = F.unhex(F.sha2(normalised(F.col(text_col)), 256))
-    slim = cut(df.select(F.col(id_col).alias("doc_id"), digest.alias("digest")))
+    both = decisions(df, id_col, text_col, heavy, tracked)
+    return both.select(
+        F.col("doc_id").alias(id_col), "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
+    )
+
+
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(normalised(text), 256))
+
+
+def decisions(df: DataFrame, id_col: str, text_col: str, heavy: int = HEAVY, tracked: int = TRACKED) -> DataFrame:
+    """(digest, doc_id, keep_id, group_size), one row per input row."""
+    slim = cut(df.select(F.col(id_col).alias("doc_id"), digest_of(F.col(text_col)).alias("digest")))
     winners = cut(heavy_winners(slim, heavy, tracked))
     hit = slim.join(F.broadcast(winners), "digest")
     one = Window.partitionBy("digest")
     rest = slim.join(F.broadcast(winners.select("digest")), "digest", "left_anti").select(
         "digest", "doc_id", F.min("doc_id").over(one).alias("keep_id"), F.count(F.lit(1)).over(one).alias("group_size")
     )
-    both = hit.select("digest", "doc_id", "keep_id", "group_size").union(rest)
-    return both.select(
-        F.col("doc_id").alias(id_col), "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    return hit.select("digest", "doc_id", "keep_id", "group_size").union(rest)
 
 
 def heavy_winners(slim: DataFrame, heavy: int, tracked: int) -> DataFrame:
@@ -61,7 +69,9 @@ def heavy_winners(slim: DataFrame, heavy: int, tracked: int) -> DataFrame:
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, without those whose text another row keeps.
 
-    Rows with a null id stay if nothing else has their text.
+    Rows go by id and text, so of a repeated id only the texts go that another id keeps. Rows with a null id
+    stay if no other id has their text; rows that repeat a kept row stay. Null texts count as empty. An empty
+    table stays empty; columns of any name are kept.
     """
-    gone = exact_dedup(df, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone"))
-    return df.join(gone.distinct(), df[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    gone = decisions(df, id_col, text_col).where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return without(df, gone.select(F.col("doc_id").alias("id"), F.col("digest").alias("mark")), id_col, digest_of(df[text_col]))

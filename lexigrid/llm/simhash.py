@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import connected_components, cut, text_function
+from lexigrid.llm.common import connected_components, cut, join_by_key, text_function, without
 
 #: Seed of the shingle hash; words in a shingle; bits that linked fingerprints may differ in.
 SEED = 42
@@ -186,17 +186,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     and get the component of the ids they are linked with, or null. Null and empty texts have fingerprint
     zero and are linked like any other. Repeated rows stay rows. Other columns are ignored.
     """
-    docs = cut(df.select(F.col(id_col).alias("id"), fingerprint_function(width)(F.col(text_col)).alias("x")).select("id", F.col("x.fp").alias("fp")))
-    prints = cut(docs.groupBy("fp").agg(F.min("id").alias("rep")))
-    of = connected_components(links(prints.select("fp")))
-    joined = of.join(prints, of["node"] == prints["fp"]).select("fp", "label", "rep")
-    joined = joined.join(joined.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("fp", "component_id")
-    known = prints.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    out = docs.join(known, "fp")
+    out = components(df, id_col, text_col, width)
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def components(df: DataFrame, id_col: str, text_col: str, width: int = SHINGLE) -> DataFrame:
+    """(id, mark, fp, component_id), one row per input row; mark is a hash of the text."""
+    x = fingerprint_function(width)(F.col(text_col))
+    docs = cut(df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), x.alias("x")).select("id", "mark", F.col("x.fp").alias("fp")))
+    prints = cut(docs.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")))
+    of = connected_components(links(prints.select("fp")))
+    linked = cut(of.join(prints, of["node"] == prints["fp"]).select("fp", "label", "rep"))
+    least = linked.groupBy("label").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("prints"))
+    linked = join_by_key(linked.select("fp", "label"), least, "label", "prints").select("fp", "component_id")
+    known = prints.join(linked, "fp", "left").select("fp", "rows", F.coalesce("component_id", "rep").alias("component_id"))
+    return join_by_key(docs, cut(known), "fp", "rows")
+
+
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """The rows of ``df``, all columns: of each component the one with the smallest id; null ids stay if alone."""
-    gone = near_duplicates(df, id_col, text_col, width).where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone"))
-    return df.join(gone.distinct(), df[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of ``df``, all columns: of each component the row with the smallest id.
+
+    Rows go by id and text, so of a repeated id only the texts go that are linked with a smaller id. Null ids
+    stay if nothing with an id is linked with them; rows that repeat a kept row stay. Null and empty texts
+    have fingerprint zero. An empty table stays empty; columns of any name are kept.
+    """
+    gone = components(df, id_col, text_col, width).where(~F.col("id").eqNullSafe(F.col("component_id")))
+    return without(df, gone.select("id", "mark"), id_col, F.xxhash64(df[text_col]))
