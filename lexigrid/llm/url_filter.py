@@ -1,9 +1,10 @@
 """URL filter: blocked Bloom filter, then an exact hash join (operator 5).
 
-Listed entries are prefix rules (host, path) and canonical URLs. Every URL gives a few keys: each suffix
-of its host with each start of its path that is as long as some rule's path, and its canonical form. A
-blocked Bloom filter, one 512-bit block a key, passes keys that may be listed; an exact hash join with
-the list removes the false positives. The filter's size has a bound whatever the list's.
+Every URL is tested against the short list of prefix rules (host, path) row by row. URLs that no rule fits
+are looked up among the listed URLs by their canonical form: a blocked Bloom filter, one 512-bit block a
+form, passes forms that may be listed; an exact hash join with the list removes the false positives. Only
+forms that passed are counted and shuffled, once each. The filter's size has a bound whatever the list's:
+a longer list passes more forms, and the result stays the same.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrid.llm.common import HEAVY, cut
+
 #: The rules of the policy, as (host, path, verdict).
 RULES = (
     ("com", "/en/", "block"),
@@ -27,11 +30,13 @@ RULES = (
 FILTER_BYTES = 8 << 20
 KEY_BITS = 16
 PROBES = 8
+#: Verified hits are broadcast up to so many bytes.
+HIT_BYTES = 8 << 20
 
 
 def default_listed(spark: SparkSession) -> DataFrame:
     """A block list made by rule: numbered pages of gambling hosts under three domains in four languages."""
-    n = spark.range(3 * 4 * 1000).select((F.col("id") % 3).alias("d"), (F.floor(F.col("id") / 3) % 4).alias("l"), F.floor(F.col("id") / 12).alias("p"))
+    n = spark.range(3 * 4 * 10_000).select((F.col("id") % 3).alias("d"), (F.floor(F.col("id") / 3) % 4).alias("l"), F.floor(F.col("id") / 12).alias("p"))
     pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), F.col(k).cast("int") + 1)
     host = F.concat(F.lit("casino-win.example."), pick(["com", "net", "org"], "d"))
     return n.select(F.concat(host, F.lit("/"), pick(["en", "de", "fr", "es"], "l"), F.lit("/"), F.col("p").cast("string")).alias("url"))
@@ -50,24 +55,25 @@ def path_of(url: Column) -> Column:
 
 
 def canonical(host: Column, path: Column) -> Column:
-    """Host without www. and a default port, path without index page, .html and closing slashes."""
-    host = F.regexp_replace(F.regexp_replace(host, r"^www\.", ""), r":(80|443)$", "")
+    """Host without www. or m. and a default port, path without index page, .html and closing slashes."""
+    host = F.regexp_replace(F.regexp_replace(host, r"^(www|m)\.", ""), r":(80|443)$", "")
     return F.concat(host, F.regexp_replace(F.regexp_replace(path, r"(/index)?\.html?$", ""), r"/+$", ""))
 
 
-def listed_keys(spark: SparkSession, rules: tuple, listed: DataFrame) -> DataFrame:
-    """(key, rule, verdict, length, host_length) of all listed entries, one row a key.
+def rule_of(host: Column, path: Column, rules: tuple) -> Column:
+    """(rule, verdict) of the rule that fits with the longest host and path, then host; null if none does. Of equal rules block stands."""
+    best = None
+    for h, p, verdict in sorted(rules, key=lambda r: (len(r[0] + r[1]), len(r[0]), r[2])):
+        fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
+        said = F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))
+        best = F.when(fits, said) if best is None else F.when(fits, said).otherwise(best)
+    return F.lit(None).cast("struct<rule:string,verdict:string>") if best is None else best
 
-    If a key is given both verdicts, block stands.
-    """
-    of_rules = spark.createDataFrame(list(rules), "host string, path string, verdict string").select(
-        F.concat(F.lit("r "), "host", "path").alias("key"), F.concat("host", "path").alias("rule"), "verdict",
-        F.length(F.concat("host", "path")).alias("length"), F.length("host").alias("host_length"),
-    )
+
+def listed_keys(listed: DataFrame) -> DataFrame:
+    """The canonical forms (key) of the listed URLs."""
     full = F.when(F.col("url").contains("://"), F.col("url")).otherwise(F.concat(F.lit("http://"), "url"))
-    urls = listed.where("url is not null").select(F.concat(F.lit("u "), canonical(host_of(full), path_of(full))).alias("key"))
-    urls = urls.select("key", F.lit(None).cast("string").alias("rule"), F.lit("block").alias("verdict"), F.lit(-1).alias("length"), F.lit(-1).alias("host_length"))
-    return of_rules.union(urls).groupBy("key").agg(F.first("rule").alias("rule"), F.max("verdict").alias("verdict"), F.max("length").alias("length"), F.max("host_length").alias("host_length"))
+    return listed.where("url is not null").select(canonical(host_of(full), path_of(full)).alias("key")).distinct()
 
 
 def bloom_blocks(keys: DataFrame, most_bytes: int = FILTER_BYTES) -> np.ndarray:
@@ -103,26 +109,31 @@ def may_hold(spark: SparkSession, filter_words: np.ndarray):
 def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES, listed: DataFrame | None = None) -> DataFrame:
     """One row per input row: id, host, path, rule, verdict, canonical_url.
 
-    The rule with the longest host and path wins, then the one with the longer host. URLs that no rule
-    fits are blocked if their canonical form is listed, else allowed. A null URL, or one without ``://``,
-    has an empty host and path and is allowed. Repeated rows and null ids stay as they are; other columns
-    are ignored.
+    Rules are a short list and are tested row by row. The rule with the longest host and path wins, then the
+    one with the longer host. URLs that no rule fits are blocked if their canonical form is listed, else
+    allowed: of these, the filter's possible hits alone are counted by their form and joined with the list.
+    A null URL, or one without ``://``, has an empty host and path and is allowed. Repeated rows and null ids
+    stay as they are; other columns are ignored.
     """
     spark = df.sparkSession
-    keys = listed_keys(spark, rules, default_listed(spark) if listed is None else listed)
+    keys = cut(listed_keys(default_listed(spark) if listed is None else listed))
     probe = may_hold(spark, bloom_blocks(keys))
     pages = df.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    urls = pages.select("host", "path").distinct().where("host <> ''")
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    lengths = F.array(*[F.lit(n) for n in sorted({len(p) for _, p, _ in rules})] or [F.lit(0)])
-    starts = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    tries = F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda p: F.concat(F.lit("r "), s, p))))
-    tries = F.array_append(tries, F.concat(F.lit("u "), canonical(F.col("host"), F.col("path"))))
-    asked = urls.select("host", "path", F.explode(tries).alias("key"))
-    bits = F.array(*[F.shiftrightunsigned(F.xxhash64(F.lit(j), "key"), 32).bitwiseAND(F.lit(511)) for j in range(PROBES)])
-    asked = asked.where(probe(F.xxhash64("key"), bits))
-    hits = asked.join(keys.hint("shuffle_hash"), "key")
-    best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct("length", "host_length", "key")).alias("x"))
-    out = pages.join(best, ["host", "path"], "left")
-    return out.select(id_col, "host", "path", F.col("x.rule").alias("rule"), F.coalesce("x.verdict", F.lit("allow")).alias("verdict"), canonical(F.col("host"), F.col("path")).alias("canonical_url"))
+    pages = pages.select("*", rule_of(F.col("host"), F.col("path"), rules).alias("x"), canonical(F.col("host"), F.col("path")).alias("canonical_url"))
+    key = F.col("canonical_url")
+    bits = F.array(*[F.shiftrightunsigned(F.xxhash64(F.lit(j), key), 32).bitwiseAND(F.lit(511)) for j in range(PROBES)])
+    asked = F.col("x").isNull() & (F.col("host") != "")
+    possible = pages.where(asked).select(key.alias("key"), F.xxhash64(key).alias("h"), bits.alias("bits")).where(probe(F.col("h"), F.col("bits")))
+    hits = cut(possible.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).join(keys.hint("shuffle_hash"), "key"))
+    hits = hits.select(F.col("key").alias("hit"), "rows")
+    out = pages.withColumn("hit", F.when(asked, key))
+    rows, size = hits.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum(F.octet_length("hit") + 64), F.lit(0))).first()
+    if size <= HIT_BYTES:
+        out = out.join(F.broadcast(hits.withColumn("listed", F.lit(True))), "hit", "left")
+    else:  # under HEAVY forms have more than 1/HEAVY of the hits; the others are joined by a shuffle, rows without a form stay put
+        heavy = cut(hits.where(F.col("rows") * HEAVY > rows))
+        out = out.join(F.broadcast(heavy.select("hit", F.lit(True).alias("often"))), "hit", "left")
+        rest = out.where(F.col("often").isNull() & F.col("hit").isNotNull()).join(hits.withColumn("listed", F.lit(True)), "hit", "left").drop("often", "rows")
+        out = out.where(F.col("often").isNotNull() | F.col("hit").isNull()).withColumnRenamed("often", "listed").unionByName(rest)
+    verdict = F.coalesce("x.verdict", F.when(F.col("listed"), "block"), F.lit("allow"))
+    return out.select(id_col, "host", "path", F.col("x.rule").alias("rule"), verdict.alias("verdict"), "canonical_url")
