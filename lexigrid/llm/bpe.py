@@ -187,7 +187,9 @@ def with_token_count(df: DataFrame, path: str, text_col: str = "text") -> DataFr
     Columns of those names that are there already are replaced.
     """
     f = codec_function(df.sparkSession, path, "n_tokens long, ids_sha256 string, text string", _whole)
-    return df.withColumn("__x", f(F.col(text_col))).withColumns({text_col: F.col("__x.text"), "n_tokens": F.col("__x.n_tokens"), "ids_sha256": F.col("__x.ids_sha256")}).drop("__x")
+    new = {text_col: "text", "n_tokens": "n_tokens", "ids_sha256": "ids_sha256"}
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), f(F.col(text_col)).alias("x"))
+    return own.select(*[F.col(f"x.{new[c]}" if c in new else f"row.`{c}`").alias(c) for c in df.columns + [c for c in new if c not in df.columns]])
 
 
 def _whole(codec: Codec, text: str) -> tuple[int, str, str]:

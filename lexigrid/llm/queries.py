@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from lexigrid.llm import bpe, decontaminate, exact_dedup, html_extract, lang_id, license_scan, lm_score, simhash, toxicity, url_filter
 from lexigrid.llm.common import table
 
-#: Vocabulary files of public tokenizers; the folder is a parameter of the engine, not part of it.
-TOKENIZERS = "/opt/tokenizers"
+
+def tokenizer_file(name: str) -> str:
+    """Where the vocabulary file of a public tokenizer lies; the operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +29,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score_corpus(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken")
+    return lm_score.score_corpus(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +48,7 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,10 +85,10 @@ ORACLE = {
                                 ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
         f AS (SELECT p.*, rh || rp AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC NULLS LAST) AS k
               FROM p LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
-        c AS (SELECT *, regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '')
+        c AS (SELECT *, regexp_replace(regexp_replace(host, '^(www|m)\.', ''), ':(80|443)$', '')
                         || regexp_replace(regexp_replace(path, '(/index)?\.html?$', ''), '/+$', '') AS canon FROM f WHERE k = 1)
         SELECT page_id, host, path, rule,
-               coalesce(v, CASE WHEN regexp_full_match(canon, 'casino-win\.example\.(com|net|org)/(en|de|fr|es)/(0|[1-9][0-9]{0,2})')
+               coalesce(v, CASE WHEN regexp_full_match(canon, 'casino-win\.example\.(com|net|org)/(en|de|fr|es)/(0|[1-9][0-9]{0,3})')
                                 THEN 'block' ELSE 'allow' END) AS verdict
         FROM c""",
 }
