@@ -2,15 +2,17 @@
 
 A model holds log frequencies of words, and of character n-grams of one to ORDER letters, in each
 language. A known word is scored by its own log frequencies; an unseen word falls back to the longest
-n-grams it knows at each place, and from there to shorter ones. Only words and n-grams with more than
-a fixed share of their language's total are kept, which bounds the model whatever the corpus.
+n-grams it knows at each place, and from there to shorter ones. All words and n-grams of a bounded sample
+of rows are kept, which bounds the model whatever the corpus.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,8 +24,6 @@ from lexigrid.llm.common import fold, hash_order, map_chunks, text_function
 SAMPLE_ROWS = 4000
 #: Longest character n-gram.
 ORDER = 4
-#: Kept entries have more than 1/KEEP of their language's words, or n-grams of their length.
-KEEP = 50_000
 #: Factor for each step down to a shorter n-gram.
 BACKOFF = 0.4
 #: Of a word or n-gram that a language doesn't know.
@@ -33,6 +33,11 @@ CACHE = 200_000
 find_words = re.compile(r"[^\W\d_]+").findall
 
 
+def has_letter(word: str) -> bool:
+    """Whether one character at least is a letter; numerals such as a half or a Roman six are none."""
+    return any(map(str.isalpha, word))
+
+
 def grams(word: str, n: int) -> list[str]:
     padded = f" {word} "
     return [padded[k : k + n] for k in range(len(padded) - n + 1)]
@@ -74,19 +79,20 @@ def count_entries(rows: DataFrame, lang_col: str, text_col: str) -> DataFrame:
 class Model:
     """Log10 frequencies: one matrix row of all languages for each entry; row 0 is of what no language knows."""
 
-    def __init__(self, rows: list[tuple[str, int, str, float]]) -> None:
-        self.langs = sorted({r[0] for r in rows})
-        at = {lang: k for k, lang in enumerate(self.langs)}
+    def __init__(self, rows: Iterable[tuple[str, int, str, float]]) -> None:
         self.tables: list[dict[str, int]] = [{} for _ in range(ORDER + 1)]
-        floor = math.log10(FLOOR)
-        scores = [[floor] * len(self.langs)]
+        self.fixed, names, of, at, shares = 1, {}, array("i"), array("i"), array("d")
         for lang, kind, entry, share in rows:
-            k = self.tables[kind].setdefault(entry, len(scores))
-            if k == len(scores):
-                scores.append([floor] * len(self.langs))
-            scores[k][at[lang]] = math.log10(share)
-        self.fixed = len(scores)
-        self.matrix = np.array(scores).reshape(self.fixed, len(self.langs))
+            k = self.tables[kind].setdefault(entry, self.fixed)
+            self.fixed += k == self.fixed
+            of.append(names.setdefault(lang, len(names)))
+            at.append(k)
+            shares.append(share)
+        self.langs = sorted(names)
+        self.matrix = np.full((self.fixed, len(names)), math.log10(FLOOR))
+        column = np.array([self.langs.index(lang) for lang in names], np.int64)
+        if len(at):
+            self.matrix[np.array(at), column[np.array(of)]] = np.log10(np.array(shares))
         self.cache: dict[str, int] = {}
 
     def word(self, word: str) -> int:
@@ -121,7 +127,7 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and posterior (even priors); und if there is no letter or nothing was learned."""
         words = Counter(find_words(text.lower())) if text else None
-        if not words or not self.langs:
+        if not words or not self.langs or not any(map(has_letter, words)):
             return "und", 0.0
         known, names = self.cache, list(words)
         total, counts = np.zeros(len(self.langs)), np.fromiter(words.values(), float, len(words))
@@ -138,15 +144,15 @@ class Model:
         return self.langs[best], float(p[best] / p.sum())
 
 
-def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, keep: int = KEEP) -> Model:
+def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
     """The model of the rows with a language. Each language gives about ``sample_rows`` rows, fixed by their ids."""
     rows = df.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     share = F.broadcast(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
     part = rows.join(share, "lang").where(hash_order("id") * F.col("rows") < sample_rows)
     counts = count_entries(part, "lang", "text")
     totals = counts.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
-    kept = counts.join(F.broadcast(totals), ["lang", "kind"]).where(F.col("n") * keep > F.col("total"))
-    return Model([tuple(r) for r in kept.select("lang", "kind", "entry", F.col("n") / F.col("total")).toLocalIterator()])  # under keep rows a language and kind
+    shares = counts.join(F.broadcast(totals), ["lang", "kind"]).select("lang", "kind", "entry", F.col("n") / F.col("total"))
+    return Model(shares.toLocalIterator())  # what sample_rows rows of each language hold
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
