@@ -474,7 +474,7 @@ def gated_prediction_stand_in(s, sf):
     expert = t(s, sf, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), F.lit(1.0).alias("probability"))
     dense = (F.col("vec_id") % 10) / 10.0
     gate = t(s, sf, "embeddings").select("vec_id", dense.alias("density"), G.route(dense, F.col("vec_id") % 7 == 0, 0.8).alias("answers"))
-    return G.gated_labels(base, expert, gate, ["vec_id"])
+    return G.gated_labels(base, expert, gate, ["vec_id"]).withColumns({c: F.round(c, 4) for c in ("probability", "baseline_probability", "expert_probability")})
 
 
 @query(f"SELECT doc_id FROM documents WHERE len({SPLIT}) >= 4 AND len(list_filter({SPLIT}, lambda x: regexp_matches(x, '^\\p{{Ll}}'))) > 0 AND length(text) < 1500")
@@ -508,7 +508,7 @@ def text_chunks(s, sf):
     return P.chunks(t(s, sf, "documents")).drop("piece")
 
 
-@query("SELECT n_nationkey AS k, CASE WHEN n_nationkey < 10 THEN 'new' ELSE n_name END AS v FROM nation UNION ALL SELECT 100, 'new'")
+@query("SELECT cast(n_nationkey AS BIGINT) AS k, CASE WHEN n_nationkey < 10 THEN 'new' ELSE n_name END AS v FROM nation UNION ALL SELECT 100, 'new'")
 def result_upsert(s, sf):
     old = t(s, sf, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("v"))
     new = old.where("k < 10").select("k").union(s.range(100, 101)).withColumn("v", F.lit("new"))

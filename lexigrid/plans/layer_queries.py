@@ -389,6 +389,12 @@ CORPORA = "z AS (SELECT type AS g, source, count(*) AS words FROM w WHERE type I
 ORACLE["corpus_mix"] = f"WITH {PACK.format(sizes=W + ', ' + CORPORA)} SELECT CASE g WHEN 'en' THEN 'a' WHEN 'fr' THEN 'b' ELSE 'c' END AS orig_corpus, source, words FROM got"
 
 
+OF_TYPE = """z AS (SELECT min(type) AS g, source, count(*) AS words FROM w GROUP BY source), ty AS (SELECT g, min(source) AS o, sum(words) AS s FROM z GROUP BY g),
+quota AS (SELECT g, least(100000 // count(*) OVER () + CASE WHEN row_number() OVER (ORDER BY o) <= 100000 % count(*) OVER () THEN 1 ELSE 0 END, s) AS q FROM ty)"""
+ORACLE["stratified_source_sampler"] = f"""WITH {PACK.format(sizes=W + ', ' + OF_TYPE)}, more AS (SELECT source, words, (SELECT sum(words) FROM got) + coalesce(sum(words) OVER (ORDER BY words DESC, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM z WHERE source NOT IN (SELECT source FROM got))
+SELECT source, words FROM got UNION ALL SELECT source, words FROM more WHERE before < 100000"""
+
+
 @query("WITH s AS (SELECT DISTINCT doc_id FROM documents), r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('2|' || doc_id), doc_id) AS k, count(*) OVER () AS n FROM s) SELECT doc_id, CASE WHEN k <= round_even(n * 0.2, 0) THEN 'test' ELSE 'train' END AS split FROM r")
 def sentence_split(s, sf):
     return S.split_sources(t(s, sf, "documents").select("doc_id").distinct(), 0.2, 2, "doc_id")
@@ -613,9 +619,6 @@ z AS (SELECT vec_id, cast(label AS VARCHAR) AS label, sum(v.x * m.x) AS z FROM v
 base AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, label) = 1)"""
 
 
-@query(f"""WITH {CENTROIDS}, g AS (SELECT vec_id, cast(label AS VARCHAR) AS e_label, (vec_id % 10) / 10 AS density, (vec_id % 10) / 10 >= 0.8 OR vec_id % 7 = 0 AS x FROM embeddings)
-SELECT vec_id, density, CASE WHEN x THEN 'expert' ELSE 'baseline' END AS source_model, CASE WHEN x THEN e_label ELSE label END AS pred_label, round(CASE WHEN x THEN 1.0 ELSE p END, 4) AS probability FROM g JOIN base USING (vec_id)""")
-def gated_labels(s, sf):
-    from lexigrid.plans.corpus_queries import QUERIES
-
-    return QUERIES["gated_prediction_stand_in"](s, sf).select("vec_id", "density", "source_model", "pred_label", F.round("probability", 4).alias("probability"))
+ORACLE["gated_prediction_stand_in"] = f"""WITH {CENTROIDS}, g AS (SELECT vec_id, cast(label AS VARCHAR) AS e_label, (vec_id % 10) / 10 AS density, (vec_id % 10) / 10 >= 0.8 OR vec_id % 7 = 0 AS x FROM embeddings)
+SELECT vec_id, density, CASE WHEN x THEN 'expert' ELSE 'baseline' END AS source_model, CASE WHEN x THEN e_label ELSE label END AS pred_label, round(CASE WHEN x THEN 1.0 ELSE p END, 4) AS probability,
+round(p, 4) AS baseline_probability, cast(1.0 AS DOUBLE) AS expert_probability FROM g JOIN base USING (vec_id)"""
