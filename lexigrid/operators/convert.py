@@ -102,8 +102,8 @@ def verb_form(upos: Column, xpos: Column, lemma: Column, feats: Column, start: C
         found.append(F.when(fits & negaux if aux else fits, F.try_element_at(F.create_map(*pairs), key)))
     form = F.coalesce(F.greatest(*found)["form"], start)
     odd = f("Number").isNotNull() & f("Case").isNotNull()
-    error = F.raise_error(F.concat(F.lit("a verb with number and case: "), F.coalesce(lemma, F.lit("null")))).cast("string")
-    return F.when((xpos == "V") & odd, F.when(start.isNotNull(), error)).when(xpos == "V", form).otherwise(start)
+    error = F.raise_error(F.concat(F.lit("a verb with number and case: "), F.coalesce(lemma, F.lit("null")), F.lit(" "), start)).cast("string")  # an unknown case comes first
+    return F.when((xpos == "V") & odd, error).when(xpos == "V", form).otherwise(start)
 
 
 def reduced(tokens: DataFrame) -> DataFrame:
