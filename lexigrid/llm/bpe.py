@@ -24,7 +24,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Words with more parts than this use the heap.
 SHORT = 64
 #: Encoded words kept in a worker; when full, the memory starts afresh.
-CACHE = 300_000
+CACHE = 100_000
 NONE = 1 << 60
 
 

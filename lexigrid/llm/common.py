@@ -12,8 +12,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexigrid.session import cut, shared_folder  # noqa: F401  shared by the operators
 
-#: Rows handed to Python code at once: bounds a worker's memory, whatever the Arrow batch.
+#: Rows handed to Python code at once, and rows of an Arrow batch at most: both bound a worker's memory where texts are long.
 CHUNK_ROWS = 256
+BATCH_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +62,13 @@ def hash_order(id_col: str, seed: int = 17) -> Column:
     return (F.xxhash64(F.lit(seed), F.col(id_col).cast("string")).bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))
 
 
+def bound_batches() -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS rows; batches that are smaller already stay."""
+    spark, name = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark is not None and not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def struct_type(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
@@ -71,6 +79,7 @@ def text_function(ddl: str, setup: Callable[[], Callable[[list], Sequence[list]]
     ``setup`` runs once a task and returns ``f(values) -> one list a field``. Values arrive as Python
     objects, None for null.
     """
+    bound_batches()
     schema = struct_type(ddl)
     fields = list(to_arrow_schema(schema))
 
@@ -93,6 +102,7 @@ def map_chunks(df: DataFrame, columns: Sequence[str | Column], ddl: str, setup:
     The function gets one list a column and yields tuples of lists or Arrow arrays (one a field of ``ddl``);
     called with no argument after the last chunk, it may yield what it has kept.
     """
+    bound_batches()
     schema = struct_type(ddl)
     fields = to_arrow_schema(schema)
 
