@@ -851,7 +851,6 @@ def test_decontamination_finds_all_that_alignment_finds(spark):
 @pytest.mark.parametrize("counted", [0, 20_000])
 def test_near_dedup_stage_drops_all_similar_texts(spark, edge, docs, sf, counted, monkeypatch):
     monkeypatch.setattr(near_dedup, "SAMPLE_ROWS", counted)
-    monkeypatch.setattr(near_dedup, "WHOLE", 16 if counted else 1)  # 1: all but pairs are linked by few pairs and asked again
     rng = np.random.default_rng(3)
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     for k, edits in enumerate([1, 2, 3, 4, 5, 6, 7, 8] * 6):
