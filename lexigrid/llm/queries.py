@@ -1,11 +1,11 @@
-"""The queries of the ten operators over the whole tables, and their SQL where SQL can say the same."""
+"""The queries of the operators over the whole tables, and their SQL where SQL can say the same."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm import bpe, decontaminate, exact_dedup, html_extract, lang_id, license_scan, lm_score, simhash, toxicity, url_filter
+from lexigrid.llm import bpe, decontaminate, exact_dedup, html_extract, lang_id, license_scan, lm_score, periodic_runs, simhash, token_alignment, topk_search, toxicity, url_filter
 from lexigrid.llm.common import table
 
 
@@ -61,13 +61,25 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash_near_dedup, op3_license_scan, op4_lm_scoring, op5_url_filter, op6_language_id, op7_html_extraction, op8_bpe_round_trip, op9_toxicity, op10_benchmark_decontamination, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash_near_dedup, op3_license_scan, op4_lm_scoring, op5_url_filter, op6_language_id, op7_html_extraction, op8_bpe_round_trip, op9_toxicity, op10_benchmark_decontamination, op11_exact_top_k, op12_periodic_runs, op13_token_alignment, pipeline)}
 
 ORACLE = {
     "op1_exact_dedup": r"""
@@ -91,4 +103,11 @@ ORACLE = {
                coalesce(v, CASE WHEN regexp_full_match(canon, 'casino-win\.example\.(com|net|org)/(en|de|fr|es)/(0|[1-9][0-9]{0,3})')
                                 THEN 'block' ELSE 'allow' END) AS verdict
         FROM c""",
+    "op11_exact_top_k": r"""
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
 }
