@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterable
+from collections import Counter
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ def block_shuffle(df: DataFrame, seed: int, source: str = "source") -> DataFrame
     return df.withColumn("block", hashed(seed, source))
 
 
+#: Strata whose limits are broadcast at most: some 10 MB.
+FEW_STRATA = 100_000
 #: Leading digits of the hash that rows are counted by before any is ranked.
 DIGITS = 3
 
@@ -32,7 +35,8 @@ def first_by_hash(df: DataFrame, strata: list[str], key: str, seed: int, quota:
 
     Rows are counted by the hash's leading digits first. What lies before the digits in which the quota ends is
     in, what lies behind is out, and only rows with just these digits, about one in 16**DIGITS, are ranked. So no
-    task holds a stratum.
+    task holds a stratum. The limits are broadcast if there are at most FEW_STRATA of them, so that rows are not shuffled by
+    their stratum; beyond that no stratum but a few can be large, and Spark splits these.
     """
     h = hashed(seed, key)
     rows = df.withColumns({"__h": h, "__b": F.conv(F.substring(h, 1, DIGITS), 16, 10).cast("int")})
@@ -42,11 +46,12 @@ def first_by_hash(df: DataFrame, strata: list[str], key: str, seed: int, quota:
     w = Window.partitionBy(*names)
     counts = counts.withColumns({"n": F.sum("c").over(w), "before": F.sum("c").over(w.orderBy("__b")) - F.col("c")}).withColumn("__q", quota.cast("long"))
     edge = F.max_by(F.struct(F.col("__b").alias("b"), (F.col("__q") - F.col("before")).alias("left")), F.when(F.col("before") < F.col("__q"), F.col("__b")))
-    limits = counts.groupBy(*names).agg(edge.alias("__e"))
+    limits = cut(counts.groupBy(*names).agg(edge.alias("__e")))
+    limits = F.broadcast(limits) if limits.count() <= FEW_STRATA else limits
     cond = F.lit(True)
     for k, c in enumerate(strata):
         cond &= F.col(c).eqNullSafe(F.col(f"__s{k}"))
-    joined = rows.join(limits, cond) if strata else rows.crossJoin(F.broadcast(limits))  # one row without strata
+    joined = rows.join(limits, cond) if strata else rows.crossJoin(limits)  # one row without strata
     at = F.coalesce(F.col("__e.b"), F.lit(-1))
     apart = joined.where(F.col("__b") != at).withColumn(name, F.col("__b") < at)
     rank = F.row_number().over(Window.partitionBy(*names).orderBy("__h", key))
@@ -110,126 +115,110 @@ def gather_n_per_type(sizes: DataFrame, n: int, type_col: str = "first_type", so
     return sizes.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < n)
 
 
-class SizePool:
-    """Numbers of items by size, from which items are taken until it is empty; then it is full again.
+@dataclass(frozen=True)
+class Packing:
+    """What is taken of each size: (from the front, from the back) in the last round; in ``rounds`` rounds before it all items were."""
 
-    A step takes an item of exactly the size that is wanted, the first of them; else one of the largest size
-    below, the last of them; else the first of the smallest size. Sizes that are used up are skipped by links
-    to the next smaller one, shortened as they are followed.
+    rounds: int
+    items: int
+    total: int
+    taken: dict[int, tuple[int, int]]
+
+    def left(self, size: int, count: int) -> int:
+        """Items of a size that are never taken."""
+        return 0 if self.rounds else count - sum(self.taken.get(size, (0, 0)))
+
+
+def pack_sizes(counts: dict[int, int], target: int) -> Packing:
+    """Q3: how many items of each size are taken until their sizes reach the target, from the number of items of each size.
+
+    The rule, item by item: take one of exactly the size that is wanted, the first of them; else one of the largest
+    size below, the last of them; else the first of the smallest size; a pool that is used up is full again. It is
+    followed in whole rounds and then in runs of one size: what is wanted only falls, so after a size below it has
+    given what it can, no larger one can come up again, and one pass over the sizes downwards is the whole round. Steps
+    are as many as there are distinct sizes, at most the square root of twice the sum of all sizes.
     """
+    sizes = sorted(k for k, n in counts.items() if k > 0 and n > 0)
+    if not sizes or target <= 0:
+        return Packing(0, 0, 0, {})
+    whole = sum(k * counts[k] for k in sizes)
+    rounds = (target - 1) // whole
+    rest, taken = target - rounds * whole, {}
+    for size in reversed(sizes[: bisect.bisect_right(sizes, rest)]):
+        last = min(counts[size], (rest - 1) // size)
+        first = int(rest - last * size == size and last < counts[size])
+        rest -= (last + first) * size
+        if last or first:
+            taken[size] = (first, last)
+        if not rest:
+            break
+    if rest:  # all that is left is larger
+        size = next(k for k in sizes if counts[k] > sum(taken.get(k, (0, 0))))
+        first, last = taken.get(size, (0, 0))
+        taken[size] = (first + 1, last)
+        rest -= size
+    items = rounds * sum(counts[k] for k in sizes) + sum(map(sum, taken.values()))
+    return Packing(rounds, items, target - rest, taken)
+
+
+def stratified_packings(counts: dict[str | None, dict[int, int]], target: int) -> tuple[dict[str | None, Packing], tuple[int, int] | None]:
+    """Q2 from (kind, size) counts, kinds in their order: each kind's packing, and (size, number) that fills what they leave open.
 
-    def __init__(self, counts: dict[int, int]) -> None:
-        self.sizes = sorted(k for k, n in counts.items() if k > 0 and n > 0)
-        self.full = [counts[k] for k in self.sizes]
-        self.rounds = -1
-        self.fill()
-
-    def fill(self) -> None:
-        self.rounds += 1
-        self.first, self.last = [0] * len(self.sizes), [0] * len(self.sizes)  # taken from either end of each size
-        self.below, self.least, self.left = list(range(len(self.sizes))), 0, sum(self.full)
-
-    def rest(self, k: int) -> int:
-        return self.full[k] - self.first[k] - self.last[k]
-
-    def down(self, k: int) -> int:
-        """The largest place up to k that has items, or -1."""
-        path = []
-        while k >= 0 and not self.rest(k):
-            path.append(k)
-            k = self.below[k] if self.below[k] != k else k - 1
-        for x in path:
-            self.below[x] = k
-        return k
-
-    def take(self, wanted: int) -> tuple[int, int]:
-        """(size, number) of the item taken; the number counts within its size."""
-        if not self.left:
-            self.fill()
-        at = bisect.bisect_right(self.sizes, wanted) - 1
-        k = self.down(at)
-        self.left -= 1
-        if k >= 0 and self.sizes[k] < wanted:
-            self.last[k] += 1
-            return self.sizes[k], self.full[k] - self.last[k]
-        if k < 0:
-            while not self.rest(self.least):
-                self.least += 1
-            k = self.least
-        self.first[k] += 1
-        return self.sizes[k], self.first[k] - 1
-
-    def ranges(self) -> list[tuple[int, int, int]]:
-        """(size, first, last) of each size: so many items from either end are taken; all of them once the pool was filled again."""
-        if self.rounds:
-            return [(size, n, 0) for size, n in zip(self.sizes, self.full, strict=True)]
-        return [(size, a, z) for size, a, z in zip(self.sizes, self.first, self.last, strict=True) if a or z]
-
-
-def greedy_pack(items: Iterable[tuple[str, int]], target: int) -> tuple[list[tuple[str, int]], int, int]:
-    """Q3: items until their sizes reach the target: (picked, total, rounds of refilling). No items give no picks."""
-    of_size: dict[int, list] = {}
-    for item in items:
-        of_size.setdefault(item[1], []).append(item)
-    pool, picked, total = SizePool({size: len(x) for size, x in of_size.items()}), [], 0
-    while total < target and pool.sizes:
-        size, k = pool.take(target - total)
-        picked.append(of_size[size][k])
-        total += size
-    return picked, total, pool.rounds
-
-
-def stratified_sources(sizes: Iterable[tuple[str, str, int]], target: int) -> list[str]:
-    """Q2: (source, type, words) in order of first appearance: the target in equal quotas, one more for the first types if it doesn't divide.
-
-    Each type is packed to its quota without refilling; if the sum falls short, the other sources follow,
-    largest first, then by name.
+    The target goes to the kinds in equal quotas, one more for the first ones if it doesn't divide; no kind is filled
+    again. If their sum falls short, the items left over follow, largest first: all above the size that is returned and so
+    many of it. None if nothing is to follow.
     """
-    items = list(sizes)
-    kinds = list(dict.fromkeys(kind for _, kind, _ in items))
-    chosen: dict[str, int] = {}
-    for k, kind in enumerate(kinds):
-        own = [(s, n) for s, x, n in items if x == kind]
-        share, odd = divmod(target, len(kinds))
-        chosen |= dict(greedy_pack(own, min(share + int(k < odd), sum(n for _, n in own)))[0])
-    for source, _, n in sorted((x for x in items if x[0] not in chosen), key=lambda x: (-x[2], x[0])):
-        if sum(chosen.values()) >= target:
+    share, odd = divmod(target, max(1, len(counts)))
+    packed = {kind: pack_sizes(n, min(share + int(k < odd), sum(size * c for size, c in n.items()))) for k, (kind, n) in enumerate(counts.items())}
+    rest, left = target - sum(p.total for p in packed.values()), Counter()
+    for kind, n in counts.items():
+        left.update({size: packed[kind].left(size, c) for size, c in n.items()})
+    more = None
+    for size in sorted(left, reverse=True):
+        if rest <= 0:
             break
-        chosen[source] = n
-    return list(chosen)
+        number = min(left[size], -(-rest // size))
+        more, rest = (size, number), rest - number * size
+    return packed, more
 
 
 def sample_corpus(rows: DataFrame, target: int, mode: str = "source", stratified: bool = False) -> tuple[DataFrame, dict[str, int]]:
     """Word rows of the picked sources or sentences, and what was asked for and reached.
 
-    The driver sees how many items there are of each size, and for a stratified pick one row a source. Items of
-    one size are taken in order of their keys; repeated picks count once in rows.
+    The driver sees how many items there are of each size, or of each type and size, never an item. Items of one
+    type and size are numbered in the order of their keys over ranges, and the numbers at either end are taken; repeated picks
+    count once in rows. A stratified pick of sources (sentences are not stratified) is filled up by the largest
+    sources left over, those of one size by name.
     """
     if mode not in ("source", "sentence"):
         raise ValueError(mode)
-    keys = ["source"] if mode == "source" else ["source", "sentence_id"]
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("words"), F.min("type").alias("type"))
+    spark, keys = rows.sparkSession, ["source"] if mode == "source" else ["source", "sentence_id"]
+    kind = F.min("type") if stratified and mode == "source" else F.lit(None).cast("string")
+    sizes = cut(rows.groupBy(*keys).agg(F.count("*").alias("words"), kind.alias("kind")))
+    counts: dict[str | None, dict[int, int]] = {r["kind"]: {} for r in sizes.groupBy("kind").agg(F.min("source").alias("o")).orderBy("o").collect()}
+    for r in sizes.groupBy("kind", "words").count().collect():
+        counts[r["kind"]][r["words"]] = r["count"]
+    more = None
     if stratified and mode == "source":
-        known = [(r["source"], r["type"], r["words"]) for r in sizes.orderBy(*keys).collect()]
-        chosen = stratified_sources(known, target)
-        got, report = sum(n for s, _, n in known if s in set(chosen)), {"rounds": 0, "items": len(chosen)}
-        picks = rows.sparkSession.createDataFrame([(s,) for s in sorted(chosen)], f"source {rows.schema['source'].dataType.simpleString()}")
+        packed, more = stratified_packings(counts, target)
     else:
-        sizes = cut(sizes.select(*keys, "words"))
-        counts = {r["words"]: r["count"] for r in sizes.groupBy("words").count().collect()}
-        pool, got, items = SizePool(counts), 0, 0
-        while got < target and pool.sizes:
-            got, items = got + pool.take(target - got)[0], items + 1
-        report, before, bounds = {"rounds": pool.rounds, "items": items}, 0, []
-        taken = {size: (a, z) for size, a, z in pool.ranges()}
-        for size in pool.sizes:
-            if size in taken:
-                bounds.append((size, before + taken[size][0], before + counts[size] - taken[size][1]))
-            before += counts[size]
-        limits = rows.sparkSession.createDataFrame(bounds, "words long, upto long, since long")
-        numbered = dense_ids(sizes, ["words", *keys], "__id").join(F.broadcast(limits), "words")
-        picks = numbered.where("__id < upto or __id >= since").select(*keys)
-    return rows.join(picks, keys, "left_semi"), {"requested": target, "achieved": got, **report}
+        packed = {k: pack_sizes(n, target) for k, n in counts.items()}
+    limits = [(k, size, n if p.rounds else first, n if p.rounds else n - last) for k, p in packed.items() for size, n in counts[k].items() for first, last in [p.taken.get(size, (0, 0))]]
+    bounds = spark.createDataFrame(limits, "__kind string, __words long, upto long, since long")
+    numbered = dense_ids(sizes, ["kind", "words", *keys], "__id")
+    least = numbered.groupBy(F.col("kind").alias("__kind"), F.col("words").alias("__words")).agg(F.min("__id").alias("__least"))
+    bounds = bounds.join(least, bounds["__kind"].eqNullSafe(least["__kind"]) & (bounds["__words"] == least["__words"])).drop(least["__kind"], least["__words"])
+    placed = numbered.join(bounds, F.col("kind").eqNullSafe(F.col("__kind")) & (F.col("words") == F.col("__words"))).withColumn("at", F.col("__id") - F.col("__least"))
+    inside = F.expr("at < upto or at >= since")
+    picks, items, got = placed.where(inside).select(*keys), sum(p.items for p in packed.values()), sum(p.total for p in packed.values())
+    if more:
+        left = cut(placed.where(~inside).select(*keys, "words"))
+        same = dense_ids(left.where(F.col("words") == more[0]), keys, "__k").where(F.col("__k") < more[1])
+        above = left.where(F.col("words") > more[0])
+        extra = above.agg(F.count(F.lit(1)), F.coalesce(F.sum("words"), F.lit(0))).first()
+        items, got = items + extra[0] + more[1], got + extra[1] + more[0] * more[1]
+        picks = picks.unionByName(above.select(*keys)).unionByName(same.select(*keys))
+    return rows.join(picks, keys, "left_semi"), {"requested": target, "achieved": got, "rounds": max((p.rounds for p in packed.values()), default=0), "items": items}
 
 
 def mix_corpora(corpora: dict[str, DataFrame], target: int, shares: dict[str, float] | None = None, mode: str = "source", stratified: tuple[str, ...] = ()) -> tuple[DataFrame, dict]:

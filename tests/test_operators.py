@@ -67,11 +67,12 @@ def test_lemma_and_pick_file(spark):
     assert tuple(one(spark, X.pick_file(F.lit("infl_type_17_randomly_picked_1000_sentences_pick_2.jl")))) == (17, 1000, 2)
 
 
-def test_greedy_pack():
-    assert S.greedy_pack([("a", 100), ("b", 200), ("c", 300)], 300) == ([("c", 300)], 300, 0)
-    assert S.greedy_pack([("a", 50), ("b", 80), ("c", 120), ("d", 40)], 200) == ([("c", 120), ("b", 80)], 200, 0)
-    assert S.greedy_pack([], 10) == ([], 0, 0)
-    assert S.greedy_pack([("a", 3)], 7)[1:] == (9, 2)
+def test_pack_sizes():
+    assert S.pack_sizes({100: 1, 200: 1, 300: 1}, 300) == S.Packing(0, 1, 300, {300: (1, 0)})
+    assert S.pack_sizes({50: 1, 80: 1, 120: 1, 40: 1}, 200) == S.Packing(0, 2, 200, {120: (0, 1), 80: (1, 0)})
+    assert S.pack_sizes({}, 10) == S.pack_sizes({0: 3}, 10) == S.Packing(0, 0, 0, {})
+    assert S.pack_sizes({3: 1}, 7) == S.Packing(2, 3, 9, {3: (1, 0)})
+    assert S.pack_sizes({7: 10**12, 5: 1}, 7 * 10**12 - 1).items == 10**12 + 1  # one step a size, not one an item
 
 
 def words_table(spark, sizes):
@@ -226,12 +227,62 @@ def plain_pack(items, target):
 
 def test_pack_like_the_plain_rule():
     import random
+    from collections import Counter
 
     r = random.Random(5)
-    for _ in range(300):
-        items = [(f"s{k}", r.randint(0, 9)) for k in range(r.randint(0, 12))]
-        for target in (0, 1, 7, 30, 150):
-            assert S.greedy_pack(items, target) == plain_pack(items, target)
+    for _ in range(10_000):
+        items = [(f"s{k:02}", r.randint(0, 9)) for k in range(r.randint(0, 12))]
+        target = r.choice((0, 1, r.randint(1, 40), 30, 150))
+        got, (picked, total, rounds) = S.pack_sizes(Counter(n for _, n in items), target), plain_pack(items, target)
+        assert (got.total, got.rounds, got.items) == (total, rounds, len(picked))
+        of_size = {}
+        for item in items:
+            of_size.setdefault(item[1], []).append(item)
+        if not rounds:
+            chosen = {x for size, (a, z) in got.taken.items() for x in of_size[size][:a] + of_size[size][len(of_size[size]) - z :]}
+            assert chosen == set(picked)
+
+
+def plain_stratified(items, target):
+    """(source, type, words) by name: quotas for the types in order of appearance, then the largest that are left."""
+    kinds, chosen = list(dict.fromkeys(k for _, k, _ in items)), {}
+    for n, kind in enumerate(kinds):
+        own = [(s, w) for s, k, w in items if k == kind]
+        share, odd = divmod(target, len(kinds))
+        chosen |= dict(plain_pack(own, min(share + (n < odd), sum(w for _, w in own)))[0])
+    for s, _, w in sorted((x for x in items if x[0] not in chosen), key=lambda x: (-x[2], x[0])):
+        if sum(chosen.values()) >= target:
+            break
+        chosen[s] = w
+    return chosen
+
+
+def test_stratified_sources_like_the_plain_rule(spark):
+    import random
+
+    r = random.Random(7)
+    for seed in range(4):
+        items = [(f"s{k:02}", r.choice(["y", "x", None]), r.randint(1, 9)) for k in range(25)]
+        rows = spark.createDataFrame([(s, 1, k, p) for s, k, n in items for p in range(n)], "source string, sentence_id long, type string, pos int")
+        for target in (1, 20, 57, 90, 1000)[seed % 2 :: 2]:
+            want = plain_stratified(items, target)
+            got, report = S.sample_corpus(rows, target, "source", stratified=True)
+            assert {x["source"]: x["count"] for x in got.groupBy("source").count().collect()} == want
+            assert (report["achieved"], report["items"]) == (sum(want.values()), len(want))
+
+
+def test_no_item_reaches_the_driver(spark):
+    rows = spark.range(30_000).selectExpr("concat('s', id % 3000) source", "id sentence_id", "'t' type", "0 pos")
+    rows = rows.unionByName(rows.withColumn("pos", F.lit(1)).where("sentence_id % 3 = 0"))
+    seen = []
+    collect = type(rows).collect
+    try:
+        type(rows).collect = lambda df: seen.append(got := collect(df)) or got
+        S.sample_corpus(rows, 20_000, "source", stratified=True)
+        S.sample_corpus(rows, 20_000, "sentence")
+    finally:
+        type(rows).collect = collect
+    assert seen and max(map(len, seen)) < 20  # rows of distinct sizes and types only
 
 
 def test_sentence_picks_are_those_of_the_plain_rule(spark):
