@@ -7,8 +7,9 @@ unseen is bounded twice: by the lists' last values, and by the lengths of the un
 Schwarz). The k-th best lower bound is the score to reach; reading stops when no vector that has not been seen can reach
 it and few that have been seen can. Those few get their final scores, so that the result is exact.
 
-Queries go out in blocks of bounded size, each broadcast once; no row meets the driver otherwise. Scores that a task has
-found raise the bar for its later shards. A task gives out k rows a query, and Spark merges them.
+Queries go out in blocks of bounded size, each broadcast once; no row meets the driver otherwise. What one shard gives for
+a block is the bar that all others start with, and scores that a task has found raise it for its later shards. A task
+gives out k rows a query, and Spark merges them.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ SHARD_ROWS = 4096
 QUERY_ROWS = 8192
 #: Steps in which a list is read, and the share of a shard that gets final scores at most before the lists' ends.
 STEPS = 16
-FEW = 1 / 32
+FEW = 1 / 4
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
@@ -46,59 +47,68 @@ def quantised(vector: Column, scale: int = SCALE) -> Column:
 
 
 class Shard:
-    """Vectors with each component's order."""
+    """Vectors with each component's order, from either end."""
 
     def __init__(self, vectors: np.ndarray, ids: list[list[int]]) -> None:
         self.vectors, self.ids = vectors, ids
-        self.order = np.argsort(vectors, axis=0, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(vectors, self.order, 0).astype(np.float64)
+        up = np.argsort(vectors, axis=0, kind="stable").astype(np.int32)
+        values = np.take_along_axis(vectors, up, 0).astype(np.float64)
+        self.order, self.sorted = (np.ascontiguousarray(up[::-1]), up), (np.ascontiguousarray(values[::-1]), values)
         self.squares = (vectors.astype(np.float64) ** 2).sum(1)
         self.exact = float(np.abs(vectors).max(initial=0)) ** 2 * max(1, vectors.shape[1]) < 2**52
+        self.floats = vectors.astype(np.float64) if self.exact else None
 
     def final(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
         """Inner products in whole numbers."""
         if self.exact and float(np.abs(query).max(initial=0)) ** 2 * max(1, len(query)) < 2**52:
-            return (self.vectors[rows].astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
+            return (self.floats[rows] @ query.astype(np.float64)).astype(np.int64)
         return self.vectors[rows].astype(np.int64) @ query.astype(np.int64)
 
     def live(self, query: np.ndarray, bar: float, k: int) -> np.ndarray:
-        """The vectors that may be among the k + 1 best and reach ``bar``, read from the sorted lists."""
-        n = len(self.vectors)
-        lists = np.flatnonzero(query)  # a list of zeros has no order
-        weight, slack = query[lists].astype(np.float64), 1e-9 * (1 + float(np.abs(query).max(initial=0)))
-        if not len(lists) or n <= 2 * k + 2:
+        """The vectors that may be among the k + 1 best and reach ``bar``, read from the sorted lists.
+
+        Where a bar is known, the lists are read at once to where no unseen vector reaches it. Where there is none, the
+        lower bounds by lengths make one.
+        """
+        n, wide = self.vectors.shape
+        weight = query.astype(np.float64)
+        if not wide or n <= 2 * k + 2:
             return np.arange(n)
-        down = weight > 0
-        last = np.where(down, self.sorted[0, lists], self.sorted[-1, lists]) * weight  # the least of each list
-        seen, count, squares, of_query = np.zeros((n, len(lists)), np.float32), np.zeros(n), self.squares.copy(), np.full(n, (weight**2).sum())
-        mine, step = np.arange(n), -(-n // STEPS)
-        for at in range(0, n, step):
-            to = min(n, at + step)
-            places = np.where(down, np.arange(n - at - 1, n - to - 1, -1)[:, None], np.arange(at, to)[:, None])
-            rows, values = self.order[places, lists], self.sorted[places, lists]
+        down, lists = weight > 0, np.arange(wide)
+        last = np.where(down, self.sorted[0][-1], self.sorted[1][-1]) * weight  # the least of each list
+        step = -(-n // STEPS)
+        fronts = np.where(down, self.sorted[0][step - 1 :: step], self.sorted[1][step - 1 :: step]) * weight
+        blind, at = not math.isfinite(bar), 0
+        to = 2 * step if blind else step * (1 + int(np.argmax(fronts.sum(1) < bar))) if (fronts.sum(1) < bar).any() else n
+        seen, count, mine = np.zeros((n, wide), np.float32), np.zeros(n), np.arange(n)
+        squares, of_query = (self.squares.copy(), np.full(n, (weight**2).sum())) if blind else (None, None)
+        slack = 1e-6 * (1 + float(np.abs(weight).max()))
+        while True:
+            to = min(to, n)
+            rows = np.where(down, self.order[0][at:to], self.order[1][at:to])
+            values = np.where(down, self.sorted[0][at:to], self.sorted[1][at:to])
             flat = rows.ravel()
             count += np.bincount(flat, (values * weight).ravel(), n)
-            squares -= np.bincount(flat, (values**2).ravel(), n)
-            of_query -= np.bincount(flat, np.broadcast_to(weight**2, rows.shape).ravel(), n)
-            seen[rows, np.arange(len(lists))] = 1
+            seen.ravel()[(rows * wide + lists).ravel()] = 1
+            if blind:
+                squares -= np.bincount(flat, (values * values).ravel(), n)
+                of_query -= np.bincount(flat, np.broadcast_to(weight**2, rows.shape).ravel(), n)
             front = values[-1] * weight
             unread = front.sum()  # the most that a vector has that no list has shown yet
-            if unread >= bar and to < n // 4:
-                continue
-            both = seen[mine] @ np.stack([front, last], 1)  # in single precision, so with a margin
-            length = np.sqrt(np.maximum(squares[mine], 0) * np.maximum(of_query[mine], 0))
-            margin = slack + 1e-4 * (1 + np.abs(front).sum() + np.abs(last).sum())
-            upper = count[mine] + np.minimum(unread - both[:, 0] + margin, length + slack)
-            lower = count[mine] + np.maximum(last.sum() - both[:, 1] - margin, -length - slack)
-            if len(mine) > k:
-                bar = max(bar, float(np.partition(lower, len(mine) - k - 1)[len(mine) - k - 1]))
+            margin = slack + 1e-5 * (np.abs(front).sum() + np.abs(last).sum())  # sums over what is seen are in single precision
+            upper = count[mine] + unread - seen[mine] @ front.astype(np.float32) + margin
+            if blind:
+                length = np.sqrt(np.maximum(squares[mine], 0) * np.maximum(of_query[mine], 0)) + slack
+                upper = np.minimum(upper, count[mine] + length)
+                lower = count[mine] + np.maximum(last.sum() - seen[mine] @ last.astype(np.float32) - margin, -length)
+                if len(mine) > k:
+                    bar = max(bar, float(np.partition(lower, len(mine) - k - 1)[len(mine) - k - 1]))
             keep = upper >= bar
-            if unread < bar:  # what has not been seen falls out as well
-                keep &= seen[mine].any(1)
-                if keep.sum() <= max(2 * k + 2, FEW * n):
-                    return mine[keep]
-            mine = mine[keep]
-        return mine
+            if unread < bar or to == n:  # what has not been seen falls out as well
+                mine = mine[keep & seen[mine].any(1)] if to < n else mine[keep]
+                if to == n or len(mine) <= max(2 * k + 2, FEW * n):
+                    return mine
+            at, to = to, to + step * (2 if blind else 1)
 
     def best(self, query: np.ndarray, own: int | None, bar: float, k: int) -> list[tuple[int, int]]:
         """(score, id) of the k best rows but the query's own, ties by id."""
@@ -117,13 +127,13 @@ class Shard:
         return [(-s, i) for s, i in sorted(found)[:k]]
 
 
-def search(shards: Iterator[Shard], queries: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> Iterator[pa.RecordBatch]:
-    """The k best rows of all shards for each query (keys, ids, vectors)."""
+def search(shards: Iterator[Shard], queries: tuple[np.ndarray, np.ndarray, np.ndarray], bars: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best rows of all shards for each query (keys, ids, vectors) that reach its bar."""
     keys, ids, vectors = queries
     best: list[list[tuple[int, int]]] = [[] for _ in keys]
     for shard in shards:
         for n, (own, query) in enumerate(zip(ids.tolist(), vectors, strict=True)):
-            bar = float(best[n][-1][0]) if len(best[n]) == k else -math.inf
+            bar = max(float(bars[n]), float(best[n][-1][0]) if len(best[n]) == k else -math.inf)
             if new := shard.best(query, own, bar, k):
                 best[n] = sorted(best[n] + new, key=lambda x: (-x[0], x[1]))[:k]
     rows = [(q, s, i) for q, found in zip(keys.tolist(), best, strict=True) for s, i in found]
@@ -177,17 +187,28 @@ def top_k(df: DataFrame, query: Column, k: int = K, id_col: str = "vec_id", vect
         blocks, shards = -(-own.count() // QUERY_ROWS), -(-rows // SHARD_ROWS)
         dealt = mine.select(F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), "ids", "v")
         dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard")
-        if blocks > 1:
-            dealt = cut(dealt)
+        dealt = cut(dealt)
         for b in range(blocks):
             block = own.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).select("q", "id", "v").toArrow()
             vectors = block["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(block.num_rows, size)
             sent = spark.sparkContext.broadcast((block["q"].to_numpy(), block["id"].to_numpy(), vectors))
-            part = dealt.mapInArrow(lambda batches, sent=sent: search(shards_of(batches), sent.value, k), "q long, score long, id long")
-            if blocks > 1:
-                part.write.parquet(path := scratch(spark, "top-k"))
-                part = spark.read.parquet(path)
-            found.append(part)
+
+            def of(some: DataFrame, bars: np.ndarray, sent=sent) -> DataFrame:
+                return some.mapInArrow(lambda batches: search(shards_of(batches), sent.value, bars, k), "q long, score long, id long")
+
+            bars = np.full(block.num_rows, -np.inf)
+            first = of(dealt.where("shard = 0"), bars).toArrow()  # k rows a query of the block at most
+            if shards > 1:
+                score, place = first["score"].to_numpy(), np.searchsorted(np.sort(keys := block["q"].to_numpy()), first["q"].to_numpy())
+                worst, number = np.full(len(keys), np.inf), np.bincount(place, minlength=len(keys))
+                np.minimum.at(worst, place, score)
+                bars[np.argsort(keys)] = np.where(number >= k, worst, -np.inf)
+                part = of(dealt.where("shard > 0"), bars)
+                if blocks > 1:
+                    part.write.parquet(path := scratch(spark, "top-k"))
+                    part = spark.read.parquet(path)
+                found.append(part)
+            found.append(spark.createDataFrame(first) if first.num_rows else spark.createDataFrame([], "q long, score long, id long"))
     for part in found:
         empty = part if empty is None else empty.unionByName(part)
     if empty is None:
