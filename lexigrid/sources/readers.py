@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexigrid.functions.text import pick_file
+from lexigrid.session import cut
 
 WORD_ROWS = "sentence_id long, words string, form string, pos string, labels string, type string, source string, ord long"
 LEXICON = "lemma string, inflect_type string, pos string, case string, form string"
@@ -50,18 +58,89 @@ def load_table(spark: SparkSession, path: str, fmt: str = "auto") -> DataFrame:
     return spark.read.option("header", True).csv(path) if fmt == "csv" else spark.read.parquet(path)
 
 
+#: Blocks of files whose numbers are broadcast at most.
+FEW_BLOCKS = 50_000
+
+
+def _sentences(batches: Iterator[pa.RecordBatch], schema: pa.Schema, summary: bool) -> Iterator[pa.RecordBatch]:
+    """Lines (file, block, value) in the order of their file to token lines placed within their block, or to one row a block.
+
+    What stands before the first blank line may belong to a sentence of the block before and is told by ``head``.
+    """
+    token, number = re.compile(r"\d+\t").match, re.compile(r"\d").match
+    at, rows = None, []
+    blank = counted = head_counted = False
+    tokens = head_tokens = later = 0
+
+    def close() -> None:
+        if summary and at is not None:
+            rows.append((*at, blank, head_counted if blank else counted, head_tokens if blank else tokens, later, counted, tokens))
+
+    def given() -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    for batch in batches:
+        for file, block, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (file, block) != at:
+                close()
+                at, blank, counted, head_counted, tokens, head_tokens, later = (file, block), False, False, False, 0, 0, 0
+            if not line.strip(" \t\r"):
+                if not blank:
+                    blank, head_counted, head_tokens = True, counted, tokens
+                counted, tokens = False, 0
+                continue
+            if not counted and number(line):
+                counted = True
+                later += blank
+            if token(line):
+                if not summary:
+                    rows.append((file, block, not blank, max(0, later - 1), tokens, line))
+                tokens += 1
+        if not summary:
+            yield given()
+            rows = []
+    close()
+    if summary:
+        yield given()
+
+
+def _carried(blocks: pd.DataFrame) -> pd.DataFrame:
+    """What each block of a file finds begun: one row a block, and no line, is held."""
+    out, n, is_open, tokens = [], 0, False, 0
+    for r in blocks.sort_values("block").itertuples():
+        new = r.head_counted and not is_open
+        out.append((r.file, r.block, n - 1 if is_open else n, tokens, n + new))
+        n += new + (r.later if r.blank else 0)
+        is_open, tokens = (r.counted, r.tokens) if r.blank else (is_open or r.head_counted, tokens + r.head_tokens)
+    return pd.DataFrame(out, columns=["file", "block", "head_sentence", "head_tokens", "base"])
+
+
+PLACED = "file string, block long, head boolean, sentence int, position int, line string"
+BLOCKS = "file string, block long, blank boolean, head_counted boolean, head_tokens int, later int, counted boolean, tokens int"
+
+
 def read_conllu(spark: SparkSession, path: str) -> DataFrame:
     """One row a token: source, sentence (from 0), position, and the ten columns; feats as text, ``_`` as null.
 
-    Whole files are the unit, since a sentence is told by its place; a file must fit in memory.
+    Sentences end at blank lines; those without a line that begins with a digit don't count. A file is read in the
+    blocks in which Spark splits any text, by as many tasks: each numbers the sentences that begin in its block, and what a
+    block holds of a sentence begun before is told apart. A second look at the blocks, one row each, gives every block the
+    number of sentences and tokens before it. So a file of any size needs no task to hold it, in any store that Spark reads.
     """
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("source"), "value")
-    blocks = files.select("source", F.posexplode(F.filter(F.split("value", r"\r?\n[ \t]*\r?\n"), lambda b: F.trim(b).rlike(r"(?m)^\d"))).alias("sentence", "block"))
-    lines = blocks.select("source", "sentence", F.posexplode(F.filter(F.split("block", r"\r?\n"), lambda x: x.rlike(r"^\d+\t"))).alias("position", "line"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    of_block, of_line = (to_arrow_schema(T.StructType.fromDDL(x)) for x in (BLOCKS, PLACED))
+    blocks = lines.mapInArrow(lambda b: _sentences(b, of_block, True), BLOCKS)
+    shifts = cut(blocks.groupBy("file").applyInPandas(_carried, "file string, block long, head_sentence int, head_tokens int, base int"))
+    placed = lines.mapInArrow(lambda b: _sentences(b, of_line, False), PLACED)
+    placed = placed.join(F.broadcast(shifts) if shifts.count() <= FEW_BLOCKS else shifts, ["file", "block"])
     names = ("id", "text", "lemma", "upostag", "xpostag", "feats", "head", "deprel", "deps", "misc")
     cells = F.split("line", "\t")
     null = lambda k, n: F.get(cells, F.lit(k)) if n in ("text", "lemma", "id") else F.nullif(F.get(cells, F.lit(k)), F.lit("_"))
-    return lines.select("source", "sentence", "position", *[null(k, n).alias(n) for k, n in enumerate(names)])
+    sentence = F.when(F.col("head"), F.col("head_sentence")).otherwise(F.col("base") + F.col("sentence"))
+    position = F.col("position") + F.when(F.col("head"), F.col("head_tokens")).otherwise(0)
+    source = F.regexp_extract("file", r"([^/]+)$", 1)
+    return placed.select(source.alias("source"), sentence.alias("sentence"), position.alias("position"), *[null(k, n).alias(n) for k, n in enumerate(names)])
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str = CANDIDATES) -> DataFrame:

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lexigrid.plans import corpus_queries, layer_queries  # noqa: F401
+from lexigrid.plans import corpus_queries, layer_queries, tagging_queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -209,6 +210,46 @@ def test_readers_and_sinks(spark, tmp_path):
     assert "sg n" in view
 
 
+def plain_treebank(text):
+    """(sentence, position, word) by a plain walk over the whole file."""
+    out, sentence = [], 0
+    for block in re.split(r"\r?\n(?:[ \t]*\r?\n)+", text):
+        lines = re.split(r"\r?\n", block)
+        if not any(x[:1].isdigit() for x in lines):
+            continue
+        out += [(sentence, k, x.split("\t")[1]) for k, x in enumerate(y for y in lines if re.match(r"\d+\t", y))]
+        sentence += 1
+    return out
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_one_treebank_file_is_read_by_many_tasks(spark, tmp_path, end):
+    import random
+
+    r, parts = random.Random(3), []
+    for s in range(400):
+        block = [f"# sent_id = {s}"] * r.randint(0, 2)
+        if r.random() < 0.9:
+            block += [f"1-2\tab{s}\t_\t_"] * r.randint(0, 1) + [f"{k + 1}\tw{s}_{k}\tl\tNOUN\tS\t_\t0\troot\t_\t_" for k in range(r.choice([0, 1, 5, 40]))]
+        parts.append(end.join(block + [""] * r.choice([1, 1, 2]) + ["  "] * r.randint(0, 1)))
+    texts = {"a.conllu": end.join(parts), "b.conllu": end.join(parts[:50]), "c.conllu": "", "d.conllu": end * 3}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("1k", "17k", before):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        try:
+            rows = R.read_conllu(spark, str(tmp_path)).select("source", "sentence", "position", "text").collect()
+            if size == "1k":
+                assert spark.read.text(str(tmp_path / "a.conllu")).rdd.getNumPartitions() > 20
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        for name, text in texts.items():
+            assert sorted(tuple(x)[1:] for x in rows if x["source"] == name) == plain_treebank(text), (name, size)
+
+
 def plain_pack(items, target):
     """The packing rule on a plain list that is searched at every step."""
     everything = sorted((x for x in items if x[1] > 0), key=lambda x: x[1])
