@@ -19,9 +19,6 @@ class TextChunks:
     columns ``text`` and ``doc_id`` are read, and doc_id goes along; PARTITION BY keeps the rows of a key together.
     """
 
-    def __init__(self, analyzed: AnalyzeResult | None = None) -> None:
-        self.most = getattr(analyzed, "most", 1000)
-
     @staticmethod
     def analyze(text: AnalyzeArgument, most: AnalyzeArgument | None = None) -> AnalyzeResult:
         if most is not None and (not most.isConstantExpression or not isinstance(most.value, int) or most.value < 1):
@@ -34,14 +31,12 @@ class TextChunks:
             fields = T.StructType([names["doc_id"], *fields.fields])
         elif not isinstance(text.dataType, T.StringType | T.NullType):
             raise ValueError("text must be a string or a table")
-        out = AnalyzeResult(schema=fields)
-        out.most = most.value if most is not None else 1000
-        return out
+        return AnalyzeResult(schema=fields)
 
     def eval(self, text, most: int = 1000) -> Iterator[tuple]:
         of_table = isinstance(text, T.Row)
         value, lead = (text["text"], (text["doc_id"],)) if of_table else (text, ())
-        for k, (a, z) in enumerate(chunk_spans(value or "", self.most)):
+        for k, (a, z) in enumerate(chunk_spans(value or "", most)):
             yield *lead, k, a, z, value[a:z]
 
 

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,7 +42,7 @@ def confusion(df: DataFrame, true: str = "true_label", pred: str = "pred_label",
     """A12, long form: t, p, n, share of t's rows. Predicted-only labels need ``least_percent`` of all predictions."""
     c = counts(df, true, pred)
     keep = predicted_only(df, true, pred, least_percent).where("not included").select("p")
-    c = c.join(F.broadcast(keep), "p", "left_anti")
+    c = c.join(keep, "p", "left_anti")
     return c.select("t", "p", "n", F.round(F.coalesce(F.try_divide(F.col("n").cast("double"), F.sum("n").over(Window.partitionBy("t"))), F.lit(0.0)), 6).alias("share"))
 
 
@@ -87,3 +92,49 @@ def slice_of(df: DataFrame, true_value: str, pred_value: str, true: str = "true_
 def only_possible(df: DataFrame, true: str = "true_label", pred: str = "pred_label") -> DataFrame:
     """neither side is ``other``. This conditions on the prediction, so scores over it rise by construction."""
     return df.where((F.col(true) != "other") & (F.col(pred) != "other"))
+
+
+@dataclass(frozen=True)
+class Metric:
+    """A metric of one's own for ``evaluate_with``: partial states that add up, and the value that they give together.
+
+    ``states`` names the states and their types, in SQL's words. ``update`` gets the true and the predicted labels of some
+    rows of one group, as arrays of text, and gives one number a state; Spark adds those of all tasks up. ``value`` is a
+    column over the states' names.
+    """
+
+    name: str
+    states: dict[str, str]
+    update: Callable[[np.ndarray, np.ndarray], tuple]
+    value: Column
+
+
+def evaluate_with(df: DataFrame, metrics: list[Metric], true: str = "true_label", pred: str = "pred_label", group: str | None = None) -> DataFrame:
+    """M4, M5 with metrics of one's own: one row, or one a group, with a column for each metric; nulls count as ``-``.
+
+    Each task gives one row of states a batch and group, whatever the number of rows; these are added up and put into
+    the values. Rows whose group is null are left out. Without rows the states are null, as are values made of them.
+    """
+    names = [f"{m.name}_{s}" for m in metrics for s in m.states]
+    if len(set(names)) < len(names):
+        raise ValueError("two metrics have the same name and state")
+    g = [F.col(group).alias("grp")] if group else []
+    rows = df.where(F.col(group).isNotNull() if group else F.lit(True)).select(*g, F.coalesce(F.col(true).cast("string"), F.lit("-")).alias("t"), F.coalesce(F.col(pred).cast("string"), F.lit("-")).alias("p"))
+
+    updates = [m.update for m in metrics]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t, p = (np.array(batch.column(c).to_pylist(), object) for c in ("t", "p"))
+            keys = batch.column("grp").dictionary_encode() if group else None
+            of = keys.indices.to_numpy(zero_copy_only=False) if group else np.zeros(len(t), np.int64)
+            found = [[x for update in updates for x in update(t[of == k], p[of == k])] for k in range(len(keys.dictionary) if group else 1)]
+            columns = [pa.array(c) for c in zip(*found, strict=True)]
+            yield pa.RecordBatch.from_arrays([*([keys.dictionary] if group else []), *columns], names=[*(["grp"] if group else []), *names])
+
+    kinds = ", ".join([*([f"grp {rows.schema['grp'].dataType.simpleString()}"] if group else []), *[f"`{m.name}_{s}` {k}" for m in metrics for s, k in m.states.items()]])
+    summed = rows.mapInArrow(run, kinds).groupBy(*(["grp"] if group else [])).agg(*[F.sum(n).alias(n) for n in names])
+    for m in metrics:  # a metric sees its states by their own names
+        own = summed.withColumns({s: F.col(f"{m.name}_{s}") for s in m.states}).withColumn(f"__{m.name}", m.value)
+        summed = own.drop(*m.states)
+    return summed.select(*(["grp"] if group else []), *[F.col(f"__{m.name}").alias(m.name) for m in metrics])

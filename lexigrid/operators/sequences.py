@@ -104,13 +104,24 @@ def unmatched_subtokens(words: DataFrame, subtokens: DataFrame, key: str = "doc_
     return real.join(taken, [key, "start", "end"], "left_anti")
 
 
-def first_subtoken(mapping: DataFrame, by: list[str], sub: str = "sub", labels: str = "labels", piece: str = "piece") -> DataFrame:
-    """Each word takes the labels of its first subtoken and keeps the list of its pieces, marks cleaned.
+#: A decorator of X4: from a word's subtokens, an array of (sub, piece, labels) in order, to the columns the word gets.
+Decorator = Callable[[Column], dict[str, Column]]
 
-    ``mapping`` has one row for each word and subtoken of it.
+
+def first_labels(parts: Column) -> dict[str, Column]:
+    """The decorator of X4 unless another is given: the labels of the first subtoken."""
+    return {"labels": parts[0]["labels"]}
+
+
+def first_subtoken(mapping: DataFrame, by: list[str], sub: str = "sub", labels: str = "labels", piece: str = "piece", decorator: Decorator = first_labels) -> DataFrame:
+    """Each word takes what the decorator makes of its subtokens and keeps the list of its pieces, marks cleaned.
+
+    ``mapping`` has one row for each word and subtoken of it. The decorator's columns stay inside the plan, like any others.
     """
-    parts = F.sort_array(F.collect_list(F.struct(sub, piece)))
-    return mapping.groupBy(*by).agg(F.min_by(labels, sub).alias(labels), F.transform(parts, lambda p: clean_marks(p[piece])).alias("pieces"))
+    parts = F.sort_array(F.collect_list(F.struct(F.col(sub).alias("sub"), F.col(piece).alias("piece"), F.col(labels).alias("labels"))))
+    whole = mapping.groupBy(*by).agg(parts.alias("__x"))
+    made = decorator(F.col("__x"))
+    return whole.select(*by, *[c.alias(labels if n == "labels" else n) for n, c in made.items()], F.transform("__x", lambda p: clean_marks(p["piece"])).alias("pieces"))
 
 
 def tag_words(docs: DataFrame, words: DataFrame, load: Callable[[], Callable[[str], list[tuple[str, list[tuple[str, float]]]]]], top: int = 3, id_col: str = "doc_id", most: int = 1000) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 ENDS = ".!?"
 
@@ -115,15 +115,28 @@ def islands(df: DataFrame, same: Column, by: list[str], order: list[str], name:
     return df.withColumn("__new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn(name, F.sum("__new").over(w)).drop("__new")
 
 
-def merge_tags(tokens: DataFrame, by: list[str], order: str = "pos", tag: str = "tag", word: str = "word") -> DataFrame:
-    """Phrases of B-/I-/O tags: an I- tag goes on only from the same type; (by, start, end, type, phrase)."""
+def merge_tags(tokens: DataFrame, by: list[str], order: str = "pos", tag: str = "tag", word: str = "word", sentence: str | None = None, joined: str = "|") -> DataFrame:
+    """Phrases of B-/I-/O tags: an I- tag goes on only from the same type; (by, start, end, type, phrase).
+
+    ``tag`` may be an array of several tags of a token: they count in their order as text, so a B- one decides, the
+    token's first type must be the last one of the token before, and a phrase's types are joined. With ``sentence`` an
+    I- tag at the beginning of a sentence begins a phrase too; else phrases go on over sentences. Tokens without a tag
+    are left out.
+    """
     w = Window.partitionBy(*by).orderBy(order)
-    kind = F.regexp_replace(F.col(tag), "^[BI]-", "")
-    t = tokens.where(F.col(tag).isNotNull()).withColumn("__k", kind).withColumn("__prev", F.lag("__k").over(w))
-    same = F.col(tag).startswith("I-") & (F.col("__prev") == F.col("__k"))
-    t = islands(t, same, by, [order]).where(F.col(tag) != "O")
+    several = isinstance(tokens.schema[tag].dataType, ArrayType)
+    tags = F.sort_array(F.array_distinct(F.array_compact(F.col(tag)))) if several else F.array(tag)
+    t = tokens.where(F.size(tags) > 0 if several else F.col(tag).isNotNull()).withColumn("__t", tags)
+    t = t.withColumn("__k", F.transform("__t", lambda x: F.regexp_replace(x, "^[BI]-", "")))
+    t = t.withColumn("__prev", F.lag(F.element_at("__k", -1)).over(w))
+    same = F.col("__t")[0].startswith("I-") & (F.col("__prev") == F.col("__k")[0])
+    if sentence:
+        t = t.withColumn("__s", F.lag(sentence).over(w))
+        same &= F.col("__s").eqNullSafe(F.col(sentence))
+    t = islands(t, same, by, [order]).where(F.col("__t")[0] != "O")
     parts = F.sort_array(F.collect_list(F.struct(order, word)))
-    return t.groupBy(*by, "island").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.min("__k").alias("type"), F.array_join(F.transform(parts, lambda p: p[word]), " ").alias("phrase")).drop("island")
+    kinds = F.array_remove(F.array_distinct(F.flatten(F.collect_list("__k"))), "O")
+    return t.groupBy(*by, "island").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.array_join(F.sort_array(kinds), joined).alias("type"), F.array_join(F.transform(parts, lambda p: p[word]), " ").alias("phrase")).drop("island")
 
 
 def join_touching(spans: DataFrame, by: list[str], text: str = "text") -> DataFrame:

@@ -110,12 +110,13 @@ def sampling_totals(s, sf):
     return s.read.schema("words long, sentences long, duplicated_words long, seed string").json(path)
 
 
-@query("SELECT 2.25 AS cost")
+@query("SELECT cast(sum(length(coalesce(text, ''))) AS DOUBLE) / 4 AS cost FROM conversations")
 def running_cost(s, sf):
+    """The cost of requests by role, a quarter for each character, added to the file one role after the other."""
     path = scratch(s, "cost.txt")
-    before = K.read_cost(s, path)
-    K.write_cost(s, path, before + 1.5)
-    K.write_cost(s, path, K.read_cost(s, path) + 0.75)
+    costs = t(s, sf, "conversations").groupBy("role").agg((F.sum(F.length(F.coalesce("text", F.lit("")))) / 4).alias("cost")).collect()  # a row a role
+    for r in costs:
+        K.write_cost(s, path, K.read_cost(s, path) + r["cost"])
     return s.createDataFrame([(K.read_cost(s, path),)], "cost double")
 
 
@@ -517,16 +518,22 @@ def encoded_sequences(s, sf):
     return seq.select("item_id", "length", total.alias("label_sum"), F.size(Q.padded(F.col("pieces"), 24, "[PAD]")).alias("padded"))
 
 
-def _load_tagger():
-    return lambda text: [(p, [("a", 0.5), ("b", 0.3), ("n" + str(len(p.replace(X.MARK, ""))), 0.2)]) for p in _pieces(text)]
+ITEMS = r"it AS (SELECT item_id AS doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM benchmark)"
+ITEM_CHUNKS = f"WITH RECURSIVE {ITEMS}, " + CHUNKS.replace("FROM documents", "FROM it").removeprefix("WITH RECURSIVE ").replace("\nSELECT doc_id, chunk", ",\nch AS (SELECT doc_id, chunk") + ")"
 
 
-@query(f"""WITH {SUBS}, ok AS (SELECT item_id FROM benchmark WHERE length(text) < 1000) SELECT item_id, cast(w_start AS INT) AS start, cast(w_end AS INT) AS "end", 'a,b,n' || least(4, length(word)) AS labels, count(*) AS pieces FROM sub WHERE item_id IN (SELECT item_id FROM ok) AND start >= w_start GROUP BY item_id, w_start, w_end, word""")
+@query(f"""{ITEM_CHUNKS}, {SUBS.replace('sub AS (', 'whole AS (')}, cw AS (SELECT doc_id AS item_id, chunk, start, k, ws[k] AS word, list_sum([length(x) + 1 FOR x IN ws[1:k - 1]]) AS before FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS k FROM (SELECT ch.*, string_split(substr(text, start + 1, "end" - start), ' ') AS ws FROM ch JOIN it USING (doc_id)))),
+pc AS (SELECT item_id, start + coalesce(before, 0) + o AS place, least(4, length(word) - o) AS n FROM (SELECT *, unnest(range(0, length(word), 4)) AS o FROM cw))
+SELECT s.item_id, cast(st AS INT) AS start, cast(st + length(s.word) AS INT) AS "end", 'a,b,n' || arg_min(n, place) AS labels, count(*) AS pieces FROM sp s JOIN pc ON s.item_id = pc.item_id AND place >= st AND place < st + length(s.word) GROUP BY s.item_id, st, s.word""")
 def tagged_words(s, sf):
-    out = Q.tag_words(_items(s, sf).where("length(text) < 1000"), _item_words(s, sf).join(_items(s, sf).where("length(text) < 1000").select("item_id"), "item_id"), _load_tagger, id_col="item_id")
+    out = Q.tag_words(_items(s, sf), _item_words(s, sf), _load_tagger, id_col="item_id")
     return out.select("item_id", "start", "end", F.array_join(F.transform("labels", lambda x: x["label"]), ",").alias("labels"), F.size("pieces").cast("long").alias("pieces"))
 
 
+def _load_tagger():
+    return lambda text: [(p, [("a", 0.5), ("b", 0.3), ("n" + str(len(p.replace(X.MARK, ""))), 0.2)]) for p in _pieces(text)]
+
+
 ANN = "an AS (SELECT user_id, event_id AS start, event_id + 1 AS \"end\", unnest(range(0, event_id % 3)) AS ann FROM events)"
 
 

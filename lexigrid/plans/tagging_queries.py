@@ -1,4 +1,4 @@
-"""Queries of the tagger, of subwords, of requests under a budget, and of chunks as a table function."""
+"""Queries of the tagger, of subwords, of requests under a budget, chunks as a table function, differences, deliveries and metrics."""
 
 from __future__ import annotations
 
@@ -6,11 +6,16 @@ from pyspark.sql import functions as F
 
 from lexigrid.functions import tables as TF
 from lexigrid.operators import budget as B
+from lexigrid.operators import differences as DI
+from lexigrid.operators import metrics as M
 from lexigrid.operators import sequences as Q
+from lexigrid.operators import spans as P
 from lexigrid.operators import subwords as SW
 from lexigrid.operators import tagging as TG
-from lexigrid.plans.corpus_queries import W, query, t, words
+from lexigrid.plans.corpus_queries import JUDGED, W, judged, query, t, words
 from lexigrid.plans.layer_queries import CHUNKS
+from lexigrid.session import scratch
+from lexigrid.sources import incremental as I
 
 # M2, M6: the score of the best path by dynamic programming over lists; four labels are written out
 _STEP = ", ".join(f"greatest({', '.join(f'a[{i}] + m[{i}][{j}]' for i in range(1, 5))}) + e[{j}]" for j in range(1, 5))
@@ -63,3 +68,53 @@ def request_minutes(s, sf):
 def text_chunks_in_sql(s, sf):
     TF.register(s)
     return s.sql("SELECT doc_id, c.chunk, c.start, c.`end` FROM {docs} d, LATERAL text_chunks(d.text, 1000) c", docs=t(s, sf, "documents"))
+
+
+@query("""WITH x AS (SELECT doc_id, string_split(lower(coalesce(text, '')), ' ') AS a, list_filter(string_split(lower(coalesce(text, '')), ' '), lambda w: length(w) <> 1) AS b FROM documents),
+y AS (SELECT *, [k - 1 FOR k IN range(1, greatest(len(a), len(b)) + 1) IF a[k] IS DISTINCT FROM b[k]] AS u FROM x)
+SELECT doc_id, cast(len(a) AS INT) AS n_a, cast(len(b) AS INT) AS n_b, cast(coalesce(u[1], -1) AS INT) AS first, cast(len(u) AS INT) AS mismatches, len(b) AS same FROM y""")
+def encoder_differences(s, sf):
+    """Words as one encoder gives them and as one gives them that passes over single letters."""
+    ws = F.split(F.lower(F.coalesce("text", F.lit(""))), " ")
+    docs = t(s, sf, "documents").select("doc_id", ws.alias("a"), F.filter(ws, lambda w: F.length(w) != 1).alias("b"))
+    return DI.sequence_differences(docs, ["doc_id"], "a", "b").drop("places").withColumn("first", F.coalesce("first", F.lit(-1)))
+
+
+@query("SELECT lang, count(*) AS n, count(*) FILTER (text IS NULL OR length(text) < 50) AS errors FROM documents GROUP BY lang")
+def documents_taken_once(s, sf):
+    """Two deliveries of files, each taken once though the second run sees both; short documents are counted as errors."""
+    base, docs = scratch(s, "stream"), t(s, sf, "documents").select("doc_id", "lang", "text")
+    error = F.when(F.coalesce(F.length("text"), F.lit(0)) < 50, F.lit("too short"))
+    for k in range(2):
+        docs.where(F.col("doc_id") % 2 == k).write.mode("append").json(f"{base}/in")
+        for _ in range(2):
+            I.process_new_files(s, f"{base}/in", "doc_id long, lang string, text string", lambda d: d, error, f"{base}/out", f"{base}/state")
+    good, bad = I.processed(s, f"{base}/out")
+    both = good.select("lang", F.lit(0).alias("e")).unionByName(bad.select("lang", F.lit(1).alias("e")))
+    return both.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("errors"))
+
+
+@query("""WITH x AS (SELECT user_id, event_id, event_id // 8 AS s, list_sort(list_distinct([CASE event_id % 5 WHEN 0 THEN 'B-' WHEN 4 THEN 'O' ELSE 'I-' END || CASE WHEN event_id % 5 = 4 THEN '' ELSE event_type END, CASE WHEN event_id % 3 = 0 THEN 'I-view' ELSE 'O' END])) AS tg FROM events),
+y AS (SELECT *, [regexp_replace(v, '^[BI]-', '') FOR v IN tg] AS k FROM x), p AS (SELECT *, lag(k[-1]) OVER u AS pk, lag(s) OVER u AS ps FROM y WINDOW u AS (PARTITION BY user_id ORDER BY event_id)),
+z AS (SELECT *, CASE WHEN starts_with(tg[1], 'I-') AND pk = k[1] AND ps = s THEN 0 ELSE 1 END AS new FROM p), q AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM z)
+SELECT user_id, min(event_id) AS start, max(event_id) AS "end", array_to_string(list_sort(list_distinct(list_filter(flatten(list(k)), lambda v: v <> 'O'))), '|') AS type FROM q WHERE tg[1] <> 'O' GROUP BY user_id, island""")
+def merged_tags_by_sentence(s, sf):
+    k, kind = F.col("event_id") % 5, F.col("event_type")
+    first = F.when(k == 0, F.concat(F.lit("B-"), kind)).when(k == 4, "O").otherwise(F.concat(F.lit("I-"), kind))
+    e = t(s, sf, "events").select("user_id", "event_id", F.floor(F.col("event_id") / 8).alias("s"), F.array(first, F.when(F.col("event_id") % 3 == 0, "I-view").otherwise("O")).alias("tag"), F.lit("w").alias("word"))
+    return P.merge_tags(e, ["user_id"], "event_id", sentence="s").drop("phrase")
+
+
+def _hits(true, pred):
+    return int((true == pred).sum()), len(true)
+
+
+def _short(true, pred):
+    return int(((pred == "short") & (true == "1")).sum()), int((true == "1").sum())
+
+
+@query(f"WITH {JUDGED} SELECT lang AS grp, round(count(*) FILTER (t = p) / count(*), 6) AS hit_rate, round(count(*) FILTER (p = 'short' AND t = '1') / nullif(count(*) FILTER (t = '1'), 0), 6) AS short_ones FROM j WHERE lang IS NOT NULL GROUP BY lang")
+def metrics_of_ones_own(s, sf):
+    share = F.round(F.try_divide(F.col("hits").cast("double"), F.col("n")), 6)
+    own = [M.Metric("hit_rate", {"hits": "long", "n": "long"}, _hits, share), M.Metric("short_ones", {"hits": "long", "n": "long"}, _short, share)]
+    return M.evaluate_with(judged(s, sf), own, group="lang")

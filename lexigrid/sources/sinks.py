@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigrid.functions.text import span_matches
@@ -32,12 +32,37 @@ def write_new_sources(df: DataFrame, path: str, source_col: str = "source") -> N
     df.write.mode("append").option("header", True).partitionBy(source_col).csv(path)
 
 
-def reannotate(df: DataFrame, scorer, schema: str, path: str) -> None:
-    """K4: documents through a scorer (an iterator of frames to an iterator of frames) to JSON; layers must keep their lengths."""
+def reannotate(df: DataFrame, scorer, schema: str, path: str, id_col: str | None = None, existing: str = "replace", lengths: tuple[str, ...] = ("n_words", "n_labels"), error: Column | None = None) -> dict[str, int]:
+    """K4: documents through a scorer (an iterator of frames to an iterator of frames) to JSON; (rows, errors) written.
+
+    The columns ``lengths``, where there are all of them, must be equal in a row, else it is an error. ``existing`` is what
+    becomes of what ``path`` holds: ``replace`` writes all anew, ``skip`` passes over documents whose ``id_col`` stands there
+    and adds the others, ``fail`` raises. Rows of which ``error`` (a column over the result) is not null are counted and
+    written with it.
+    """
+    if existing not in ("replace", "skip", "fail"):
+        raise ValueError(existing)
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = fs.exists(where) and len(fs.listStatus(where)) > 0
+    if held and existing == "fail":
+        raise FileExistsError(path)
+    if existing == "skip":
+        if id_col is None:
+            raise ValueError("skip needs id_col")
+        if held:
+            df = df.join(spark.read.schema(schema).json(path).select(id_col).distinct(), id_col, "left_anti").select(*df.columns)
     out = df.mapInPandas(scorer, schema)
-    if {"n_words", "n_labels"} <= set(out.columns):
-        out = out.withColumn("n_labels", F.when(F.col("n_words") == F.col("n_labels"), F.col("n_labels")).otherwise(F.raise_error(F.lit("layers differ in length")).cast("int")))
-    out.write.mode("overwrite").json(path)
+    if set(lengths) <= set(out.columns):
+        first, *others = lengths
+        for c in others:
+            out = out.withColumn(c, F.when(F.col(first) == F.col(c), F.col(c)).otherwise(F.raise_error(F.lit("layers differ in length")).cast(out.schema[c].dataType)))
+    out = out.withColumn("error", error) if error is not None else out
+    seen = Observation()
+    out = out.observe(seen, F.count(F.lit(1)).alias("rows"), (F.count_if(F.col("error").isNotNull()) if error is not None else F.lit(0).cast("long") + F.count_if(F.lit(False))).alias("errors"))
+    out.write.mode("append" if existing == "skip" else "overwrite").json(path)
+    return dict(seen.get)
 
 
 def label_tasks(df: DataFrame, labels: list[str]) -> tuple[DataFrame, str]:
