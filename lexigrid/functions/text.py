@@ -97,7 +97,8 @@ def rounded(p: Column) -> Column:
 def feature_map(feats: Column) -> Column:
     """P20: ``K=V|K=V`` as a map. Pieces that are not one pair are dropped; of a repeated key the last stays."""
     pieces = F.filter(F.transform(F.split(F.coalesce(feats, F.lit("")), r"\|"), lambda p: F.split(p, "=")), lambda p: F.size(p) == 2)
-    last = F.filter(pieces, lambda p, i: ~F.exists(F.slice(pieces, i + 2, F.greatest(F.size(pieces), F.lit(1))), lambda q: q[0] == p[0]))
+    # as the one item of an array the pieces are a variable of the filter, so they are split once, not once a piece
+    last = F.transform(F.array(pieces), lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.greatest(F.size(ps), F.lit(1))), lambda q: q[0] == p[0])))[0]
     return F.map_from_entries(F.transform(last, lambda p: F.struct(p[0].alias("k"), p[1].alias("v"))))
 
 

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexigrid.session import cut
+
 #: Case codes of the reduced form.
 CASES = {
-    "Nom": "n", "Gen": "g", "Par": "p", "Ill": "ill", "Ine": "in", "Ela": "el", "All": "all", "Dat": "all", "Ade": "ad", "Abl": "abl",
-    "Tra": "tr", "Ter": "ter", "Ess": "es", "Abe": "ab", "Com": "kom", "Add": "adt",
+    "Nom": "n", "Gen": "g", "Par": "p", "Ill": "ill", "Ine": "in", "Ela": "el", "All": "all", "Ade": "ad", "Abl": "abl",
+    "Tra": "tr", "Ter": "ter", "Ess": "es", "Abe": "ab", "Com": "kom", "Add": "adt", "Dat": "all",
 }
+#: Lemmas of the negative auxiliary.
+NEGATIVE_WORDS = ("ära", "ei")
 NUMBERS = {"Sing": "sg", "Plur": "pl"}
 #: Verb forms as (polarity, conditions, form); ``-`` means that the feature must be absent. Later rows stand over earlier ones.
 VERB_FORMS = (
@@ -89,7 +93,7 @@ def verb_form(upos: Column, xpos: Column, lemma: Column, feats: Column, start: C
     """
     f = lambda k: F.try_element_at(feats, F.lit(k))
     negative = F.coalesce(f("Polarity") == "Neg", F.lit(False)) | F.coalesce(f("Connegative") == "Yes", F.lit(False))
-    negaux = (upos == "AUX") & lemma.isin("ära", "ei")
+    negaux = (upos == "AUX") & lemma.isin(*NEGATIVE_WORDS)
     tables: dict[tuple, dict[str, tuple[int, str]]] = {}
     for place, (polarity, conditions, form) in enumerate(VERB_FORMS):
         wanted = dict(c.split("=") for c in conditions.split() if "=" in c)
@@ -106,10 +110,29 @@ def verb_form(upos: Column, xpos: Column, lemma: Column, feats: Column, start: C
     return F.when((xpos == "V") & odd, error).when(xpos == "V", form).otherwise(start)
 
 
+#: Distinct inputs of the rules that are broadcast at most; a treebank has a few thousand.
+FEW_INPUTS = 50_000
+
+
 def reduced(tokens: DataFrame) -> DataFrame:
-    """Form and pos columns of every token (upostag, xpostag, lemma, feats map)."""
-    feats = F.col("feats")
-    return tokens.withColumn("pos", reduced_pos(F.col("upostag"), F.col("xpostag"), feats)).withColumn("form", verb_form(F.col("upostag"), F.col("xpostag"), F.col("lemma"), feats, nominal_form(feats)))
+    """Form and pos columns of every token (upostag, xpostag, lemma, feats map).
+
+    The rules look at the tags, the features and for a few words at the lemma, so they are followed once for each
+    distinct input and joined back to the tokens by it, by broadcast if there are few of them, as in any treebank. Null
+    tags and features are inputs like others. Features in another order are the same input.
+    """
+    odd = F.try_element_at("feats", F.lit("Number")).isNotNull() & F.try_element_at("feats", F.lit("Case")).isNotNull()
+    lemma = F.when(F.col("lemma").isin(*NEGATIVE_WORDS) | (odd & (F.col("xpostag") == "V")), F.col("lemma"))  # the second is an error that names it
+    names = ["__up", "__x", "__lemma", "__feats"]
+    keyed = tokens.withColumns(dict(zip(names, (F.col("upostag"), F.col("xpostag"), lemma, F.array_sort(F.map_entries("feats"))), strict=True)))
+    keyed = keyed.withColumn("__key", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}))
+    inputs = keyed.groupBy("__key").agg(*[F.first(n).alias(n) for n in names])
+    feats = F.map_from_entries("__feats")
+    form = verb_form(F.col("__up"), F.col("__x"), F.col("__lemma"), F.col("__f"), nominal_form(F.col("__f")))
+    known = cut(inputs.withColumn("__f", feats)).select("__key", reduced_pos(F.col("__up"), F.col("__x"), F.col("__f")).alias("pos"), form.alias("form"))
+    known = cut(known)
+    out = keyed.drop("pos", "form").join(F.broadcast(known) if known.count() <= FEW_INPUTS else known, "__key")
+    return out.drop("__key", *names)
 
 
 def reduced_layer(layer: DataFrame, annotations: str = "annotations") -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexigrid.functions import tables as TF
+from lexigrid.functions import text as X
 from lexigrid.operators import budget as B
+from lexigrid.operators import convert as V
 from lexigrid.operators import differences as DI
 from lexigrid.operators import metrics as M
 from lexigrid.operators import sequences as Q
@@ -118,3 +120,21 @@ def metrics_of_ones_own(s, sf):
     share = F.round(F.try_divide(F.col("hits").cast("double"), F.col("n")), 6)
     own = [M.Metric("hit_rate", {"hits": "long", "n": "long"}, _hits, share), M.Metric("short_ones", {"hits": "long", "n": "long"}, _short, share)]
     return M.evaluate_with(judged(s, sf), own, group="lang")
+
+
+@query("""WITH k AS (SELECT l_partkey % 8 AS kind, l_suppkey % 3 AS a, l_linenumber % 2 AS b, 1 + l_linenumber % 3 AS p FROM lineitem)
+SELECT CASE kind WHEN 0 THEN 'da' WHEN 1 THEN ['ma', 'mas', 'mast'][a + 1] WHEN 2 THEN ['nud', 'tud'][b + 1] WHEN 3 THEN ['neg o', 'neg nud'][b + 1] WHEN 4 THEN ['o', 'neg ge'][b + 1]
+WHEN 5 THEN (CASE WHEN b = 0 THEN ['', 'o', 'gu'][p] ELSE ['gem', 'ge', 'gu'][p] END) WHEN 6 THEN ['vat', 'tavat'][b + 1] ELSE (CASE WHEN b = 0 THEN ['ksin', 'ksid', 'ks'][p] ELSE ['ksime', 'ksite', 'ksid'][p] END) END AS form, 'V' AS pos, count(*) AS n FROM k GROUP BY ALL""")
+def reduced_verbs(s, sf):
+    """Infinite, negative, imperative, quotative and conditional forms."""
+    pick = lambda c, *names: F.element_at(F.array(*map(F.lit, names)), (F.col(c) + 1).cast("int"))
+    li = t(s, sf, "lineitem").select((F.col("l_partkey") % 8).alias("kind"), (F.col("l_suppkey") % 3).alias("a"), (F.col("l_linenumber") % 2).alias("b"), (1 + F.col("l_linenumber") % 3).cast("string").alias("p"))
+    num = pick("b", "Sing", "Plur")
+    feats = F.element_at(F.array(
+        F.lit("VerbForm=Inf"), F.concat(F.lit("VerbForm=Sup|Voice=Act|Case="), pick("a", "Ill", "Ine", "Ela")), F.concat(F.lit("VerbForm=Part|Tense=Past|Voice="), pick("b", "Act", "Pass")),
+        F.concat(F.lit("Connegative=Yes|Voice=Act|Mood=Ind|Tense="), pick("b", "Pres", "Past")), F.concat(F.lit("Polarity=Neg|Voice=Act|Mood=Imp|Tense=Pres|Person=2|Number="), num),
+        F.concat(F.lit("Mood=Imp|Tense=Pres|Voice=Act|Person="), "p", F.lit("|Number="), num), F.concat(F.lit("Mood=Qot|Tense=Pres|Voice="), pick("b", "Act", "Pass")),
+        F.concat(F.lit("Mood=Cnd|Tense=Pres|Voice=Act|Person="), "p", F.lit("|Number="), num),
+    ), (F.col("kind") + 1).cast("int"))
+    rows = li.select(F.lit("VERB").alias("upostag"), F.lit("V").alias("xpostag"), F.lit("x").alias("lemma"), X.feature_map(feats).alias("feats"))
+    return V.reduced(rows).groupBy("form", "pos").agg(F.count("*").alias("n"))
