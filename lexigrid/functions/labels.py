@@ -109,7 +109,7 @@ def vocabulary(forms: DataFrame, parts: DataFrame) -> DataFrame:
     """
     f, p = forms.toDF("form"), parts.toDF("pos")
     pieces = [
-        f.crossJoin(F.broadcast(p)).select(compose(F.col("form"), F.col("pos")).alias("label")),
+        f.crossJoin(p).select(compose(F.col("form"), F.col("pos")).alias("label")),
         p.select(F.col("pos").alias("label")), f.select(F.col("form").alias("label")),
         p.select(F.concat(F.lit("?_"), "pos").alias("label")),
     ]
