@@ -111,13 +111,13 @@ def decode(rows: DataFrame, tagger: Tagger, by: list[str], pos: str = "pos", wor
             paths, best = [], []
             for row in batch.column("scores"):
                 path, score = viterbi(row.values.to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, len(labels)), starts, moves)
-                paths.append([labels[k] for k in path.tolist()])
+                paths.append(path)
                 best.append(score)
-            columns = [batch.column(c) for c in (*by, "words")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(paths, pa.list_(pa.string())), pa.array(best, pa.int64())], names=[*by, "words", "labels", "best_score"])
+            of = np.repeat(np.arange(batch.num_rows), [len(p) for p in paths])
+            word = batch.column("words").flatten()
+            tags = pa.array(labels).take(pa.array(np.concatenate(paths) if paths else np.zeros(0, np.int64)))
+            columns = [batch.column(c).take(pa.array(of)) for c in by]
+            yield pa.RecordBatch.from_arrays([*columns, *word.flatten(), tags, pa.array(np.array(best, np.int64)[of])], names=[*by, "pos", "word", "pred_label", "best_score"])
 
     ddl = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
-    kind = rows.schema[word].dataType.simpleString()
-    tagged = flat.mapInArrow(run, f"{ddl}, words array<struct<pos:long,word:{kind}>>, labels array<string>, best_score long")
-    one = F.explode(F.zip_with("words", "labels", lambda w, x: F.struct(w["pos"].alias("pos"), w["word"].alias("word"), x.alias("pred_label"))))
-    return tagged.select(*by, one.alias("x"), "best_score").select(*by, "x.*", "best_score")
+    return flat.mapInArrow(run, f"{ddl}, pos long, word {rows.schema[word].dataType.simpleString()}, pred_label string, best_score long")
