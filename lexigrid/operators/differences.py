@@ -19,12 +19,24 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(other[0]) if len(other) else n
 
 
-def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of a longest common subsequence of all of ``a`` and each beginning of ``b``; one row is held."""
+#: Edits that are first allowed for; four times as many each time that they don't do.
+EDITS = 64
+
+
+def _lengths(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
+    """Length of a longest common subsequence of all of ``a`` and each beginning of ``b``; one row is held.
+
+    Only places that so many edits can reach are filled in: lengths are never too great, and right where no more are needed.
+    """
     row = np.zeros(len(b) + 1, np.int64)
-    for x in a:
-        row[1:] = np.maximum(row[1:], row[:-1] + (b == x))
-        np.maximum.accumulate(row, out=row)
+    for i, x in enumerate(a, 1):
+        lo, hi = max(1, i - edits), min(len(b), i + edits)
+        if lo > hi:
+            break
+        own = row[lo - 1 : hi + 1]
+        own[1:] = np.maximum(own[1:], own[:-1] + (b[lo - 1 : hi] == x))
+        np.maximum.accumulate(own, out=own)
+    np.maximum.accumulate(row, out=row)
     return row
 
 
@@ -33,12 +45,12 @@ def differences(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int]]
 
     What lies outside is a longest common subsequence. The halves of ``a`` are matched with the two parts of ``b`` whose
     common subsequences are longest together, and so on for each half; a row of ``b`` is all that is kept at a time.
-    Time is in proportion to the product of the lengths without their common beginnings and ends.
+    Time is in proportion to the length times the number of differing items.
     """
     found: list[tuple[int, int, int, int]] = []
-    stack = [(0, len(a), 0, len(b))]
+    stack = [(0, len(a), 0, len(b), 0)]
     while stack:
-        i, j, k, m = stack.pop()
+        i, j, k, m, edits = stack.pop()
         head = _common(a[i:j], b[k:m])
         i, k = i + head, k + head
         tail = _common(a[i:j][::-1], b[k:m][::-1])
@@ -53,9 +65,15 @@ def differences(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int]]
             found += [(i, i, k, at)] * (at > k) + [(j, j, at + 1, m)] * (at + 1 < m)
             continue
         mid = (i + j) // 2
-        ahead, behind = _lengths(a[i:mid], b[k:m]), _lengths(a[mid:j][::-1], b[k:m][::-1])[::-1]
-        cut = k + int(np.argmax(ahead + behind))
-        stack += [(mid, j, cut, m), (i, mid, k, cut)]
+        known, edits = edits > 0, edits or EDITS  # what a whole needs is enough for its parts
+        while True:
+            both = _lengths(a[i:mid], b[k:m], edits) + _lengths(a[mid:j][::-1], b[k:m][::-1], edits)[::-1]
+            needed = j - i + m - k - 2 * int(both.max())  # at least what is truly needed
+            if known or needed <= edits:
+                break
+            edits = min(4 * edits, needed)
+        cut = k + int(np.argmax(both))
+        stack += [(mid, j, cut, m, edits), (i, mid, k, cut, edits)]
     out: list[tuple[int, int, int, int]] = []
     for p in sorted(found):
         if out and out[-1][1] == p[0] and out[-1][3] == p[2]:

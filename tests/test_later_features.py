@@ -41,6 +41,12 @@ def test_differences_leave_a_longest_common_subsequence():
         assert same == longest_common(a, b)
 
 
+@pytest.mark.parametrize("edits", [1, 2, 5])
+def test_differences_with_few_edits_allowed_for_at_first(monkeypatch, edits):
+    monkeypatch.setattr(DI, "EDITS", edits)
+    test_differences_leave_a_longest_common_subsequence()
+
+
 def test_differences_of_long_sequences():
     a = np.arange(100_000) % 977
     b = np.delete(a, [5, 70_000])
