@@ -42,7 +42,7 @@ class Trie:
         text, at, out = MARK + word, 0, []
         while at < len(text):
             piece = self.longest(text, at)
-            if not piece or piece == MARK and at + 1 == len(text) and out:
+            if not piece:
                 return [UNKNOWN]
             out.append(piece)
             at += len(piece)

@@ -40,22 +40,28 @@ def best_label_paths(s, sf):
     return tagged.groupBy("sentence_id").agg(F.count("pred_label").alias("words"), F.max("best_score").alias("best_score"))
 
 
-@query(f"""WITH {W}, c AS (SELECT word AS w, count(*) AS n FROM w GROUP BY 1), p AS (
+PIECES = f"""WITH RECURSIVE {W}, c AS (SELECT word AS w, count(*) AS n FROM w GROUP BY 1), p AS (
 SELECT n, unnest(list_distinct([substr('▁' || w, 1, least(k, 12)) for k in range(1, length(w) + 2)])) AS piece FROM c UNION ALL
 SELECT n, unnest(flatten([[substr(w, a, k) for k in range(1, least(12, length(w) - a + 1) + 1)] for a in range(1, length(w) + 1)])) AS piece FROM c),
-g AS (SELECT piece, cast(sum(n) AS BIGINT) AS n, length(regexp_replace(piece, '^▁', '')) <= 1 AS single FROM p GROUP BY piece)
-SELECT piece, n FROM g WHERE single OR n >= 2 ORDER BY single DESC, n DESC, piece LIMIT 20000""")
+g AS (SELECT piece, cast(sum(n) AS BIGINT) AS n, length(regexp_replace(piece, '^▁', '')) <= 1 AS single FROM p GROUP BY piece),
+v AS (SELECT piece, n FROM g WHERE single OR n >= 2 ORDER BY single DESC, n DESC, piece LIMIT 20000)"""
+
+
+@query(f"{PIECES} SELECT piece, n FROM v")
 def counted_pieces(s, sf):
     return SW.count_pieces(words(s, sf), most=20_000)
 
 
-@query()
+@query(f"""{PIECES}, r AS (SELECT w, '▁' || w AS txt, cast(1 AS BIGINT) AS place, cast(0 AS BIGINT) AS n FROM c UNION ALL
+SELECT w, txt, place + max(k), any_value(r.n) + 1 FROM r CROSS JOIN range(1, 13) x(k) JOIN v ON v.piece = substr(txt, place, k) AND place + k - 1 <= length(txt) GROUP BY w, txt, place),
+d AS (SELECT w, n FROM r WHERE place > length(txt))
+SELECT sentence_id AS doc_id, cast(sum(coalesce(d.n, 1)) AS BIGINT) AS pieces, count(*) FILTER (d.n IS NULL) AS unknown FROM w LEFT JOIN d ON w.word = d.w GROUP BY 1""")
 def trie_subwords(s, sf):
-    """Pieces of every document by longest match: how many, and the span of the last one."""
+    """Pieces of every document by longest match, and how many of them stand for a word that the pieces can't make up."""
     docs = t(s, sf, "documents")
     load = SW.trie_tokenizer(SW.count_pieces(words(s, sf), most=20_000))
     spans = Q.subtoken_spans(docs, load)
-    return spans.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.max("end").alias("last_end"), F.count_if(F.col("piece") == SW.UNKNOWN).alias("unknown"))
+    return spans.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.count_if(F.col("piece") == SW.UNKNOWN).alias("unknown"))
 
 
 @query("""WITH r AS (SELECT conv_id, turn, length(coalesce(text, '')) // 4 + 1 AS tokens FROM conversations), x AS (SELECT *, coalesce(sum(tokens) OVER (ORDER BY conv_id, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r)
