@@ -35,7 +35,9 @@ def without(df: DataFrame, gone: DataFrame, id_col: str, mark: Column) -> DataFr
     computed only where the id is found; above that rows are dealt by id and mark.
     """
     gone = cut(gone.select(F.col("id").alias("__gone"), F.col("mark").alias("__mark")).distinct())
-    same = df[id_col].eqNullSafe(gone["__gone"])
+    # rows without an id are looked up by their mark, so that they don't meet the marks of all others
+    alone = F.when(df[id_col].isNull(), mark).eqNullSafe(F.when(gone["__gone"].isNull(), gone["__mark"]))
+    same = df[id_col].eqNullSafe(gone["__gone"]) & alone
     if gone.count() <= BROADCAST_ROWS:
         return df.join(F.broadcast(gone), same & F.coalesce(mark == gone["__mark"], F.lit(False)), "left_anti")
     return df.join(gone, same & (mark == gone["__mark"]), "left_anti")
