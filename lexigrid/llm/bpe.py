@@ -175,7 +175,8 @@ def digests(codec: Codec, text: str) -> tuple[int, str, str]:
 def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): each text encoded and decoded in one pass, without moving ids.
 
-    A null text counts as empty. One row per input row, in no order; other columns are ignored.
+    A null text counts as empty. One row per input row, repeated rows and null ids too, in no order; texts are read whole; an
+    empty table gives an empty one; other columns are ignored, whatever their names.
     """
     f = codec_function(df.sparkSession, path, "n_tokens long, ids_sha256 string, decoded_sha256 string", digests)
     return df.select(F.col(id_col), f(F.col(text_col)).alias("x")).select(id_col, "x.*")

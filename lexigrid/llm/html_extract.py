@@ -304,8 +304,9 @@ def extract_text(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] =
     """(the ``keep`` columns, text, n_chars) of every row, from the whole page.
 
     A null or empty page, and one without content, give the empty text. Unclosed and stray tags are
-    mended as browsers do for paragraphs, list items and cells; text is never cut. Repeated rows stay;
-    other columns are ignored.
+    mended as browsers do for paragraphs, list items and cells; text is never cut. Repeated rows and null ids stay;
+    blocks whose marginals tie with the threshold are kept; an empty table gives an empty one; other columns are
+    ignored, whatever their names.
     """
     shared = df.sparkSession.sparkContext.broadcast(model or train())
 

@@ -145,7 +145,10 @@ class Model:
 
 
 def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """The model of the rows with a language. Each language gives about ``sample_rows`` rows, fixed by their ids."""
+    """The model of the rows with a language. Each language gives about ``sample_rows`` rows, fixed by their ids.
+
+    Rows that share an id are all in the sample or all out of it; null ids count as one. Null languages are left out, null
+    and empty texts teach nothing, and texts are read whole. Without rows the model knows no language."""
     rows = df.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     share = F.broadcast(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
     part = rows.join(share, "lang").where(hash_order("id") * F.col("rows") < sample_rows)
@@ -159,7 +162,8 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """(id, lang_pred, score) of every row, from its whole text alone.
 
     Null texts and texts without a letter get und and 0. Of languages that score the same the first by
-    name is taken. Repeated rows stay; other columns are ignored.
+    name is taken. Repeated rows and null ids stay; texts are read whole; an empty table gives an empty one; other columns are
+    ignored, whatever their names.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 

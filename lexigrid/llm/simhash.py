@@ -184,7 +184,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     component_id is the smallest id that chains of links reach, itself included; null ids are passed over
     and get the component of the ids they are linked with, or null. Null and empty texts have fingerprint
-    zero and are linked like any other. Repeated rows stay rows. Other columns are ignored.
+    zero and are linked like any other. Repeated rows stay rows. Texts are read whole, however long; an empty table gives an
+    empty one. Other columns are ignored, whatever their names.
+
+    The trees are not broadcast: together they hold three places for each distinct fingerprint, which has no bound, so each
+    meets the fingerprints of its own shard by a shuffle.
     """
     out = components(df, id_col, text_col, width)
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

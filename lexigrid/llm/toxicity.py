@@ -313,7 +313,8 @@ class Index:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Index:
     """The index of labelled rows: about ``sample_rows``, fixed by their ids. Null labels are left out.
 
-    Of an id with several labels the largest counts; documents with a repeated id count as often.
+    Of an id with several labels the largest counts; documents with a repeated id count as often. Null ids match no label.
+    An example that shares a minimum hash with one before it is left out, whatever its label. Without labels the index is empty.
     """
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
     total = marks.count()
@@ -377,7 +378,8 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
 
     evidence lists the ids of the neighbours, nearest first. Null and empty texts, and texts without any
     word of the sample, get the label's share among the examples without a mark and no evidence; with no
-    labelled rows every score is 0. Repeated rows stay; other columns are ignored.
+    labelled rows every score is 0. Neighbours that tie go by id. Repeated rows and null ids stay; texts are read whole; an
+    empty table gives an empty one; other columns are ignored, whatever their names.
     """
     f = score_function(docs, index, docs.schema[id_col].dataType.simpleString())
     return docs.select(F.col(id_col), f(F.col(text_col)).alias("x")).select(id_col, "x.*")

@@ -113,7 +113,8 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", ru
     one with the longer host. URLs that no rule fits are blocked if their canonical form is listed, else
     allowed: of these, the filter's possible hits alone are counted by their form and joined with the list.
     A null URL, or one without ``://``, has an empty host and path and is allowed. Repeated rows and null ids
-    stay as they are; other columns are ignored.
+    stay as they are; URLs of any length are judged whole; an empty table gives an empty one; other columns are ignored,
+    whatever their names.
     """
     spark = df.sparkSession
     keys = cut(listed_keys(default_listed(spark) if listed is None else listed))
