@@ -11,6 +11,7 @@ broadcast, against all documents.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -144,8 +145,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     similarity is the matched words of the best alignment, as a share of the passage's words; items of
     over PASSAGE words are held if one of their passages is. Words are compared in lower case without
     punctuation. Null and empty texts and items match nothing; items of one or two words must stand there
-    whole. Repeated items with the same id count once, by their best passage. Repeated documents give
-    repeated rows. With an empty benchmark there are no rows. Other columns are ignored.
+    whole. Repeated items with the same id count once, by their best passage; of passages that tie the first stands. Repeated
+    documents give repeated rows, null ids too. Texts are read whole, however long. With an empty benchmark or no documents
+    there are no rows. Other columns are ignored, whatever their names.
+
+    From a similarity of 0.8 on no alignment is lost. Below it an alignment may leave no two words of a passage together, and such
+    ones are not found.
     """
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     ddl = f"`{id_col}` {id_type}, `{item_col}` {item_type}, similarity double, matched long, start_word long, end_word long"
@@ -215,15 +220,12 @@ def finder(block: Items, chosen: dict[int, list[int]], similarity: float):
     whole = {block.code(g): block.grams[g] for g in block.whole}
     own = [block.codes(words, SEED) for _, words in block.parts]
     least = np.array([least_whole(len(words), similarity) for _, words in block.parts], np.int64)
-    # all n-grams of the passages in the order of their codes: code, passage, place
-    codes = np.concatenate([*own, np.zeros(0, np.int64)])
-    part_of = np.repeat(np.arange(len(own)), [len(c) for c in own])
-    place_of = np.concatenate([*(np.arange(len(c)) for c in own), np.zeros(0, np.int64)])
-    order = np.argsort(codes, kind="stable")
-    codes, part_of, place_of = codes[order], part_of[order], place_of[order]
-
     def near_seeds(ids: np.ndarray) -> Iterator[tuple[int, list[int]]]:
-        """(passage, sorted starts) of the passages that can be held: with a seed, and enough n-grams near one diagonal."""
+        """(passage, sorted starts) of the passages that can be held: with a seed, and enough n-grams near one diagonal.
+
+        What each seeded passage shares with the text is counted before any of it is written out, and then written out
+        for one passage at a time, so that memory does not grow with what many items have in common.
+        """
         got = block.codes(ids, SEED)
         if not len(got) or not len(rare):
             return
@@ -231,42 +233,38 @@ def finder(block: Items, chosen: dict[int, list[int]], similarity: float):
         seeds = np.unique(got[rare[at] == got]).tolist()
         if not seeds:
             return
-        seeded = np.zeros(len(own), bool)
-        for c in seeds:
-            seeded[chosen[c]] = True
-        lo, hi = np.searchsorted(codes, got), np.searchsorted(codes, got, "right")
-        hits = np.flatnonzero(hi > lo)
-        n = (hi - lo)[hits]
-        entry = np.repeat(lo[hits] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        part, start = part_of[entry], np.repeat(hits, n) - place_of[entry]
-        enough = seeded & (np.bincount(part, minlength=len(own)) >= least)
-        keep = enough[part]
-        part, start = part[keep], start[keep]
-        by = np.lexsort((start, part))
-        part, start = part[by], start[by]
-        bounds = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if a == b:
-                continue
-            p, starts = int(part[a]), start[a:b]
-            k, width = int(least[p]) - 1, len(block.parts[p][1]) // 2 + 1  # gaps that an alignment can have, and one more
-            first = np.flatnonzero(starts[k:] - starts[: len(starts) - k] <= width)
+        seeded = np.unique(np.concatenate([chosen[c] for c in seeds]))
+        places = np.argsort(got, kind="stable")
+        ordered = got[places]
+        codes, sizes = np.concatenate([own[p] for p in seeded.tolist()]), np.array([len(own[p]) for p in seeded.tolist()])
+        lo = np.searchsorted(ordered, codes)
+        n, of = np.searchsorted(ordered, codes, "right") - lo, np.repeat(np.arange(len(seeded)), sizes)
+        shared, begins = np.bincount(of, n, len(seeded)).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)))
+        for k in np.flatnonzero(shared >= least[seeded]).tolist():
+            p, own_n = int(seeded[k]), n[begins[k] : begins[k + 1]]
+            entry = np.repeat(lo[begins[k] : begins[k + 1]] - np.cumsum(own_n) + own_n, own_n) + np.arange(own_n.sum())
+            starts = np.sort(places[entry] - np.repeat(np.arange(sizes[k]), own_n))
+            more, width = int(least[p]) - 1, len(block.parts[p][1]) // 2 + 1  # gaps that an alignment can have, and one more
+            first = np.flatnonzero(starts[more:] - starts[: len(starts) - more] <= width)
             if len(first):
                 inside = np.zeros(len(starts) + 1, np.int64)
                 np.add.at(inside, first, 1)
-                np.add.at(inside, first + k + 1, -1)
+                np.add.at(inside, first + more + 1, -1)
                 yield p, np.unique(starts[np.cumsum(inside)[:-1] > 0]).tolist()
 
-    def of_text(text: str | None) -> list[tuple]:
-        ids = block.of_text(text)
-        places: dict[int, list[int]] = dict(near_seeds(ids))
+    def short_items(ids: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """The places of items that have fewer words than a seed."""
         for width, short in narrow.items():
             got = block.codes(ids, width)
-            for p in np.flatnonzero(np.isin(got, short)).tolist():
-                for part, k in whole[int(got[p])]:
-                    places.setdefault(part, []).append(p - k)
+            hits = np.flatnonzero(np.isin(got, short))
+            for code in np.unique(got[hits]).tolist():
+                for part, k in whole[code]:
+                    yield part, (hits[got[hits] == code] - k).tolist()
+
+    def of_text(text: str | None) -> list[tuple]:
+        ids = block.of_text(text)
         best: dict = {}
-        for part, starts in places.items():
+        for part, starts in itertools.chain(near_seeds(ids), short_items(ids)):
             item, words = block.parts[part]
             n, at = len(words), -len(words) * 2 - 9
             slack = max(4, n // 4)
