@@ -113,14 +113,14 @@ SENTENCES = (
     ("gpl", "you should have received a copy", "you should have received a copy of the gnu (?:lesser |library |affero )?general public license"),
     ("lgpl", "lesser general public license as published", "gnu lesser general public license as published by"),
     ("agpl", "affero general public license as published", "gnu affero general public license as published by"),
-    ("gfdl", "under the terms of the gnu free documentation", "modify this document under the terms of the gnu free documentation license"),
+    ("fdl", "under the terms of the gnu free documentation", "modify this document under the terms of the gnu free documentation license"),
     ("mpl", "subject to the terms of the mozilla", "source code form is subject to the terms of the mozilla public license"),
     ("epl", "under the terms of the eclipse", "made available under the terms of the eclipse public license"),
     ("cddl", "subject to the terms of the common development", "subject to the terms of the common development and distribution license"),
     ("zlib", "altered source versions", "altered source versions must be plainly marked as such"),
     ("zlib", "the origin of this software", "the origin of this software must not be misrepresented"),
-    ("bsl", "under the boost software license", "distributed under the boost software license"),
-    ("bsl", "machine executable object code", "machine executable object code generated by a source language processor"),
+    ("boost", "under the boost software license", "distributed under the boost software license"),
+    ("boost", "machine executable object code", "machine executable object code generated by a source language processor"),
     ("unlicense", "anyone is free to copy", "anyone is free to copy modify publish use compile sell or distribute this software"),
     ("wtfpl", "you just do what the", "you just do what the fuck you want to"),
     ("ofl", "reserved font name", "with reserved font names?"),
@@ -132,7 +132,7 @@ SENTENCES = (
     ("odbl", "under the open database license", "made available under the open database license"),
     ("openssl", "for use in the openssl toolkit", "software developed by the openssl project for use in the openssl toolkit"),
     ("php", "this product includes php", "this product includes php software"),
-    ("x11", "except as contained in this notice", "except as contained in this notice the names? of"),
+    ("mit", "except as contained in this notice", "except as contained in this notice the names? of"),
     ("ms-pl", "under the microsoft public license", "licensed under the microsoft public license"),
     ("noncommercial", "non commercial use only", "for (?:personal )?non commercial use only"),
     ("noncommercial", "personal and non commercial use", "for (?:your )?personal and non commercial use"),
@@ -181,6 +181,8 @@ def build_rules() -> list[Rule]:
         for x in alternatives:
             for form in (rf"(?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?{x}", rf"{x} licensed?"):
                 rules.append(Rule(label, keyword_of(x) or "licen", form, 4, 0.7))
+            if keyword_of(x):
+                rules.append(Rule(label, keyword_of(x), rf"{x} (?:or (?:any )?(?:later|newer)(?: versions?)?|only)", 4, 0.7))
     rules += [Rule(label, keyword, pattern, 2, 0.9 if label != "copyright" else 0.4) for label, keyword, pattern in SENTENCES]
     return sorted(rules, key=lambda r: r.priority)
 
@@ -285,9 +287,12 @@ RESULT = "n_words long, n_base long, first_word long, last_word long, base_label
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id and the columns of RESULT.
 
-    Detections give the words [start, end) of each standing match. A null text counts as empty: no words,
-    no labels (empty strings), null first and last word, score 0. Repeated rows stay; other columns are
-    ignored.
+    Detections give the words [start, end) of each standing match. Containment suppresses detections of the method
+    among each other; base labels are told from all their places and always stay, so "GNU General Public License v3.0" has
+    gpl beside gpl-3.0. A null text counts as empty: no words, no labels (empty strings), null first and last word,
+    score 0. Texts are read whole, in time proportional to their length. Of detections that tie in priority and length
+    the first stands. Repeated rows and null ids stay; an empty table gives an empty one; other columns are ignored,
+    whatever their names.
     """
 
     def setup():
