@@ -11,7 +11,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexigrid.llm import periodic_runs, queries, token_alignment, topk_search
+from lexigrid.llm import decontaminate, lm_score, near_dedup, periodic_runs, queries, token_alignment, topk_search
 from lexigrid.llm.common import table
 
 A, B = queries.tokenizer_file("byte_bpe_50k.json"), queries.tokenizer_file("piece_bpe_32k.model")
@@ -222,3 +222,81 @@ def test_alignment_of_odd_texts(spark, monkeypatch, units):
     assert token_alignment.align(df.limit(0), A, B).count() == 0
     rebuilt = token_alignment.align(df, A, B, written=True).where("groups <> ''").select("groups", "groups_sha256").first()
     assert hashlib.sha256(rebuilt[0].encode()).hexdigest() == rebuilt[1]
+
+
+# near-dedup of the pipeline
+
+
+@pytest.mark.parametrize("central", [1, 4])
+def test_a_large_group_needs_few_pairs_and_loses_no_link(spark, monkeypatch, central):
+    """Copies of copies, each like the one before only, beside many copies of one text and texts that share a passage."""
+    monkeypatch.setattr(near_dedup, "CENTRAL", central)
+    rng = np.random.default_rng(5)
+
+    def changed(words, n):
+        words = list(words)
+        for at in rng.choice(len(words), n, replace=False):
+            words[at] = f"x{rng.integers(10**9)}"
+        return words
+
+    base = [f"w{k}" for k in range(150)]
+    texts = [base, *[changed(base, int(rng.integers(1, 6))) for _ in range(120)]]
+    chain = [[f"c{k}" for k in range(120)]]
+    for _ in range(25):
+        chain.append(changed(chain[-1], 2))
+    passage = [f"p{k}" for k in range(60)]
+    texts += chain + [[f"q{j}-{k}" for k in range(25)] + passage for j in range(30)]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in texts]
+    group, pairs = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if n / (len(sets[i]) + len(sets[j]) - n) >= 0.8:
+                pairs += 1
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    asked = []
+    verified = near_dedup.verified
+    monkeypatch.setattr(near_dedup, "verified", lambda *a: asked.append(a[3].count()) or verified(*a))
+    got = sorted(r["doc_id"] for r in near_dedup.drop_near_duplicates(df).collect())
+    assert got == [k for k, g in enumerate(group) if k == g]
+    assert len(asked) == 2 and (central == 1 or sum(asked) < pairs / 3)
+
+
+# decontamination
+
+
+def test_a_passage_that_all_items_share_takes_bounded_memory():
+    """2000 items with one passage in common, and a text that repeats it and holds one item."""
+    import tracemalloc
+
+    common = [f"c{k}" for k in range(11)]
+    items = [(k, " ".join([*common, *[f"i{k}x{j}" for j in range(20)]])) for k in range(2000)]
+    text = " ".join([*common * 150, *[f"t{k}" for k in range(3000)], items[7][1], *common * 150])
+    block = decontaminate.Items(items)
+    codes = block.codes(block.of_text(text), decontaminate.SEED)
+    found = np.unique(codes[codes > 0], return_counts=True)
+    find = decontaminate.finder(block, decontaminate.seeds_of(block, dict(zip(*map(np.ndarray.tolist, found), strict=True))), 0.8)
+    tracemalloc.start()
+    got = find(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x[:3] for x in got] == [(7, 1.0, 31)]
+    assert peak < 40 << 20
+
+
+# language model
+
+
+def test_scores_do_not_depend_on_how_rows_are_dealt(spark, sf, monkeypatch):
+    monkeypatch.setattr(lm_score, "TASK_WINDOWS", 60)
+    docs = table(spark, sf, "documents")
+    docs = docs.unionByName(docs.limit(3)).unionByName(docs.limit(1))  # copies of windows, too
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for n, dealt in ((4, docs.coalesce(1)), (9, docs.repartition(7).orderBy(F.rand(3)))):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        rows = lm_score.score_corpus(lm_score.cut(dealt.select("doc_id", "text")), queries.tokenizer_file("byte_bpe_multi_50k.tiktoken")).collect()
+        found.append(sorted((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 3)) for r in rows))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] and len(found[0]) == docs.count()

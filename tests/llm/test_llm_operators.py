@@ -73,6 +73,7 @@ def test_exact_dedup_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
     for name, sql in queries.ORACLE.items():
         got, want = queries.QUERIES[name](spark, sf).toPandas(), con.execute(sql).df()
         cols = sorted(want.columns)
