@@ -51,8 +51,9 @@ def substitute_span(text: Column, start: Column, end: Column, candidate: Column)
 
 
 def span_matches(text: Column, start: Column, end: Column, word: Column) -> Column:
-    """The span's text is the word, whatever the case."""
-    return F.lower(span_text(text, start, end)) == F.lower(word)
+    """The span's text is the word, whatever the case: small letters or capitals are the same, as those of ``ß`` and ``SS``."""
+    span = span_text(text, start, end)
+    return (F.lower(span) == F.lower(word)) | (F.upper(span) == F.upper(word))
 
 
 def sentence_key(source: Column, sentence_id: Column) -> Column:

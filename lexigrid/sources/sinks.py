@@ -65,10 +65,10 @@ def reannotate(df: DataFrame, scorer, schema: str, path: str, id_col: str | None
     return dict(seen.get)
 
 
-def label_tasks(df: DataFrame, labels: list[str]) -> tuple[DataFrame, str]:
-    """K5: (one task a row as JSON, the interface text). The span's text must be the word."""
+def label_tasks(df: DataFrame, labels: list[str], keep: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
+    """K5: (one task a row as JSON, the interface text). The span's text must be the word. Columns ``keep`` stand in the task too."""
     ok = F.when(span_matches(F.col("text"), F.col("start"), F.col("end"), F.col("word")), F.col("word")).otherwise(F.raise_error(F.concat(F.lit("span is not the word: "), "word")))
-    tasks = df.withColumn("word", ok).select(F.to_json(F.struct(F.struct("text", "word", "start", "end").alias("data"))).alias("value"))
+    tasks = df.withColumn("word", ok).select(F.to_json(F.struct(F.struct("text", "word", "start", "end", *keep).alias("data"))).alias("value"))
     view = "<View><Labels name='label' toName='text'>" + "".join(f"<Label value='{x}'/>" for x in labels) + "</Labels><Text name='text' value='$text'/></View>"
     return tasks, view
 
