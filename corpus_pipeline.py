@@ -40,6 +40,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of texts with five-word similarity of 0.8 or more the row with the smallest id.
 
+    SimHashes and BK-trees give near copies, compared exactly; prefixes give the pairs that SimHash leaves apart.
+
     Nulls, ties, repeated rows, empty tables and clashing names as in the stage before.
     """
     return near_dedup.drop_near_duplicates(docs)

@@ -1,7 +1,8 @@
 """Near-dedup of the pipeline: groups of texts that five-word shingles link at Jaccard similarity 0.8 or more.
 
-A 64-bit SimHash spreads such pairs over about 4 to 18 bits, where it can't tell them from strangers, so the
-stage joins by prefixes in its place, which loses no pair: shingles have one order over all texts, rarer
+Each set has a 64-bit SimHash, and the BK-trees of operator 2 link SimHashes of at most two differing bits; what they link
+is compared exactly. A SimHash spreads most pairs of that similarity over about 4 to 18 bits, where it can't tell them from
+strangers, so prefixes give the pairs that it leaves apart, and lose none: shingles have one order over all texts, rarer
 ones first; two sets that are similar enough share a shingle among the first n - ceil(0.8 n) + 1 of each.
 The order is by the counts in a bounded sample, then by hash; any order is right, the sample only keeps lists short.
 
@@ -24,7 +25,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexigrid.llm import simhash
 from lexigrid.llm.common import BROADCAST_ROWS, HEAVY, connected_components, cut, hash_order, join_by_key, map_chunks, text_function, without
+from lexigrid.session import scratch
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -57,6 +60,14 @@ def sketch_of(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def simhash_of(shingles: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the set's hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), 65536):
+        counts += np.unpackbits(shingles[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(shingles), bitorder="little").view(np.int64)[0])
+
+
 def common_shingles(df: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several documents of the sample hold, in order, and their counts."""
 
@@ -91,20 +102,14 @@ def prefix_of(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, simi
     return shingles[np.lexsort((shingles, seen))[:take]]
 
 
-def once(docs: DataFrame, prints: DataFrame) -> DataFrame:
-    """Sets with over 1/HEAVY of all rows one time; the others stay as they are, as a set's copies are passed over later."""
-    total = prints.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    heavy = F.broadcast(cut(prints.where(F.col("rows") * HEAVY > total).where("rows > 1").select("fp")))  # under HEAVY rows
-    one = docs.join(heavy, "fp").groupBy("fp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    return docs.join(heavy, "fp", "left_anti").unionByName(one)
-
-
 def listed(sets: DataFrame, prints: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(s, fp, n, pos, c) and the sketch: the places of each set's prefix shingles, of those that c > 1 sets hold.
+    """(s, fp, n, pos, w) and the sketch: the places of each set's prefix shingles, of those that c > 1 sets hold; w is the
+    mean c of the set's.
 
     Prefixes are of 32-bit hashes: what these make equal is told apart when sets are compared. Shingles that over 1/HEAVY
     of the sample holds are not counted anew but by the sample, so that no task gathers their holders; c only
-    weighs. Copies of a set may count in c, but stand once in a list.
+    weighs. A set stands once in ``sets`` and so in each list. Lists are written by sets, whose rows follow each other, as
+    compressed columns: a checkpoint would write each row's sketch again.
     """
     shingles, counts = common
     heavy = [int(x) for x in np.unique(shingles[counts * HEAVY > SAMPLE_ROWS].astype(np.int32))]
@@ -113,7 +118,11 @@ def listed(sets: DataFrame, prints: DataFrame, common: tuple[np.ndarray, np.ndar
     known = rows.where(F.array_contains(held, F.col("s"))) if len(heavy) <= 64 else rows.join(F.broadcast(_ints(sets.sparkSession, heavy)), "s", "left_semi")
     others = rows.where(~F.array_contains(held, F.col("s"))) if len(heavy) <= 64 else rows.join(F.broadcast(_ints(sets.sparkSession, heavy)), "s", "left_anti")
     counted = others.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("s"))).where("c > 1")
-    return cut(counted.unionByName(known.withColumn("c", F.lit(1 + SAMPLE_ROWS // HEAVY).cast("long"))).dropDuplicates(["s", "fp"]).join(prints.select("fp", *[f"b{k}" for k in range(SKETCH)]), "fp"))
+    both = counted.unionByName(known.withColumn("c", F.lit(1 + SAMPLE_ROWS // HEAVY).cast("long")))
+    both = both.join(prints.select("fp", *[f"b{k}" for k in range(SKETCH)]), "fp").withColumn("w", F.sum("c").over(Window.partitionBy("fp")) / F.col("n")).drop("c")
+    path = scratch(sets.sparkSession, "lists")
+    both.write.parquet(path)
+    return sets.sparkSession.read.parquet(path)
 
 
 def _ints(spark: SparkSession, values: list[int]) -> DataFrame:
@@ -137,10 +146,23 @@ def pairs_of(a: DataFrame, b: DataFrame, unlike: Column, similarity: float) -> D
 
 def central_pairs(lists: DataFrame, similarity: float) -> DataFrame:
     """Each set with the CENTRAL sets of each of its lists whose shingles stand in the longest lists, for their size."""
-    weight = lists.groupBy("fp").agg((F.sum("c") / F.min("n")).alias("w"))
     rank = F.row_number().over(Window.partitionBy("s").orderBy(F.desc("w"), "fp"))
-    first = lists.join(weight, "fp").withColumn("rank", rank).where(F.col("rank") <= CENTRAL)  # cut before the shuffle, too
-    return pairs_of(lists, first.drop("w", "rank", "c"), F.col("x.fp") != F.col("y.fp"), similarity)
+    first = lists.withColumn("rank", rank).where(F.col("rank") <= CENTRAL)  # cut before the shuffle, too
+    return pairs_of(lists.drop("w"), first.drop("w", "rank"), F.col("x.fp") != F.col("y.fp"), similarity)
+
+
+def simhash_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b), a below b, that chain all sets (fp) whose SimHashes (sh) chains of at most two differing bits link.
+
+    Sets of one SimHash are paired with the first of them, and firsts with each other along the BK-trees' links.
+    """
+    first = cut(prints.groupBy("sh").agg(F.min("fp").alias("first"), F.count(F.lit(1)).alias("sets")))
+    same = join_by_key(prints.select("sh", "fp"), first, "sh", "sets").where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    linked = simhash.links(first.select(F.col("sh").alias("fp")))
+    for c in ("a", "b"):
+        linked = linked.join(first.select(F.col("sh").alias(c), F.col("first").alias(f"of_{c}")), c)
+    linked = linked.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b"))
+    return same.unionByName(linked)
 
 
 def open_pairs(lists: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
@@ -151,7 +173,7 @@ def open_pairs(lists: DataFrame, groups: DataFrame, similarity: float) -> DataFr
     own = lists.join(groups.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("g", F.coalesce("label", "fp"))
     sizes = own.groupBy("s", "g").agg(F.count(F.lit(1)).alias("k"))
     main = sizes.groupBy("s").agg(F.max_by("g", F.struct("k", "g")).alias("main"), F.count(F.lit(1)).alias("gs")).where("gs > 1")
-    own = cut(own.join(main.select("s", "main"), "s").drop("c", "label"))
+    own = cut(own.join(main.select("s", "main"), "s").drop("w", "label"))
     return pairs_of(own.where("g <> main"), own, F.col("x.g") != F.col("y.g"), similarity)
 
 
@@ -176,7 +198,7 @@ def verified(df: DataFrame, text_col: str, prints: DataFrame, candidates: DataFr
 def near_groups(df: DataFrame, text_col: str, sets: DataFrame, prints: DataFrame, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(node, label): the groups of sets that links of the similarity hold together; sets without a link are left out."""
     lists = listed(sets, prints, common)
-    first = cut(central_pairs(lists, similarity))
+    first = cut(central_pairs(lists, similarity).unionByName(simhash_pairs(prints.select("fp", "sh"))).distinct())
     groups = cut(connected_components(verified(df, text_col, prints, first, similarity)))
     more = cut(open_pairs(lists, groups, similarity).join(first, ["a", "b"], "left_anti"))
     links = cut(verified(df, text_col, prints, more, similarity))
@@ -201,17 +223,18 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     def sets():
         def f(texts: list) -> tuple:
             found = [shingles_of(t) for t in texts]
-            prefixes = [prefix_of(s, *common.value, similarity).astype(np.int32).tolist() for s in found]
+            prefixes = [list(dict.fromkeys(prefix_of(s, *common.value, similarity).astype(np.int32).tolist())) for s in found]
             keys = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in found), np.uint64, len(found)).view(np.int64)
-            return keys.tolist(), [len(s) for s in found], prefixes, *np.array([sketch_of(s) for s in found]).T.tolist()
+            return keys.tolist(), list(map(simhash_of, found)), [len(s) for s in found], prefixes, *np.array([sketch_of(s) for s in found]).T.tolist()
 
         return f
 
     bits = [f"b{k}" for k in range(SKETCH)]
-    x = text_function(f"fp long, n int, prefix array<int>, {', '.join(f'{b} long' for b in bits)}", sets)(F.col(text_col))
+    x = text_function(f"fp long, sh long, n int, prefix array<int>, {', '.join(f'{b} long' for b in bits)}", sets)(F.col(text_col))
     docs = cut(df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), x.alias("x")).select("id", "h", "x.*"))
-    prints = cut(docs.groupBy("fp").agg(F.min("id").alias("rep"), F.min("h").alias("h"), F.count(F.lit(1)).alias("rows"), *[F.any_value(b).alias(b) for b in bits]))
-    of = near_groups(df, text_col, once(docs.select("fp", "n", "prefix"), prints), prints, similarity, common.value)
+    prints = cut(docs.groupBy("fp").agg(F.min("id").alias("rep"), F.min("h").alias("h"), F.count(F.lit(1)).alias("rows"), F.min("sh").alias("sh"), *[F.any_value(b).alias(b) for b in bits]))
+    sets_once = docs.groupBy("fp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))  # copies meet before the shuffle
+    of = near_groups(df, text_col, sets_once, prints, similarity, common.value)
     slim = prints.select("fp", "rep", "rows")
     linked = cut(of.join(slim, of["node"] == slim["fp"]).select("fp", "label", "rep"))
     smallest = linked.groupBy("label").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("prints"))
