@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -19,16 +20,25 @@ from lexigrid.operators.spans import chunks, overlaps, piece_offsets
 Tokenizer = Callable[[str], list[str]]
 
 
+#: Rows that Python holds at a time, read and found, whatever the batch.
+READ_ROWS, FOUND_ROWS = 64, 16_384
+
+
 def map_rows(df: DataFrame, ddl: str, load: Callable[[], Callable[..., Iterator[tuple]]]) -> DataFrame:
-    """Rows to rows in Arrow batches: ``load`` once a task, its function once a row, which gives tuples of ``ddl``'s fields."""
+    """Rows to rows in Arrow batches: ``load`` once a task, its function once a row, which gives tuples of ``ddl``'s fields.
+
+    What is found is handed on after FOUND_ROWS rows, in the midst of a text too, as one batch of texts may give millions.
+    """
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_row = load()
         for batch in batches:
-            found = [out for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) for out in of_row(*row)]
-            columns = list(zip(*found, strict=True)) or [()] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            rows = (row for at in range(0, batch.num_rows, READ_ROWS) for row in zip(*(c.to_pylist() for c in batch.slice(at, READ_ROWS).columns), strict=True))
+            found = (out for row in rows for out in of_row(*row))
+            while part := list(islice(found, FOUND_ROWS)):
+                columns = zip(*part, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return df.mapInArrow(run, ddl)
 
