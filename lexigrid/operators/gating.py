@@ -50,15 +50,18 @@ def gate_stats(rows: DataFrame, words: DataFrame, threshold: float = 1.0, label_
     return s.withColumn("expert_share", F.round(F.coalesce(F.try_divide(F.col("expert"), F.col("tokens")), F.lit(0.0)), 6))
 
 
-def gated_labels(base: DataFrame, expert: DataFrame, gate: DataFrame, keys: list[str]) -> DataFrame:
-    """Label, probability and answering scorer of each word from two prediction tables (label, probability)."""
+def gated_labels(base: DataFrame, expert: DataFrame, gate: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Label, probability and answering scorer of each word from two prediction tables (label, probability).
+
+    The gate's columns ``keep`` stay, so that they need no join of the words with themselves.
+    """
     b = base.select(*keys, F.col("label").alias("b_label"), F.col("probability").alias("baseline_probability"))
     e = expert.select(*keys, F.col("label").alias("e_label"), F.col("probability").alias("expert_probability"))
     out = gate.join(b, keys).join(e, keys)
     who = F.col("answers")
     label = F.when(who == "placeholder", normalise_placeholder(F.lit(None).cast("string"))).when(who == "expert", F.col("e_label")).otherwise(F.col("b_label"))
     p = F.when(who == "placeholder", F.lit(0.0)).when(who == "expert", F.col("expert_probability")).otherwise(F.col("baseline_probability"))
-    return out.select(*keys, "density", who.alias("source_model"), label.alias("pred_label"), p.alias("probability"), "baseline_probability", "expert_probability")
+    return out.select(*keys, "density", who.alias("source_model"), label.alias("pred_label"), p.alias("probability"), "baseline_probability", "expert_probability", *keep)
 
 
 def score_with(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
@@ -104,8 +107,8 @@ def gated_evaluate(rows: DataFrame, base: DataFrame, expert: DataFrame, words: D
     """M5: (metrics, shares of the scorers) of gated predictions over word rows with a real true label."""
     gate = gate_words(rows, words, threshold, true)
     real = gate.where(F.col("answers") != "placeholder")
-    pred = gated_labels(base, expert, real, keys)
-    scored = real.select(*keys, true, *([group] if group and group not in keys else [])).join(pred, keys)
+    keep = dict.fromkeys(c for c in (true, group) if c and c not in keys)
+    scored = gated_labels(base, expert, real, keys, tuple(keep))
     shares = gate.groupBy("answers").agg(F.count(F.lit(1)).alias("n"))
     return report(scored, true, "pred_label", group), shares
 
