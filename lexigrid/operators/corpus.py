@@ -17,6 +17,38 @@ def word_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return rows.where("word <> ''")
 
 
+#: Names of sentences that are broadcast at most.
+BROADCAST_NAMES = 200_000
+
+
+def words_of(text: Column | str) -> Column:
+    """The words of ``word_rows`` as an array."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"\s+"), "")
+
+
+def whole_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", type_col: str = "lang") -> DataFrame:
+    """The rows of ``word_rows`` as one row a sentence: sentence_id, source, text (``words_of`` it are the words), types of the words. Sentences without words are dropped.
+
+    A text that alone has its source and id stays where it stands. Texts that share both, nulls being equal, are one
+    sentence: their words are gathered, those of one place in the order of the word.
+    """
+    own = docs.select(F.col(id_col).alias("sentence_id"), F.col(source_col).alias("source"), F.col(type_col).alias("type"), F.col(text_col).alias("text"))
+    name = own.groupBy("sentence_id", "source").count().where("count > 1").select(F.col("sentence_id").alias("__id"), F.col("source").alias("__source"))
+    name = cut(name)
+    repeated = name.count()
+    alone = own
+    if repeated:
+        name = F.broadcast(name) if repeated <= BROADCAST_NAMES else name
+        same = F.col("sentence_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
+        alone = own.join(name, same, "left_anti")
+    out = alone.where(F.col("text").rlike(r"\S")).select("sentence_id", "source", "text", F.array_repeat("type", F.size(words_of("text"))).alias("types"))
+    if repeated:
+        rows = word_rows(own.join(name, same, "left_semi"), "sentence_id", "text", "source", "type")
+        x = rows.groupBy("sentence_id", "source").agg(F.sort_array(F.collect_list(F.struct("pos", "word", "type"))).alias("x"))
+        out = out.unionByName(x.select("sentence_id", "source", F.array_join("x.word", " ").alias("text"), F.col("x.type").alias("types")))
+    return out
+
+
 def sentence_sizes(rows: DataFrame) -> DataFrame:
     """A1: words in each (source, sentence_id)."""
     return rows.groupBy("source", "sentence_id").agg(F.count("*").alias("size"))

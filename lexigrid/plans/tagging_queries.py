@@ -8,6 +8,7 @@ from lexigrid.functions import tables as TF
 from lexigrid.functions import text as X
 from lexigrid.operators import budget as B
 from lexigrid.operators import convert as V
+from lexigrid.operators import corpus as C
 from lexigrid.operators import differences as DI
 from lexigrid.operators import metrics as M
 from lexigrid.operators import sequences as Q
@@ -34,10 +35,9 @@ mm AS (SELECT list(r ORDER BY a) AS m FROM mr), sn AS (SELECT source, sentence_i
 SELECT sentence_id, len(e) AS words, list_max(list_reduce(e[2:], lambda a, e: [{_STEP}], [{_FIRST}])) AS best_score FROM sn CROSS JOIN st CROSS JOIN mm""")
 def best_label_paths(s, sf):
     """Each word of a document is tagged with a language, from words and successions counted over all documents."""
-    rows = words(s, sf)
-    tagger = TG.fit_tagger(rows, ["source", "sentence_id"], label="type")
-    tagged = TG.decode(rows, tagger, ["source", "sentence_id"])
-    return tagged.groupBy("sentence_id").agg(F.count("pred_label").alias("words"), F.max("best_score").alias("best_score"))
+    sentences = C.whole_sentences(t(s, sf, "documents"))
+    tagged = TG.decode_sentences(sentences, TG.fit_sentences(sentences, C.words_of("text"), "types"), ["source", "sentence_id"], C.words_of("text"))
+    return tagged.where(F.col("best_score").isNotNull()).select("sentence_id", F.size("pred_labels").cast("long").alias("words"), "best_score")
 
 
 PIECES = f"""WITH RECURSIVE {W}, c AS (SELECT word AS w, count(*) AS n FROM w GROUP BY 1), p AS (
