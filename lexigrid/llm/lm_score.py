@@ -5,8 +5,8 @@ numpy, give the probability of the next token's class, first of its group and th
 class is one frequent token or a bin of rarer ones, and inside a bin tokens follow their counts in the
 training documents. Word and subword counts come
 from all training documents. Attention weights are trained by rounds of local Adam steps in as many tasks
-as the corpus has windows for, whose weights are averaged; every training document gives windows, so what
-is gathered grows with the corpus. A text is scored in overlapping windows with batched masked attention,
+as the corpus has windows for, whose weights are averaged; every place of every training document is
+looked at in each round. A text is scored in overlapping windows with batched masked attention,
 each token once.
 """
 
@@ -47,8 +47,10 @@ PAIR_PRIOR = 20.0
 ROUNDS, TASK_WINDOWS, STEP_WINDOWS, LEAST_STEPS, EPOCHS, RATE = 2, 32_768, 32, 800, 6, 0.02
 #: Weight, in windows, of the normal prior of all parameters: steps draw them to zero, the less the more windows there are.
 PRIOR_WINDOWS = 1000.0
-#: One training window for each document, and one more for every so many characters.
+#: One training window at a place chosen by hash for each document, and one more for every so many characters; the rest is cut up in order.
 WINDOW_CHARS = 4_096
+#: Windows that stand in a row of the rest at most.
+STRETCH = 16
 #: The most frequent words, at most so many, are broadcast with their counts; the others are joined.
 MOST_KNOWN = 400_000
 #: Words of chunks that are kept before they are counted together and given out.
@@ -56,8 +58,8 @@ FLUSH = 1_000_000
 CACHE = 500_000
 #: Texts of a task whose results are kept for copies of them.
 COPIES = 4_000
-#: Kinds of rows that one pass over the training texts gives: words, training windows, ends of texts.
-WORD, PIECE, END = 0, 1, 2
+#: Kinds of rows that one pass over the training texts gives: words, training windows, ends of texts, stretches of what no window holds.
+WORD, PIECE, END, REST = 0, 1, 2, 3
 #: White space that the split pattern knows and words may hold: such words are tokenised one at a time.
 INNER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 SMOOTH = 0.1
@@ -492,10 +494,11 @@ class LanguageModel:
 
 
 def gather(train: DataFrame, id_col: str, text_col: str, vocabulary) -> DataFrame:
-    """(kind, word, c) from one pass over all training texts: words and their counts, the number of texts, training windows.
+    """(kind, word, c) from one pass over all training texts: words and their counts, the number of texts, training windows, the rest.
 
     A window is an 8-byte key and at most WINDOW + 1 ids from a hash-chosen place; each text gives one, and one
-    more from each further WINDOW_CHARS characters.
+    more from each further WINDOW_CHARS characters. What the windows of a text leave comes as stretches of up to
+    STRETCH windows, an 8-byte key and the ids, so that each id but the first is a target of some row.
     """
 
     def setup():
@@ -517,21 +520,30 @@ def gather(train: DataFrame, id_col: str, text_col: str, vocabulary) -> DataFram
                 return
             words, at, sizes = split_chunk(texts)
             kept.append((words, np.bincount(at, minlength=len(words)).astype(np.int64)))
-            found, ends = [], np.cumsum(sizes)
-            for i, text, begin, size in zip(ids, texts, (ends - sizes).tolist(), sizes.tolist(), strict=True):
-                pieces = 1 + len(text or "") // WINDOW_CHARS
+            packed = subwords.packed(words.to_pylist())
+            flat = np.frombuffer(b"".join(packed), "<u2")
+            upto = np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed))) // 2
+            own = texts_of(flat, upto, at, sizes)
+            long, ends = np.concatenate(([0], np.cumsum(np.diff(upto, prepend=0)[at]))), np.cumsum(sizes)
+            windows, rest = [], []
+            for i, text, begin, size, ids_of in zip(ids, texts, (ends - sizes).tolist(), sizes.tolist(), own, strict=True):
+                pieces, places = 1 + len(text or "") // WINDOW_CHARS, []
+                raw = end + ids_of.tobytes() + end
                 for k in range(pieces):
                     key = xxhash.xxh64_intdigest(f"{i} {k}", 5) >> 2
                     lo, hi = size * k // pieces, size * (k + 1) // pieces
                     start = 0 if not k and not key % 3 else lo + (key >> 8) % max(1, hi - lo)
-                    upto = min(start + WINDOW + 1, size)  # a word has one id at least
-                    found.append((key, begin + start, begin + upto, not start, start + WINDOW + 1 > size))
-            used, places = np.unique(np.concatenate([np.zeros(0, np.int64), *(at[a:b] for _, a, b, *_ in found)]), return_inverse=True)
-            own = subwords.of_numbered(words.take(pa.array(used)).to_pylist(), places, np.array([b - a for _, a, b, *_ in found], np.int64))
-            windows = []
-            for (key, _, _, first, last), ids_of in zip(found, own, strict=True):
-                windows.append(key.to_bytes(8, "big") + (end * first + ids_of.tobytes() + end * last)[: 2 * (WINDOW + 1)])
+                    place = int(long[begin + start] - long[begin]) + 1 if start else 0
+                    places.append(place)
+                    windows.append(key.to_bytes(8, "big") + raw[2 * place : 2 * (place + WINDOW + 1)])
+                done = 0  # the last id that was a target, or stands before the first
+                for place in (*sorted(places), len(raw) // 2 - 1):
+                    for x in range(done, place, STRETCH * WINDOW):
+                        key = xxhash.xxh64_intdigest(f"{i} rest {x}", 5) >> 2
+                        rest.append(key.to_bytes(8, "big") + raw[2 * x : 2 * (min(place, x + STRETCH * WINDOW) + 1)])
+                    done = max(done, place + WINDOW)
             yield [PIECE] * len(windows), windows, [1] * len(windows)
+            yield [REST] * len(rest), rest, [1] * len(rest)
             yield [END], [b""], [len(ids)]
             if sum(len(w) for w, _ in kept) > FLUSH:
                 yield from give()
@@ -616,15 +628,28 @@ def most_frequent(words: DataFrame, most: int) -> dict[bytes, int]:
     return {} if least is None else {bytes(r["word"]): r["c"] for r in words.where(step >= least).select("word", "c").toLocalIterator()}
 
 
+def windows_of(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of WINDOW + 1 ids, each target in one of them, from rows of ids of any length; and which targets exist."""
+    sizes = [max(1, -(-(len(raw) // 2 - 1) // WINDOW)) for raw in rows]
+    ids, ok, at = np.zeros((sum(sizes), WINDOW + 1), np.int64), np.zeros((sum(sizes), WINDOW), bool), 0
+    for raw, n in zip(rows, sizes, strict=True):
+        got = np.zeros(n * WINDOW + 1, np.int64)
+        got[: len(raw) // 2] = np.frombuffer(raw, "<u2")
+        ids[at : at + n] = np.lib.stride_tricks.sliding_window_view(got, WINDOW + 1)[::WINDOW]
+        ok[at : at + n] = (np.arange(n * WINDOW) < len(raw) // 2 - 1).reshape(n, WINDOW)
+        at += n
+    return ids, ok
+
+
 def train_attention(windows: DataFrame, classes: Classes, pairs: Pairs, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after rounds of training on all windows (key, ids), in slots of about TASK_WINDOWS each, and averaging; no task holds more than a few slots' worth.
+    """Weights after rounds of training on all windows of rows (key, ids), in slots of about TASK_WINDOWS each, and averaging; no task holds more than a few slots' worth.
 
-    Which slot a window falls in, its place there and the slot's seed come from the windows alone (``ids``, and ``key`` to
+    Rows of more than WINDOW + 1 ids are cut up, each target being in one window. Which slot a row falls in, its place there and the slot's seed come from the windows alone (``ids``, and ``key`` to
     tell copies apart), and the average is summed up in whole numbers, so the weights are the same however the rows are
     dealt over the cluster.
     """
     spark = windows.sparkSession
-    total = windows.count()
+    total = windows.agg(F.sum(F.greatest(F.lit(1), F.ceil((F.length("ids") / 2 - 1) / WINDOW)))).first()[0]
     flat = Attention.start(pairs).flat
     if not total:
         return flat
@@ -636,15 +661,11 @@ def train_attention(windows: DataFrame, classes: Classes, pairs: Pairs, rounds:
             start, of, pairs = shared.value
 
             def trained(slot: int, rows: list[bytes]) -> pa.RecordBatch:
-                ids, ok = np.zeros((len(rows), WINDOW + 1), np.int64), np.zeros((len(rows), WINDOW), bool)
-                for k, raw in enumerate(rows):
-                    got = np.frombuffer(raw, "<u2")
-                    ids[k, : len(got)] = got
-                    ok[k, : max(0, len(got) - 1)] = True
-                once = -(-len(rows) // STEP_WINDOWS)
+                ids, ok = windows_of(rows)
+                once = -(-len(ids) // STEP_WINDOWS)
                 steps = max(once, min(LEAST_STEPS, EPOCHS * once))
                 net = Attention(start, pairs).train(of[ids], ok, steps, RATE / (1 + n), rounds * slot + n)
-                return pa.RecordBatch.from_arrays([pa.array([net.flat.tobytes()], pa.binary()), pa.array([len(rows)], pa.int64())], names=["flat", "n"])
+                return pa.RecordBatch.from_arrays([pa.array([net.flat.tobytes()], pa.binary()), pa.array([len(ids)], pa.int64())], names=["flat", "n"])
 
             at, rows = None, []
             for b in batches:
@@ -714,7 +735,7 @@ def score_corpus(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", te
     sub[-1] = ends
     classes = Classes.from_counts(sub)
     # copies of a window are told apart by their number, written out by COPIES of them at a time
-    pieces = gathered.where(F.col("kind") == PIECE).select(F.col("word").alias("ids"), "c", F.explode(F.sequence(F.lit(0), F.col("c") - 1, F.lit(COPIES))).alias("k"))
+    pieces = gathered.where(F.col("kind").isin(PIECE, REST)).select(F.col("word").alias("ids"), "c", F.explode(F.sequence(F.lit(0), F.col("c") - 1, F.lit(COPIES))).alias("k"))
     pieces = pieces.select("ids", F.explode(F.sequence("k", F.least(F.col("c"), F.col("k") + COPIES) - 1)).alias("k"))
     windows = pieces.select(F.expr("substring(ids, 9)").alias("ids"), F.xxhash64("ids", "k").alias("key"))
     pairs = class_pairs(neighbours, classes, ends)
