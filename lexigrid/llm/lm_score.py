@@ -237,14 +237,18 @@ def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     return picked - np.log(np.maximum(z @ np.ones(z.shape[1], np.float32), np.float32(1e-37)))
 
 
-def _excess(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Softmax of each row of z (overwritten) less one at its target: the gradient of the negative log likelihood."""
+def _excess(z: np.ndarray, at: np.ndarray, weight: np.ndarray) -> None:
+    """Puts in place of each row of z its softmax less one at its target, times its weight: the gradient of the negative log likelihood."""
     if z.max(initial=0) > 60:
         z -= z.max(axis=-1, keepdims=True)
     np.exp(z, out=z)
-    z /= z @ np.ones((z.shape[1], 1), np.float32)
-    z[np.arange(len(z)), at] -= 1
-    return z
+    z *= (weight / (z @ np.ones(z.shape[1], np.float32)))[:, None]
+    z.reshape(-1)[np.arange(0, z.size, z.shape[1]) + at] -= weight
+
+
+def _summed_over(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Product of a's transpose and b, both with a row for each place of some windows, by parts: short sums stay in the cache."""
+    return np.matmul(a.reshape(8, -1, a.shape[-1]).transpose(0, 2, 1), b.reshape(8, -1, b.shape[-1])).sum(axis=0)
 
 
 @dataclass
@@ -277,7 +281,7 @@ class Attention:
     SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
     def __init__(self, flat: np.ndarray, pairs: Pairs) -> None:
-        self.flat, self.pairs, at = flat, pairs, 0
+        self.flat, self.pairs, self.rooms, at = flat, pairs, {}, 0
         for name, shape in self.SHAPES:
             n = math.prod(shape)
             setattr(self, name, flat[at : at + n].reshape(shape))
@@ -293,21 +297,12 @@ class Attention:
         net.top_bias[:] = net.bias[:] = 0
         return net
 
-    def attend(self, x: np.ndarray) -> tuple:
-        """Inputs, queries, keys, values, attention weights, their sums and the mixed values of windows of classes."""
-        e = self.emb[x]
-        e += self.pos
-        q, k, v = e @ (self.q * np.float32(WIDTH**-0.5)), e @ self.k, e @ self.v
-        s = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
-        if s.max() > 60:
-            s -= np.where(self.SEEN > 0, s, -1e9).max(axis=-1, keepdims=True)
-            np.minimum(s, 0, out=s)
-        np.exp(s, out=s)
-        s *= self.SEEN
-        total = s @ np.ones((WINDOW, 1), np.float32)
-        mixed = s @ v
-        mixed /= total
-        return e, q, k, v, s, total, mixed
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """An array that holds what the last call left there: fresh ones of this size cost more than what is done with them."""
+        got = self.rooms.get(name)
+        if got is None or got.shape != shape:
+            got = self.rooms[name] = np.empty(shape, np.float32)
+        return got
 
     def last(self, x: np.ndarray, left: np.ndarray, skip: np.ndarray) -> np.ndarray:
         """Last activations at places skip to left of every window, in order.
@@ -364,66 +359,121 @@ class Attention:
         return logs
 
     def gradient(self, x: np.ndarray, y: np.ndarray, ok: np.ndarray) -> np.ndarray:
-        """Of the mean negative log likelihood of the targets y where ok."""
-        g, before = Attention(np.zeros(self.SIZE, np.float32), self.pairs), x.ravel()
-        e, q, k, v, s, total, mixed = self.attend(x)
-        s = s / total
-        h = e + mixed @ self.o
-        u = np.maximum(h @ self.a, 0)
-        last = h + u @ self.b
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        rows, weight = flat(last), (ok / max(1, ok.sum())).astype(np.float32).reshape(-1, 1)
+        """Of the mean negative log likelihood of the targets y where ok; it holds until the next call.
+
+        As in ``last``, queries times keys and values times outputs are products of the weights. Attention weights stay
+        unscaled; what comes back is divided by their sums instead. Weights and what comes back to them stand above
+        each other, so that one product gives the inputs' share of both. Biases are a last row of weights.
+        """
+        g, many, scale, room = self.slope(), x.size, np.float32(WIDTH**-0.5), self.room
+        flat, ones, before = (lambda m: m.reshape(-1, m.shape[-1])), np.ones((WINDOW, 1), np.float32), x.ravel()
+        near, moved = self.q @ self.k.T * scale, self.v @ self.o
+        e, both, sides = room("e", *x.shape, WIDTH), room("both", len(x), 2 * WINDOW, WINDOW), room("sides", len(x), 2 * WINDOW, WIDTH)
+        self.emb.take(x, axis=0, out=e, mode="clip")
+        e += self.pos
+        across = e.transpose(0, 2, 1)
+        s, ds, dm, asked = both[:, :WINDOW], both[:, WINDOW:], sides[:, :WINDOW], sides[:, WINDOW:]
+        np.matmul(e, near, out=asked)
+        np.matmul(asked, across, out=s)
+        if s.max() > 60:
+            s -= np.where(self.SEEN > 0, s, -1e9).max(axis=-1, keepdims=True)
+            np.minimum(s, 0, out=s)
+        np.exp(s, out=s)
+        s *= self.SEEN
+        total = s @ ones
+        mixed = np.matmul(s, e, out=room("mixed", *e.shape))
+        mixed /= total
+        h = np.matmul(flat(mixed), moved, out=room("h", many, WIDTH))
+        h += flat(e)
+        u = np.matmul(h, self.a, out=room("u", many, HIDDEN))
+        np.maximum(u, 0, out=u)
+        rows = room("rows", many, WIDTH + 1)
+        np.add(h, np.matmul(u, self.b, out=room("d", many, WIDTH)), out=rows[:, :-1])
+        rows[:, -1] = 1
+
         group, member = np.divmod(y.ravel(), MEMBERS)
-        z = _excess(rows @ self.top + (self.pairs.top + self.top_bias).take(before, axis=0), group) * weight
-        g.top[:], g.top_bias[:] = rows.T @ z, z.sum(axis=0)
-        d = z @ self.top.T
         order = np.argsort(group.astype(np.int16), kind="stable")
-        own, group = rows.take(order, axis=0), group[order]
-        z, back, bounds = np.empty((len(own), MEMBERS), np.float32), np.empty((len(own), WIDTH), np.float32), np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
-        for n, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
-            np.matmul(own[lo:hi], self.out[n], out=z[lo:hi])
-        z += self.bias.take(group, axis=0)
-        z += self.pairs.inside.reshape(-1, MEMBERS).take(before[order] * GROUPS + group, axis=0)
-        z = _excess(z, member[order])
-        z *= weight[order]
-        for n, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
-            if hi > lo:
-                g.out[n], g.bias[n] = own[lo:hi].T @ z[lo:hi], z[lo:hi].sum(axis=0)
-                np.matmul(z[lo:hi], self.out[n].T, out=back[lo:hi])
-        d[order] += back
-        d = d.reshape(last.shape)
-        g.b[:] = flat(u).T @ flat(d)
-        du = (d @ self.b.T) * (u > 0)
-        g.a[:] = flat(h).T @ flat(du)
-        d = d + du @ self.a.T
-        g.o[:] = flat(mixed).T @ flat(d)
-        dm = d @ self.o.T
-        ds = dm @ v.transpose(0, 2, 1)
-        dv = s.transpose(0, 2, 1) @ dm
-        ds = s * (ds - (ds * s).sum(axis=-1, keepdims=True))
-        dq, dk = ds @ k * np.float32(WIDTH**-0.5), ds.transpose(0, 2, 1) @ q
-        for name, part in (("q", dq), ("k", dk), ("v", dv)):
-            getattr(g, name)[:] = flat(e).T @ flat(part)
-        d = d + dq @ self.q.T + dk @ self.k.T + dv @ self.v.T
-        order = np.argsort(x.ravel().astype(np.int16), kind="stable")
-        seen, first = np.unique(x.ravel()[order], return_index=True)
-        g.emb[seen] = np.add.reduceat(flat(d)[order], first, axis=0)
-        g.pos[:] = d.sum(axis=0)
+        own, grouped, back = rows.take(order, axis=0, out=room("own", *rows.shape), mode="clip"), group[order], room("back", many, WIDTH)
+        top, out = np.concatenate((self.top, self.top_bias[None])), np.concatenate((self.out, self.bias[:, None]), axis=1)
+        z, inner, shift = room("z", many, MEMBERS), room("inner", many, MEMBERS), room("shift", many, MEMBERS)
+        bounds = np.searchsorted(grouped, np.arange(GROUPS + 1)).tolist()
+        parts = [(n, slice(lo, hi)) for n, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)) if hi > lo]
+        weight = ok.ravel() * np.float32(1 / max(1, np.count_nonzero(ok)))
+        np.dot(rows, top, out=z)
+        z += self.pairs.top.take(before, axis=0, out=shift, mode="clip")
+        _excess(z, group, weight)
+        for n, part in parts:
+            np.dot(own[part], out[n], out=inner[part])
+        inner += self.pairs.inside.reshape(-1, MEMBERS).take(before[order] * GROUPS + grouped, axis=0, out=shift, mode="clip")
+        _excess(inner, member[order], weight[order])
+
+        slope = _summed_over(rows, z)
+        g.top[:], g.top_bias[:] = slope[:-1], slope[-1]
+        d, more, slope, turned = np.matmul(z, self.top.T, out=room("d", many, WIDTH)), room("more", many, WIDTH), room("slopes", *out.shape), self.out.transpose(0, 2, 1)
+        slope[:] = 0
+        for n, part in parts:
+            z = inner[part]
+            np.dot(own[part].T, z, out=slope[n])
+            np.dot(z, turned[n], out=back[part])
+        g.out[:], g.bias[:] = slope[:, :-1], slope[:, -1]
+        place = np.empty(many, np.int64)
+        place[order] = np.arange(many)
+        d += back.take(place, axis=0, out=more, mode="clip")
+        g.b[:] = _summed_over(u, d)
+        du = np.matmul(d, self.b.T, out=room("du", many, HIDDEN))
+        du *= u > 0
+        g.a[:] = _summed_over(h, du)
+        d += np.matmul(du, self.a.T, out=more)
+        slope = _summed_over(mixed, d)
+        np.matmul(slope, self.o.T, out=g.v)
+        np.matmul(self.v.T, slope, out=g.o)
+        np.divide(np.matmul(d, moved.T, out=more).reshape(e.shape), total, out=dm)
+        np.matmul(dm, across, out=ds)
+        mixed *= dm
+        ds -= (flat(mixed) @ np.ones(WIDTH, np.float32)).reshape(total.shape)
+        ds *= s
+        da = np.matmul(ds, e, out=mixed)
+        slope = _summed_over(e, da)
+        slope *= scale
+        np.matmul(slope, self.k, out=g.q)
+        np.matmul(slope.T, self.q, out=g.k)
+        d += np.matmul(flat(da), near.T, out=more)
+        d += flat(np.matmul(both.transpose(0, 2, 1), sides, out=more.reshape(e.shape)))
+        order = np.argsort(before.astype(np.int16), kind="stable")
+        seen = before[order]
+        first = np.flatnonzero(np.concatenate(([True], seen[1:] != seen[:-1])))
+        g.emb[:] = 0
+        g.emb[seen[first]] = np.add.reduceat(d.take(order, axis=0, out=more, mode="clip"), first, axis=0)
+        d.reshape(e.shape).sum(axis=0, out=g.pos)
         return g.flat
 
+    def slope(self) -> Attention:
+        """Room for a gradient."""
+        if "slope" not in self.rooms:
+            self.rooms["slope"] = Attention(np.empty(self.SIZE, np.float32), self.pairs)
+        return self.rooms["slope"]
+
     def train(self, windows: np.ndarray, ok: np.ndarray, steps: int, rate: float, seed: int) -> Attention:
-        """Adam steps over windows of WINDOW + 1 classes; ok marks the targets that exist."""
+        """Adam steps over windows of WINDOW + 1 classes; ok marks the targets that exist. Means of gradients are kept ten times, those of squares a hundred times as large."""
         r = np.random.default_rng(seed)
-        net, m, v = Attention(self.flat.copy(), self.pairs), np.zeros(self.SIZE, np.float32), np.zeros(self.SIZE, np.float32)
-        order = np.zeros(0, np.int64)
+        net, m, v, step = Attention(self.flat.copy(), self.pairs), np.zeros(self.SIZE, np.float32), np.zeros(self.SIZE, np.float32), np.empty(self.SIZE, np.float32)
+        order, prior = np.zeros(0, np.int64), PRIOR_WINDOWS / max(PRIOR_WINDOWS, len(windows))
         for k in range(steps):
             while len(order) < STEP_WINDOWS:  # pass after pass, each over all windows
                 order = np.concatenate((order, r.permutation(len(windows))))
             pick, order = order[:STEP_WINDOWS], order[STEP_WINDOWS:]
             g = net.gradient(windows[pick, :-1], windows[pick, 1:], ok[pick])
-            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            step = rate * (1 - k / steps * 0.9)
-            net.flat -= np.float32(step) * ((m / (1 - 0.9 ** (k + 1))) / (np.sqrt(v / (1 - 0.99 ** (k + 1))) + 1e-8) + np.float32(PRIOR_WINDOWS / max(PRIOR_WINDOWS, len(windows))) * net.flat)
+            size, fill, wide = rate * (1 - k / steps * 0.9), 1 - 0.9 ** (k + 1), math.sqrt(1 - 0.99 ** (k + 1))
+            m *= np.float32(0.9)
+            m += g
+            v *= np.float32(0.99)
+            v += np.multiply(g, g, out=step)
+            np.sqrt(v, out=step)
+            step += np.float32(1e-7 * wide)
+            np.divide(m, step, out=step)
+            step *= np.float32(size * wide / fill)
+            net.flat *= np.float32(1 - size * prior)
+            net.flat -= step
         return net
 
 
@@ -496,8 +546,8 @@ class LanguageModel:
 def gather(train: DataFrame, id_col: str, text_col: str, vocabulary) -> DataFrame:
     """(kind, word, c) from one pass over all training texts: words and their counts, the number of texts, training windows, the rest.
 
-    A window is an 8-byte key and at most WINDOW + 1 ids from a hash-chosen place; each text gives one, and one
-    more from each further WINDOW_CHARS characters. What the windows of a text leave comes as stretches of up to
+    A window is an 8-byte key and at most WINDOW + 1 ids from a hash-chosen place, a multiple of WINDOW, so that what stands
+    before it is whole windows too; each text gives one, and one more from each further WINDOW_CHARS characters. What the windows of a text leave comes as stretches of up to
     STRETCH windows, an 8-byte key and the ids, so that each id but the first is a target of some row.
     """
 
@@ -533,7 +583,7 @@ def gather(train: DataFrame, id_col: str, text_col: str, vocabulary) -> DataFram
                     key = xxhash.xxh64_intdigest(f"{i} {k}", 5) >> 2
                     lo, hi = size * k // pieces, size * (k + 1) // pieces
                     start = 0 if not k and not key % 3 else lo + (key >> 8) % max(1, hi - lo)
-                    place = int(long[begin + start] - long[begin]) + 1 if start else 0
+                    place = (int(long[begin + start] - long[begin]) + 1) // WINDOW * WINDOW if start else 0
                     places.append(place)
                     windows.append(key.to_bytes(8, "big") + raw[2 * place : 2 * (place + WINDOW + 1)])
                 done = 0  # the last id that was a target, or stands before the first
