@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lexigrid.llm import bpe, decontaminate, exact_dedup, near_dedup, toxicity
 from lexigrid.llm.common import shared_folder, table
 from lexigrid.llm.queries import tokenizer_file
+from lexigrid.session import delete
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,11 +85,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
         if k:
-            _delete(spark, f"{folder}/{k - 1}")
+            delete(spark, f"{folder}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    """Remove an intermediate that the next one replaces."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -11,6 +11,9 @@ most central sets of each of its shingles' lists, those whose shingles most othe
 them. Then all pairs that share a listed shingle but are not yet in one group are compared, so that no link between
 groups is lost. Sketches of 256 bits, which differ in no more places than the sets do, keep away pairs that have only a
 passage in common. Lists are joined, never gathered: a shingle that very many sets hold is split like any skewed key.
+
+What would be shuffled whole is taken a slice at a time, by a hash of the shingle, the set or the pair, and each slice's
+files go before the next: lists don't depend on each other. Texts are never shuffled to look their shingles up.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.llm import simhash
 from lexigrid.llm.common import BROADCAST_ROWS, HEAVY, connected_components, cut, hash_order, join_by_key, map_chunks, text_function, without
-from lexigrid.session import scratch
+from lexigrid.session import delete, keep, scratch
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -40,6 +43,19 @@ FLUSH = 500_000
 SKETCH = 4
 #: Sets of each list that all others of it are compared with first.
 CENTRAL = 4
+#: Rows of lists, and numbers of sets that are compared, which are shuffled at once; slices at most, above which these grow.
+SLICE_ROWS = 8_000_000
+SLICE_INTS = 64_000_000
+MOST_SLICES = 16
+
+
+def slices(count: int, most: int) -> int:
+    return max(1, min(MOST_SLICES, -(-count // most)))
+
+
+def slice_of(df: DataFrame, k: int, of: int, *key: str) -> DataFrame:
+    """The k-th of so many slices of the rows, by a hash that no shuffle deals by."""
+    return df if of == 1 else df.where(F.pmod(F.xxhash64(*key), F.lit(of)) == k)
 
 
 def shingles_of(text: str | None, width: int = SHINGLE) -> np.ndarray:
@@ -86,7 +102,7 @@ def common_shingles(df: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarr
     total = df.count()
     sample = df.where(hash_order(id_col) * total < SAMPLE_ROWS)
     counted = map_chunks(sample, [F.col(text_col)], "s long, n long", setup).groupBy("s").agg(F.sum("n").alias("n"))
-    rows = counted.where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "s").limit(MOST_COUNTED).collect()
+    rows = cut(counted.where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "s").limit(MOST_COUNTED)).collect()
     rows.sort()
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
 
@@ -102,27 +118,34 @@ def prefix_of(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, simi
     return shingles[np.lexsort((shingles, seen))[:take]]
 
 
-def listed(sets: DataFrame, prints: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def listed(sets: DataFrame, prints: DataFrame, common: tuple[np.ndarray, np.ndarray], path: str) -> DataFrame:
     """(s, fp, n, pos, w) and the sketch: the places of each set's prefix shingles, of those that c > 1 sets hold; w is the
-    mean c of the set's.
+    mean c of the set's. Written under ``path``.
 
     Prefixes are of 32-bit hashes: what these make equal is told apart when sets are compared. Shingles that over 1/HEAVY
     of the sample holds are not counted anew but by the sample, so that no task gathers their holders; c only
     weighs. A set stands once in ``sets`` and so in each list. Lists are written by sets, whose rows follow each other, as
-    compressed columns: a checkpoint would write each row's sketch again.
+    compressed columns: a checkpoint would write each row's sketch again. Counts are written first, without sketches.
     """
     shingles, counts = common
     heavy = [int(x) for x in np.unique(shingles[counts * HEAVY > SAMPLE_ROWS].astype(np.int32))]
     rows = sets.select("fp", F.posexplode("prefix").alias("pos", "s"), "n")
     held = F.array(*map(F.lit, heavy)).cast("array<int>")
-    known = rows.where(F.array_contains(held, F.col("s"))) if len(heavy) <= 64 else rows.join(F.broadcast(_ints(sets.sparkSession, heavy)), "s", "left_semi")
-    others = rows.where(~F.array_contains(held, F.col("s"))) if len(heavy) <= 64 else rows.join(F.broadcast(_ints(sets.sparkSession, heavy)), "s", "left_anti")
-    counted = others.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("s"))).where("c > 1")
-    both = counted.unionByName(known.withColumn("c", F.lit(1 + SAMPLE_ROWS // HEAVY).cast("long")))
-    both = both.join(prints.select("fp", *[f"b{k}" for k in range(SKETCH)]), "fp").withColumn("w", F.sum("c").over(Window.partitionBy("fp")) / F.col("n")).drop("c")
-    path = scratch(sets.sparkSession, "lists")
-    both.write.parquet(path)
-    return sets.sparkSession.read.parquet(path)
+    counted = scratch(sets.sparkSession, "counted")
+    of = slices(sets.agg(F.sum(F.size("prefix"))).first()[0] or 0, SLICE_ROWS)
+    for k in range(of):
+        own = slice_of(rows, k, of, "s")
+        known = own.where(F.array_contains(held, F.col("s"))) if len(heavy) <= 64 else own.join(F.broadcast(_ints(sets.sparkSession, heavy)), "s", "left_semi")
+        others = own.where(~F.array_contains(held, F.col("s"))) if len(heavy) <= 64 else own.join(F.broadcast(_ints(sets.sparkSession, heavy)), "s", "left_anti")
+        others = others.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("s"))).where("c > 1")
+        both = keep(others.unionByName(known.withColumn("c", F.lit(1 + SAMPLE_ROWS // HEAVY).cast("long"))), counted)
+    of = slices(both.count(), SLICE_ROWS)
+    sketches = prints.select("fp", *[f"b{k}" for k in range(SKETCH)])
+    for k in range(of):
+        own = slice_of(both, k, of, "fp").join(slice_of(sketches, k, of, "fp"), "fp")
+        lists = keep(own.withColumn("w", F.sum("c").over(Window.partitionBy("fp")) / F.col("n")).drop("c"), path)
+    delete(sets.sparkSession, counted)
+    return lists
 
 
 def _ints(spark: SparkSession, values: list[int]) -> DataFrame:
@@ -173,35 +196,57 @@ def open_pairs(lists: DataFrame, groups: DataFrame, similarity: float) -> DataFr
     own = lists.join(groups.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("g", F.coalesce("label", "fp"))
     sizes = own.groupBy("s", "g").agg(F.count(F.lit(1)).alias("k"))
     main = sizes.groupBy("s").agg(F.max_by("g", F.struct("k", "g")).alias("main"), F.count(F.lit(1)).alias("gs")).where("gs > 1")
-    own = cut(own.join(main.select("s", "main"), "s").drop("w", "label"))
-    return pairs_of(own.where("g <> main"), own, F.col("x.g") != F.col("y.g"), similarity)
+    path = scratch(lists.sparkSession, "open")
+    own = keep(own.join(main.select("s", "main"), "s").drop("w", "label"), path)
+    found = cut(pairs_of(own.where("g <> main"), own, F.col("x.g") != F.col("y.g"), similarity))
+    delete(lists.sparkSession, path)
+    return found
 
 
 def verified(df: DataFrame, text_col: str, prints: DataFrame, candidates: DataFrame, similarity: float) -> DataFrame:
     """The candidates that are similar enough. Only texts that stand in a pair give their shingles again.
 
     Shingles are compared by 32 bits of their hashes, which halves what moves: a pair of a few hundred shingles
-    is off by one of them once in some 400 000 pairs.
+    is off by one of them once in some 400 000 pairs. Texts are found by their hashes, of which BROADCAST_ROWS are broadcast
+    for each reading, so that no text is shuffled (above MOST_SLICES readings they are). Each pair brings two sets
+    together; so many pairs are compared at once that these hold SLICE_INTS shingles or as many as all sets once.
     """
-    wanted = cut(candidates.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(prints.select("fp", "h", "rows"), "fp"))
-    few = wanted.count() <= BROADCAST_ROWS
+    spark = df.sparkSession
+    uses = candidates.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("uses"))
+    wanted = cut(uses.join(prints.select("fp", "h", "rows", "n"), "fp"))
+    total, held, moved = (x or 0 for x in wanted.agg(F.count(F.lit(1)), F.sum("n"), F.sum(F.col("uses") * F.col("n"))).first())
+    wanted = wanted.select("fp", "h", "rows")
     whole = text_function("s array<int>", lambda: lambda texts: ([np.unique(shingles_of(t).astype(np.int32)).tolist() for t in texts],))
-    texts = df.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).join(F.broadcast(wanted) if few else wanted, "h")
-    known = cut(texts.select("fp", "rows", whole(F.col("text"))["s"].alias("s")))
+    texts = df.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    path, of = scratch(spark, "sets"), -(-total * 5 // (BROADCAST_ROWS * 4)) if total > BROADCAST_ROWS else 1  # slices differ in size
+    few, of = of <= MOST_SLICES, of if of <= MOST_SLICES else 1
+    for k in range(of):
+        own = slice_of(wanted, k, of, "h")
+        known = keep(texts.join(F.broadcast(own) if few else own, "h").select("fp", "rows", whole(F.col("text"))["s"].alias("s")), path)
     copies = known.where("rows > 1").groupBy("fp").agg(F.first("s").alias("s"))  # sets of one row need no shuffle for it
     known = known.where("rows = 1").select("fp", "s").unionByName(copies)
-    both = candidates.join(known.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(known.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
-    both = both.select("a", "b", F.size("sa").alias("n"), F.size("sb").alias("m"), F.size(F.array_intersect("sa", "sb")).alias("i"))
-    return both.where(F.col("i") / (F.col("n") + F.col("m") - F.col("i")) >= similarity).select("a", "b")
+    of, parts = slices(moved, max(SLICE_INTS, held)), []
+    for k in range(of):
+        own = slice_of(candidates, k, of, "a", "b")
+        both = own.join(known.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(known.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
+        both = both.select("a", "b", F.size("sa").alias("n"), F.size("sb").alias("m"), F.size(F.array_intersect("sa", "sb")).alias("i"))
+        parts.append(cut(both.where(F.col("i") / (F.col("n") + F.col("m") - F.col("i")) >= similarity).select("a", "b")))
+    delete(spark, path)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def near_groups(df: DataFrame, text_col: str, sets: DataFrame, prints: DataFrame, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(node, label): the groups of sets that links of the similarity hold together; sets without a link are left out."""
-    lists = listed(sets, prints, common)
-    first = cut(central_pairs(lists, similarity).unionByName(simhash_pairs(prints.select("fp", "sh"))).distinct())
+    path = scratch(df.sparkSession, "lists")
+    lists = listed(sets, prints, common, path)
+    of = slices(lists.count(), SLICE_ROWS)
+    parts = [cut(central_pairs(slice_of(lists, k, of, "s"), similarity)) for k in range(of)]
+    first = cut(reduce(DataFrame.unionByName, parts, simhash_pairs(prints.select("fp", "sh"))).distinct())
     groups = cut(connected_components(verified(df, text_col, prints, first, similarity)))
-    more = cut(open_pairs(lists, groups, similarity).join(first, ["a", "b"], "left_anti"))
-    links = cut(verified(df, text_col, prints, more, similarity))
+    parts = [open_pairs(slice_of(lists, k, of, "s"), groups, similarity) for k in range(of)]
+    delete(df.sparkSession, path)
+    more = cut(reduce(DataFrame.unionByName, parts).distinct().join(first, ["a", "b"], "left_anti"))
+    links = verified(df, text_col, prints, more, similarity)
     of = groups.select(F.col("node").alias("n"), F.col("label").alias("l"))
     for c in ("a", "b"):  # links between groups
         links = links.join(of, F.col(c) == F.col("n"), "left").withColumn(c, F.coalesce("l", c)).drop("n", "l")
@@ -231,10 +276,15 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
     bits = [f"b{k}" for k in range(SKETCH)]
     x = text_function(f"fp long, sh long, n int, prefix array<int>, {', '.join(f'{b} long' for b in bits)}", sets)(F.col(text_col))
-    docs = cut(df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), x.alias("x")).select("id", "h", "x.*"))
-    prints = cut(docs.groupBy("fp").agg(F.min("id").alias("rep"), F.min("h").alias("h"), F.count(F.lit(1)).alias("rows"), F.min("sh").alias("sh"), *[F.any_value(b).alias(b) for b in bits]))
-    sets_once = docs.groupBy("fp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))  # copies meet before the shuffle
-    of = near_groups(df, text_col, sets_once, prints, similarity, common.value)
+    key = F.col(id_col).cast("long") if dict(df.dtypes)[id_col] == "void" else F.col(id_col)  # columns have no such type
+    whole, once = (scratch(df.sparkSession, name) for name in ("docs", "once"))
+    docs = keep(df.select(key.alias("id"), F.xxhash64(text_col).alias("h"), x.alias("x")).select("id", "h", "x.*"), whole)
+    prints = cut(docs.groupBy("fp").agg(F.min("id").alias("rep"), F.min("h").alias("h"), F.count(F.lit(1)).alias("rows"), F.min("sh").alias("sh"), F.min("n").alias("n"), *[F.any_value(b).alias(b) for b in bits]))
+    sets_once = keep(docs.groupBy("fp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), once)  # copies meet before the shuffle
+    docs = cut(docs.select("id", "h", "fp"))
+    delete(df.sparkSession, whole)
+    of = cut(near_groups(df, text_col, sets_once, prints, similarity, common.value))
+    delete(df.sparkSession, once)
     slim = prints.select("fp", "rep", "rows")
     linked = cut(of.join(slim, of["node"] == slim["fp"]).select("fp", "label", "rep"))
     smallest = linked.groupBy("label").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("prints"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,7 +40,36 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}-{name}"
 
 
+#: Whether the files of an action's shuffles go when it ends, not when the driver happens to collect its garbage.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """What is run meanwhile leaves no shuffle files behind."""
+    before = spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(RELEASE, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder."""
+    """Materialise in the shared folder; the shuffles that led there are let go."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with released(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
+
+
+def keep(df: DataFrame, path: str) -> DataFrame:
+    """Materialise as compressed columns under ``path``, behind what is there; ``delete`` removes it before the session ends."""
+    with released(df.sparkSession):
+        df.write.mode("append").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
