@@ -17,7 +17,7 @@ def word_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return rows.where("word <> ''")
 
 
-#: Names of sentences that are broadcast at most.
+#: Names of sentences, or words of a list, that are broadcast at most.
 BROADCAST_NAMES = 200_000
 
 
@@ -133,9 +133,15 @@ def eligible(text: Column, least_words: int = 4, most_chars: int = 1500) -> Colu
     return (F.size(words) >= least_words) & F.exists(words, lambda w: F.substring(w, 1, 1).rlike(r"^\p{Ll}")) & (F.length(text) < most_chars)
 
 
-def in_list(rows: DataFrame, words: DataFrame, word_col: str = "word") -> DataFrame:
-    """Hit is true if the lower-cased word is in the list (column ``word``)."""
+def in_list(rows: DataFrame, words: DataFrame, word_col: str = "word", counted: bool = False) -> DataFrame:
+    """Hit is true if the lower-cased word is in the list (column ``word``).
+
+    If ``counted``, the list is made and counted first, and broadcast if it has at most BROADCAST_NAMES words, so that no row moves.
+    """
     known = words.select(F.lower("word").alias("__w")).distinct().withColumn("__hit", F.lit(True))
+    if counted:
+        known = cut(known)
+        known = F.broadcast(known) if known.count() <= BROADCAST_NAMES else known
     return rows.join(known, F.lower(F.col(word_col)) == F.col("__w"), "left").withColumn("hit", F.coalesce("__hit", F.lit(False))).drop("__w", "__hit")
 
 

@@ -18,10 +18,14 @@ def density(rows: DataFrame, words: DataFrame) -> DataFrame:
     return in_list(rows, words).groupBy("source", "sentence_id").agg(F.count("*").alias("words"), F.count_if("hit").alias("hits"), F.round(F.avg(F.col("hit").cast("double")), 6).alias("density"))
 
 
-def route(dense: Column, hit: Column, threshold: float = 1.0) -> Column:
-    """M3: expert for a dense sentence, else for listed words only."""
+def check_threshold(threshold: float) -> None:
     if not 0 <= threshold <= 1:
         raise ValueError("threshold must lie between 0 and 1")
+
+
+def route(dense: Column, hit: Column, threshold: float = 1.0) -> Column:
+    """M3: expert for a dense sentence, else for listed words only."""
+    check_threshold(threshold)
     return F.when((dense >= threshold) | hit, "expert").otherwise("baseline")
 
 
@@ -103,8 +107,38 @@ def evaluate(rows: DataFrame, pred: DataFrame, keys: list[str], true: str = "tru
     return report(scored, true, "pred_label", group)
 
 
-def gated_evaluate(rows: DataFrame, base: DataFrame, expert: DataFrame, words: DataFrame, threshold: float, keys: list[str], true: str = "true_label", group: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """M5: (metrics, shares of the scorers) of gated predictions over word rows with a real true label."""
+def gated_counts(rows: DataFrame, base: str, expert: str, words: DataFrame, threshold: float, true: str = "true_label", group: str | None = None) -> DataFrame:
+    """M5: (grp, t, p, ph, answered, n): numbers of words by true and gated label, ``answered`` of them by the expert; ph are placeholders.
+
+    ``base`` and ``expert`` are columns of the rows. Words are counted within their sentence by their labels, if the expert
+    answers for all of it or for listed words only; its density chooses between the two. So no word is joined or
+    moved, if the list is small enough to be broadcast. Sentences without source or id are left out, as by a join.
+    """
+    check_threshold(threshold)
+    named = rows.where(F.col("source").isNotNull() & F.col("sentence_id").isNotNull())
+    sparse = F.when(F.col("hit"), F.col(expert)).otherwise(F.col(base))
+    labels = [F.col(group).alias("grp") if group else F.lit(None).cast("string").alias("grp"), F.col(true).alias("t"), F.col(expert).alias("dense"), sparse.alias("sparse"), is_placeholder(F.col(true)).alias("ph")]
+    flagged = in_list(named, words, counted=True).select("source", "sentence_id", *labels, "hit")
+    one = flagged.groupBy("source", "sentence_id", "grp", "t", "dense", "sparse", "ph").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("hits"))
+    sentence = Window.partitionBy("source", "sentence_id")
+    whole = F.sum("hits").over(sentence) / F.sum("n").over(sentence) >= threshold
+    judged = one.withColumn("whole", whole)
+    return judged.select("grp", "t", F.when(F.col("whole"), F.col("dense")).otherwise(F.col("sparse")).alias("p"), "ph", F.when(F.col("whole"), F.col("n")).otherwise(F.col("hits")).alias("answered"), "n")
+
+
+def gated_evaluate(rows: DataFrame, base: DataFrame | str, expert: DataFrame | str, words: DataFrame, threshold: float, keys: list[str], true: str = "true_label", group: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """M5: (metrics, shares of the scorers) of gated predictions over word rows with a real true label.
+
+    Predictions are tables (label, probability) with the keys, which are joined, or columns of the rows, which need no join.
+    """
+    if isinstance(base, str) != isinstance(expert, str):
+        raise ValueError("predictions are two tables or two columns")
+    if isinstance(base, str):
+        one = gated_counts(rows, base, expert, words, threshold, true, group)
+        who = {"placeholder": F.when(F.col("ph"), F.col("n")), "expert": F.when(~F.col("ph"), F.col("answered")), "baseline": F.when(~F.col("ph"), F.col("n") - F.col("answered"))}
+        sums = one.agg(*[F.sum(n).alias(k) for k, n in who.items()])
+        shares = sums.select(F.explode(F.array(*[F.struct(F.lit(k).alias("answers"), F.col(k).alias("n")) for k in who])).alias("x")).select("x.*").where("n > 0")
+        return report(one.where(~F.col("ph")), "t", "p", "grp" if group else None, "n"), shares
     gate = gate_words(rows, words, threshold, true)
     real = gate.where(F.col("answers") != "placeholder")
     keep = dict.fromkeys(c for c in (true, group) if c and c not in keys)

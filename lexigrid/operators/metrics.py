@@ -11,15 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def counts(df: DataFrame, true: str = "true_label", pred: str = "pred_label", group: str | None = None) -> DataFrame:
-    """(group,) t, p, n: rows of each pair. All metrics are made from this small table."""
+def counts(df: DataFrame, true: str = "true_label", pred: str = "pred_label", group: str | None = None, weight: str | None = None) -> DataFrame:
+    """(group,) t, p, n: rows of each pair, where a row stands for ``weight`` rows. All metrics are made from this small table."""
     keys = [F.col(group).alias("grp")] if group else []
-    return df.where(F.col(group).isNotNull() if group else F.lit(True)).groupBy(*keys, F.coalesce(true, F.lit("-")).alias("t"), F.coalesce(pred, F.lit("-")).alias("p")).agg(F.count("*").alias("n"))
+    return df.where(F.col(group).isNotNull() if group else F.lit(True)).groupBy(*keys, F.coalesce(true, F.lit("-")).alias("t"), F.coalesce(pred, F.lit("-")).alias("p")).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
 
 
-def per_class(df: DataFrame, true: str = "true_label", pred: str = "pred_label", group: str | None = None) -> DataFrame:
+def per_class(df: DataFrame, true: str = "true_label", pred: str = "pred_label", group: str | None = None, weight: str | None = None) -> DataFrame:
     """Support, predicted, tp, precision, recall and f1 of every label that either column has; 0 for a zero divisor."""
-    c = counts(df, true, pred, group)
+    c = counts(df, true, pred, group, weight)
     g = ["grp"] if group else []
     side = F.explode(F.array(F.struct(F.col("t").alias("label"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"), F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0).alias("tp")), F.struct(F.col("p").alias("label"), F.lit(0).cast("long").alias("support"), F.col("n").alias("predicted"), F.lit(0).cast("long").alias("tp"))))
     k = c.select(*g, side.alias("x")).groupBy(*g, "x.label").agg(F.sum("x.support").alias("support"), F.sum("x.predicted").alias("predicted"), F.sum("x.tp").alias("tp"))
@@ -27,9 +27,9 @@ def per_class(df: DataFrame, true: str = "true_label", pred: str = "pred_label",
     return k.withColumns({"precision": div(F.col("tp"), F.col("predicted")), "recall": div(F.col("tp"), F.col("support")), "f1": div(2 * F.col("tp"), F.col("predicted") + F.col("support"))})
 
 
-def report(df: DataFrame, true: str = "true_label", pred: str = "pred_label", group: str | None = None) -> DataFrame:
+def report(df: DataFrame, true: str = "true_label", pred: str = "pred_label", group: str | None = None, weight: str | None = None) -> DataFrame:
     """Accuracy, and macro and weighted means, over all rows or in each group (§2.14)."""
-    k = per_class(df, true, pred, group)
+    k = per_class(df, true, pred, group, weight)
     total = F.sum("support")
     mean = lambda c: F.round(F.avg(c), 6)
     weighted = lambda c: F.round(F.sum(F.col(c) * F.col("support")) / total, 6)
